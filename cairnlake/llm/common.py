@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Bytes of an Arrow batch that are worked on at once.
+SLICE = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; any file system that Spark can read."""
@@ -29,8 +32,8 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow with a function built once for each task; Spark bounds a batch at 64 MB.
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with a function built once for each task, over slices of about ``SLICE`` bytes.
 
     ``make`` runs on the executor, so that tokenizers and automata are built
     there and never shipped.
@@ -39,9 +42,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            out = work(batch)
-            if out is not None:
-                yield out
+            step = max(1, int(batch.num_rows * min(1, SLICE / max(1, batch.nbytes))))
+            for at in range(0, batch.num_rows, step):
+                yield work(batch.slice(at, step))
 
     return df.mapInArrow(run, schema)
 

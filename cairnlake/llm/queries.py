@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import language_id, quality_rules, secret_scans, token_counts, url_filters
+from cairnlake.llm import decontamination, language_id, mixing, quality_rules, secret_scans, token_counts, url_filters
 from cairnlake.llm.common import table
 
 
@@ -32,6 +32,14 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_plan(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held = language_id.fold(documents.doc_id, 3, held=1)
@@ -43,7 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_url_filters, op5_secret_scans, op9_language_id, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_url_filters, op5_secret_scans, op6_decontamination, op7_mixing, op9_language_id, op10_quality_rules)}
 
 _AZ = f"'{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}'"
 
@@ -70,4 +78,51 @@ SELECT page_id, host, path, CASE {rule} END AS rule,
 FROM counted"""
 
 
-ORACLE_SQL = {"op4_url_filters": _url_sql()}
+_MIX_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+), per_source AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, CAST(source_size * {mixing.CAP} AS BIGINT) AS most,
+         CAST(CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(mixing.WEIGHTS)} {" ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(mixing.WEIGHTS))} END AS DOUBLE) AS w
+  FROM per_source
+), filled AS (
+  SELECT *, CAST(CAST(sum(source_size) OVER () - coalesce(sum(most) OVER below, 0) AS BIGINT) AS DOUBLE) / (sum(w) OVER () - coalesce(sum(w) OVER below, 0)) AS level
+  FROM weighed
+  WINDOW below AS (ORDER BY CAST(most AS DOUBLE) / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), goal AS (
+  SELECT source, source_size, least(CAST(most AS DOUBLE), w * max(level) OVER ()) AS target FROM filled
+), drawn AS (
+  SELECT doc_id, size, source_size, target,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+         CAST(CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+  FROM sized JOIN goal ON sized.source IS NOT DISTINCT FROM goal.source
+), taken AS (
+  SELECT *, CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM drawn
+)
+SELECT doc_id, size, source_size, target, copies, CAST(size * copies AS BIGINT) AS taken FROM taken"""
+
+_HIT_SQL = f"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), item AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item, len AS n, array_to_string(w[i : i + len - 1], ' ') AS s
+  FROM (SELECT item, w, least(len(w), 13) AS len, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM item WHERE len(w) > 0)
+), lens AS (SELECT DISTINCT n FROM win
+), found AS (
+  SELECT d.r, d.i, d.n, win.item
+  FROM (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, lens WHERE len(w) >= n)) d
+  JOIN win ON win.n = d.n AND win.s = d.s
+), hit AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT r, item FROM found) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(said, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
+
+ORACLE_SQL = {"op4_url_filters": _url_sql(), "op6_decontamination": _HIT_SQL, "op7_mixing": _MIX_SQL}
