@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import decontamination, language_id, mixing, quality_rules, secret_scans, token_counts, url_filters
+from cairnlake.llm import decontamination, language_id, mixing, quality_rules, secret_scans, token_counts, toxicity, url_filters
 from cairnlake.llm.common import table
 
 
@@ -40,6 +40,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_plan(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = toxicity.toxicity(documents, *toxicity.train(documents, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(found.doc_id).alias("held_out"), "score", (found.score >= 0.5).cast("int").alias("predicted"), "rejected")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held = language_id.fold(documents.doc_id, 3, held=1)
@@ -51,7 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_url_filters, op5_secret_scans, op6_decontamination, op7_mixing, op9_language_id, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_url_filters, op5_secret_scans, op6_decontamination, op7_mixing, op8_toxicity, op9_language_id, op10_quality_rules)}
 
 _AZ = f"'{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}'"
 
