@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import decontamination, language_id, mixing, quality_rules, secret_scans, token_counts, toxicity, url_filters
+from cairnlake.llm import decontamination, jaccard_join, language_id, mixing, quality_rules, secret_scans, token_counts, toxicity, url_filters
 from cairnlake.llm.common import table
 
 
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -57,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_url_filters, op5_secret_scans, op6_decontamination, op7_mixing, op8_toxicity, op9_language_id, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op4_url_filters, op5_secret_scans, op6_decontamination, op7_mixing, op8_toxicity, op9_language_id, op10_quality_rules)}
 
 _AZ = f"'{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}'"
 
