@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import decontamination, jaccard_join, language_id, mixing, quality_rules, secret_scans, token_counts, toxicity, url_filters
+from cairnlake.llm import decontamination, jaccard_join, language_id, mixing, pii, quality_rules, secret_scans, token_counts, toxicity, url_filters
 from cairnlake.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -61,7 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op4_url_filters, op5_secret_scans, op6_decontamination, op7_mixing, op8_toxicity, op9_language_id, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_pii, op4_url_filters, op5_secret_scans, op6_decontamination, op7_mixing, op8_toxicity, op9_language_id, op10_quality_rules)}
 
 _AZ = f"'{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}'"
 
