@@ -410,10 +410,10 @@ TAGS_SQL = f"WITH {NODES_SQL} SELECT id, array_to_string([t for t in list_concat
 
 def deprecate_reason(spark, sf_dir):
     rows = nodes(spark, sf_dir).withColumn("last_verified_at", _now())
-    return graph.deprecate(rows, "red widget economy", _now(), "superseded").select("id", "status", "summary")
+    return graph.deprecate(rows, "part/7", _now(), "superseded").select("id", "status", "summary")
 
 
-DEPRECATE_SQL = f"WITH {NODES_SQL}, k AS (SELECT id FROM nodes WHERE list_contains(aliases, 'red widget economy') ORDER BY map_pos LIMIT 1) SELECT id, CASE WHEN id = (SELECT id FROM k) THEN 'deprecated' ELSE status END AS status, CASE WHEN id = (SELECT id FROM k) THEN '[deprecated: superseded] ' || summary ELSE summary END AS summary FROM nodes"
+DEPRECATE_SQL = f"WITH {NODES_SQL}, k AS (SELECT 'part/7' AS id) SELECT id, CASE WHEN id = (SELECT id FROM k) THEN 'deprecated' ELSE status END AS status, CASE WHEN id = (SELECT id FROM k) THEN '[deprecated: superseded] ' || summary ELSE summary END AS summary FROM nodes"
 
 
 def weekly_rollup(spark, sf_dir):
