@@ -8,8 +8,8 @@ identifiers; where the log-likelihood ratio for random is high enough, in sum
 and per character, the run is a finding of kind ``markov``.
 
 The models are trained from labelled samples of the corpus itself: values that
-the base patterns found are the random ones, other words of at least
-``MIN_WORD`` characters the ordinary ones, over at most ``sample_rows``
+the base patterns found are the random ones, other words of
+``MIN_WORD`` to ``MIN_RUN`` - 1 characters the ordinary ones, over at most ``sample_rows``
 documents; the counts are 2 x 67 x 67 numbers whatever the input. A fixed set of
 seeded random strings is added to the first class, so that a corpus without
 secrets trains too.
@@ -39,8 +39,12 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_="
 SYMBOLS = len(ALPHABET) + 1
 MIN_RUN, MIN_WORD = 20, 6
 RUN = re.compile(rf"[A-Za-z0-9+/_=]{{{MIN_RUN},}}")
+#: Ordinary samples: words too short to be candidates themselves.
+WORD = re.compile(rf"(?<![A-Za-z0-9_])[A-Za-z0-9_]{{{MIN_WORD},{MIN_RUN - 1}}}(?![A-Za-z0-9_])")
 #: Least log-likelihood ratio, in nats: in sum and per character.
 LEAST_SUM, LEAST_MEAN = 12.0, 0.6
+#: Added to every count; small, so that a small corpus still tells the classes apart.
+PSEUDO = 0.1
 
 _CODE = np.full(256, SYMBOLS - 1, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -72,8 +76,8 @@ def random_strings(n: int = 400, seed: int = 7) -> list[str]:
 
 
 def log_ratios(counts: np.ndarray) -> np.ndarray:
-    """log P(next | this, random) - log P(next | this, ordinary), add-one smoothed."""
-    p = np.log((counts + 1.0) / (counts.sum(axis=2, keepdims=True) + SYMBOLS))
+    """log P(next | this, random) - log P(next | this, ordinary), smoothed by PSEUDO counts."""
+    p = np.log((counts + PSEUDO) / (counts.sum(axis=2, keepdims=True) + PSEUDO * SYMBOLS))
     return p[1] - p[0]
 
 
@@ -89,11 +93,11 @@ def sample_counts(texts: list[str]) -> np.ndarray:
     for text in texts:
         end = 0
         for start, _, stop in base_spans(text):
-            for word in re.findall(rf"[A-Za-z0-9_]{{{MIN_WORD},}}", text[end:start]):
+            for word in WORD.findall(text[end:start]):
                 add_counts(counts, 0, word)
             add_counts(counts, 1, re.split(r"[\s:=\"']", text[start:stop])[-1])
             end = max(end, stop)
-        for word in re.findall(rf"[A-Za-z0-9_]{{{MIN_WORD},}}", text[end:]):
+        for word in WORD.findall(text[end:]):
             add_counts(counts, 0, word)
     return counts
 
