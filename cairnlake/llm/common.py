@@ -6,8 +6,10 @@ columns of its input, whatever they are called, never clash with its own.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -50,15 +52,25 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
 
 def persist(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it from there.
+    """Writes ``df`` as Parquet to the shared checkpoint folder and reads it from there.
 
     The folder is the one that the session names in ``spark.checkpoint.dir``;
-    only where it names none (tests, a laptop) a temporary one is set.
+    only where it names none (tests, a laptop) a temporary one is taken. Tasks
+    that are lost read the table again instead of all that led to it. The table
+    is deleted when the driver's JVM ends.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    session = df.sparkSession
+    folder = session.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    place = session._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(session._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return session.read.schema(df.schema).parquet(path)
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="checkpoints-")
 
 
 def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:

@@ -50,6 +50,8 @@ MOST_FREQUENT = 1 << 20
 LEAST_FREQUENT = 64
 #: Index lists longer than this are solved around a hub.
 DENSE = 16
+#: Size of the bit map of wanted texts: 2 MB.
+FILTER_BITS = 1 << 24
 
 
 def profile(rows: DataFrame, size: int) -> DataFrame:
@@ -247,11 +249,39 @@ def similar_sets(rows: DataFrame, profiles: DataFrame, size: int, num: int, den:
 
 
 def wanted_texts(rows: DataFrame, names: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """(key, text) of one document for each set in ``pairs``; only these texts go on."""
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct().join(names, "key")
-    found = rows.select("at", "text").join(keys, "at")
+    """(key, text) of one document for each set in ``pairs``.
 
-    def make():
+    A broadcast bit map of fixed size keeps most other texts out of the shuffle;
+    when it fills up, more texts take part in the join, and none is missed.
+    """
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    keys = persist(keys.join(names, "key"))
+    bit = F.pmod(F.xxhash64("at"), F.lit(FILTER_BITS)).alias("bit")
+
+    def collect():
+        def work(batch):
+            bits = np.zeros(FILTER_BITS, bool)
+            bits[batch.column(0).to_numpy()] = True
+            return pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+        return work
+
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in map_batches(keys.select(bit).coalesce(4), collect, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(row.bits, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def choose():
+        def work(batch):
+            at = batch.column(2).to_numpy()
+            keep = pa.array((shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+            return pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["at", "text"])
+
+        return work
+
+    found = map_batches(rows.select("at", "text", bit), choose, "at string, text string").join(keys, "at")
+
+    def check():
         hashes = WordHashes()
 
         def work(batch):
@@ -260,7 +290,7 @@ def wanted_texts(rows: DataFrame, names: DataFrame, pairs: DataFrame, size: int)
 
         return work
 
-    return persist(map_batches(found.select("key", "text"), make, "key long, text string").dropDuplicates(["key"]))
+    return persist(map_batches(found.select("key", "text"), check, "key long, text string").dropDuplicates(["key"]))
 
 
 def place(id_col: Column, text_col: Column) -> Column:
