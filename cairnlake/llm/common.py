@@ -6,7 +6,9 @@ columns of its input, whatever they are called, never clash with its own.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -22,6 +24,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of an Arrow batch that are worked on at once.
 SLICE = 8 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +38,16 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function built once for each task, over slices of about ``SLICE`` bytes.
+    """mapInArrow with a function built once for each task, over batches of about ``SLICE`` bytes.
 
     ``make`` runs on the executor, so that tokenizers and automata are built
-    there and never shipped.
+    there and never shipped. The session's limit on the bytes of an Arrow batch
+    is lowered to ``SLICE`` where it is higher, and a worker that has ended its
+    task gives its memory back, as idle workers stay alive beside busy ones.
     """
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_BYTES).rstrip("b")) not in range(1, SLICE + 1):
+        conf.set(BATCH_BYTES, str(SLICE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -47,10 +55,22 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             step = max(1, int(batch.num_rows * min(1, SLICE / max(1, batch.nbytes))))
             for at in range(0, batch.num_rows, step):
                 yield work(batch.slice(at, step))
+        work = batch = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def persist(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet to the shared checkpoint folder and reads it from there.
 
