@@ -189,16 +189,16 @@ def circle_links(circles: DataFrame, num: int, den: int) -> DataFrame:
     turned = members.join(flips, "hub").join(diffs.select("hub", "set", "token"), ["hub", "set", "token"], "left_anti").select("hub", "set", "token", (~F.col("gone")).alias("gone"))
     diffs = persist(kept.unionByName(turned))
 
-    weights = diffs.groupBy("hub", "set").agg(F.sum(F.when(F.col("gone"), den).otherwise(num)).alias("w"), F.count(F.lit(1)).alias("k"))
+    weights = diffs.groupBy("hub", "set").agg(F.sum(F.when(F.col("gone"), den).otherwise(num)).alias("w"), F.count(F.lit(1)).alias("k"), F.collect_list("token").alias("own"))
     sets = members.join(weights, ["hub", "set"], "left").fillna(0, ["w", "k"]).join(centre, "hub").withColumn("room", F.col("np") * (den - num))
     best = sets.groupBy("hub").agg(F.min(F.struct("w", "set")).alias("best"))
     sets = sets.join(best, "hub").withColumn("star", F.col("w") + F.col("best.w") <= F.col("room"))
-    sets = persist(sets.select("hub", "set", "w", "k", "room", "star", F.col("best.set").alias("centre")))
+    sets = persist(sets.select("hub", "set", "w", "k", "own", "room", "star", F.col("best.set").alias("centre")))
     stars = sets.where("star and set != centre").select(F.col("set").alias("a"), F.col("centre").alias("b"))
 
     # Pairs with shared differences, at least one outside the star.
     rest = sets.groupBy("hub").agg(F.min(F.when(F.col("k") > 0, F.col("w"))).alias("any"), F.min(F.when(~F.col("star"), F.col("w"))).alias("out"))
-    needs = sets.where("k > 0").join(rest, "hub").withColumn("other", F.when(F.col("star"), F.col("out")).otherwise(F.col("any"))).where("other is not null")
+    needs = sets.drop("own").where("k > 0").join(rest, "hub").withColumn("other", F.when(F.col("star"), F.col("out")).otherwise(F.col("any"))).where("other is not null")
     needs = needs.withColumn("q", F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("other") - F.col("room")) / F.lit(num + den))).cast("long")).where("q <= k")
     common = diffs.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     rare = W.partitionBy("hub", "set").orderBy("c", "token")
@@ -208,8 +208,8 @@ def circle_links(circles: DataFrame, num: int, den: int) -> DataFrame:
     reach = F.col("w_a") + F.col("w_b") <= F.col("room_a") + F.lit(num + den) * F.least("k_a", "k_b")
     met = side("a").join(side("b"), ["hub", "token"]).where((F.col("set_a") < F.col("set_b")) & ~(F.col("star_a") & F.col("star_b")) & reach)
     met = met.select("hub", "set_a", "set_b", "w_a", "w_b", F.col("room_a").alias("room")).distinct()
-    full = lambda s: diffs.select("hub", "token", F.col("set").alias(f"set_{s}"))
-    shared = met.join(full("a"), ["hub", "set_a"]).join(full("b"), ["hub", "set_b", "token"]).groupBy("hub", "set_a", "set_b", "w_a", "w_b", "room").agg(F.count(F.lit(1)).alias("c"))
+    own = lambda s: sets.select("hub", F.col("set").alias(f"set_{s}"), F.col("own").alias(f"own_{s}"))
+    shared = met.join(own("a"), ["hub", "set_a"]).join(own("b"), ["hub", "set_b"]).withColumn("c", F.size(F.array_intersect("own_a", "own_b")))
     links = shared.where(F.col("w_a") + F.col("w_b") <= F.col("room") + F.lit(num + den) * F.col("c")).select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
     return stars.union(links)
 
