@@ -30,7 +30,7 @@ DEFAULT_KEY = "pseudonyms-1"
 _B, _E = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 #: Kind -> pattern; an earlier kind wins where two begin at the same place.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "date": rf"{_B}\d{{4}}-\d{{2}}-\d{{2}}{_E}",
     "ssn": rf"{_B}\d{{3}}-\d{{2}}-\d{{4}}{_E}",
     "phone": rf"(?<![0-9A-Za-z+])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{3}}\)|\d{{3}})[ .-]\d{{3}}[ .-]\d{{4}}{_E}",
