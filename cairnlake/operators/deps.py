@@ -14,28 +14,42 @@ from cairnlake.operators.code import exported_symbols
 EXTENSIONS = (".cjs", ".cts", ".js", ".jsx", ".mjs", ".mts", ".ts", ".tsx")
 
 
-def candidates(from_path: Column, module: Column) -> Column:
-    """Paths that a relative specifier may mean, best first; null for others and for those that leave the root."""
+def import_base(from_path: Column, module: Column) -> Column:
+    """The path that a relative specifier names, without guessing; null for others and for those that leave the root."""
     folder = dirname(from_path)
     base = normalized(F.concat_ws("/", F.when(folder != "", folder), module))
     base = F.when(module.endswith("/"), F.concat(base, F.lit("/"))).otherwise(base)
-    extension = F.regexp_extract(base, r"[^/](\.[^./]*)$", 1)
-    bare = F.substr(base, F.lit(1), F.length(base) - F.length(extension))
-    with_ext = lambda stem, mid="": F.array(*[F.concat(stem, F.lit(mid + e)) for e in EXTENSIONS])
-    if_ext = lambda made: F.when(extension != "", made).otherwise(F.array().cast("array<string>"))
-    every = F.concat(F.array(base), with_ext(base), if_ext(with_ext(bare)), with_ext(base, "/index"), if_ext(with_ext(bare, "/index")))
-    return F.when(module.startswith(".") & ~base.startswith("../") & ~base.startswith("/"), every)
+    return F.when(module.startswith("."), base)
+
+
+def file_keys(files: DataFrame) -> DataFrame:
+    """(key, how, ext, to_path): a file is found by its path, its path without extension, or, for an index, its folder."""
+    path = F.col("file_path")
+    extension = F.regexp_extract(path, r"(\.[^./]*)$", 1)
+    rank = F.array_position(F.array(*[F.lit(e) for e in EXTENSIONS]), extension)
+    stem = F.substr(path, F.lit(1), F.length(path) - F.length(extension))
+    key = lambda k, how, r: F.struct(k.alias("key"), F.lit(how).alias("how"), r.alias("ext"))
+    known = rank > 0
+    found = F.array(key(path, "path", F.lit(0).cast("long")), F.when(known, key(stem, "stem", rank)), F.when(known & stem.endswith("/index"), key(F.regexp_replace(stem, "/index$", ""), "folder", rank)))
+    return files.select(F.explode(F.array_compact(found)).alias("k"), path.alias("to_path")).select("k.*", "to_path")
 
 
 def import_edges(files: DataFrame) -> DataFrame:
-    """(from_path, module, line, ord, to_path): each import that resolves, to the first candidate that exists.
+    """(from_path, module, line, ord, to_path): each import that resolves, to the best file that exists.
 
-    ``files`` has file_path and imports (array of module, line).
+    Tried in order: the path as it is, with each extension, with each extension
+    in place of its own, as a folder with an index, and so without its extension.
+    Both sides meet on at most five keys an import and three a file, not on every
+    path that might be meant. ``files`` has file_path and imports (module, line).
     """
     rows = files.select(F.col("file_path").alias("from_path"), F.posexplode("imports").alias("ord", "i")).select("from_path", "ord", "i.module", "i.line")
-    tried = rows.select("*", F.posexplode(candidates(F.col("from_path"), F.col("module"))).alias("try", "to_path"))
-    met = tried.join(files.select(F.col("file_path").alias("to_path")), "to_path", "left_semi")
-    return met.groupBy("from_path", "ord", "module", "line").agg(F.min_by("to_path", "try").alias("to_path"))
+    rows = rows.withColumn("base", import_base(F.col("from_path"), F.col("module"))).where("base is not null and not startswith(base, '../') and not startswith(base, '/')")
+    rows = rows.withColumn("own", F.regexp_extract("base", r"[^/](\.[^./]*)$", 1)).withColumn("bare", F.when(F.col("own") != "", F.substr("base", F.lit(1), F.length("base") - F.length("own"))))
+    tries = [("base", "path"), ("base", "stem"), ("bare", "stem"), ("base", "folder"), ("bare", "folder")]
+    keys = F.array(*[F.struct(F.col(c).alias("key"), F.lit(how).alias("how"), F.lit(i).alias("step")) for i, (c, how) in enumerate(tries)])
+    tried = rows.select("from_path", "ord", "module", "line", F.explode(keys).alias("t")).select("from_path", "ord", "module", "line", "t.*").where("key is not null")
+    met = tried.join(file_keys(files), ["key", "how"])
+    return met.groupBy("from_path", "ord", "module", "line").agg(F.min_by("to_path", F.struct("step", "ext")).alias("to_path"))
 
 
 def reverse_imports(edges: DataFrame) -> DataFrame:

@@ -100,3 +100,14 @@ def test_writeback_priority_and_limits(spark):
     s = writeback.suggestions(F.lit("fix the design test"), F.lit(2), F.lit(1), F.lit(0), F.lit(False), F.lit(True), F.lit(False), F.lit(2), F.lit(0), 3)
     assert [(x.kind, x.confidence) for x in one.select(s.alias("s")).first().s] == [("gotcha", 0.68), ("decision", 0.74), ("invariant", 0.64)]
     assert [writeback.clamp_limit(x) for x in (None, float("nan"), -1, 3.7, 99)] == [6, 6, 0, 3, 20]
+
+
+def test_imports_resolve_in_order(spark):
+    from cairnlake.operators import deps
+
+    there = ["src/a.ts", "src/a/index.ts", "src/b/index.tsx", "src/c.mjs", "src/c.ts", "src/d.js", "src/d.ts", "lib/e.d.ts", "src/x.test.ts", "root.ts"]
+    asked = {"./a": "src/a.ts", "./a/": None, "./b": "src/b/index.tsx", "./b.js": "src/b/index.tsx", "./c": "src/c.mjs", "./c.js": "src/c.mjs", "./d.js": "src/d.js", "./d": "src/d.js", "../lib/e.d": "lib/e.d.ts", "./x.test": "src/x.test.ts", "../root": "root.ts", "../../root": None, "a": None, "./missing": None, "./a/index": "src/a/index.ts"}
+    rows = [(p, []) for p in there] + [("src/main.ts", [(m, i) for i, m in enumerate(asked)])]
+    files = spark.createDataFrame(rows, "file_path string, imports array<struct<module:string,line:int>>")
+    got = {r.module: r.to_path for r in deps.import_edges(files).collect()}
+    assert got == {m: t for m, t in asked.items() if t}
