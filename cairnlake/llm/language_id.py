@@ -31,7 +31,7 @@ from cairnlake.llm.common import as_text, map_batches, pick
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PENALTY = 1.0
-STEPS = 12
+STEPS = 8
 UNKNOWN = "und"
 
 
@@ -68,31 +68,30 @@ def gram_counts(rows: DataFrame, max_grams: int) -> DataFrame:
     return ranked.where(F.col("r") <= max_grams).select("lang", "gram", "n")
 
 
-class WordLikelihoods(dict):
-    """Word -> row of log P(word | language); a bounded cache that grows by misses."""
+class WordLikelihoods:
+    """Rows of log P(word | language); a bounded cache that is filled for many words at once."""
 
     def __init__(self, langs: list[str], table: dict[str, np.ndarray], floor: np.ndarray, limit: int = 200_000):
-        super().__init__()
-        self.langs, self.table, self.floor, self.limit = langs, table, floor, limit
-        self.rows = np.zeros((1024, len(langs)), np.float32)
-
-    def __missing__(self, word: str) -> int:
-        i = len(self)
-        if i == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        total = np.zeros(len(self.langs))
-        for gram in grams(word):
-            total += self.table.get(gram, self.floor)
-        self.rows[i] = total
-        self[word] = i
-        return i
+        self.limit = limit
+        self.number = {gram: i for i, gram in enumerate(table)}
+        self.logs = np.array([*table.values(), floor], np.float32).reshape(-1, len(langs))
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((0, self.logs.shape[1]), np.float32)
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > self.limit:
+        if len(self.place) > self.limit:
             self.clear()
-            self.rows = np.zeros((1024, len(self.langs)), np.float32)
-        places = list(map(self.__getitem__, words))  # may make self.rows longer
-        return self.rows[places]
+        place, unknown = self.place, len(self.number)
+        if fresh := [w for w in dict.fromkeys(words) if w not in place]:
+            place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
+            ids = np.array([self.number.get(g, unknown) for w in fresh for g in grams(w)], np.int64)
+            lengths = np.array([len(w) for w in fresh], np.int64)  # a word of n letters has n grams
+            added = np.add.reduceat(self.logs[ids], np.cumsum(lengths) - lengths, axis=0)
+            self.rows = np.concatenate([self.rows, added])
+        return self.rows[[place[w] for w in words]]
 
 
 def build_model(counts: list[tuple[str, str, int]]) -> tuple[list[str], dict[str, np.ndarray], np.ndarray]:
@@ -106,42 +105,51 @@ def build_model(counts: list[tuple[str, str, int]]) -> tuple[list[str], dict[str
     return langs, {g: np.log((v + 0.5) / totals) for g, v in by_gram.items()}, np.log(0.5 / totals)
 
 
-def mixtures(logs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def mixtures(logs: np.ndarray, times: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Proportions for each document and the chosen languages.
 
-    ``logs`` has a row for each word, ``starts`` the first row of each document
-    (none is empty).
+    ``logs`` has a row for each distinct word of a document and ``times`` how
+    often it occurs there; ``starts`` has the first row of each document (none
+    is empty).
     """
-    lengths = np.diff(np.append(starts, len(logs)))
-    owner = np.repeat(np.arange(len(starts)), lengths)
-    top = logs.max(axis=1, keepdims=True)
-    like = np.exp(logs - top)
-
-    def fit(allowed: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    docs, k = len(starts), logs.shape[1]
+    top = logs.max(axis=1)
+    like = np.exp(logs - top[:, None])
+    rows_of = np.diff(np.append(starts, len(logs)))
+    words = np.add.reduceat(times, starts)
+
+    def fit(which: np.ndarray, allowed: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """EM on the documents ``which`` over their ``allowed`` languages: (shares, log-likelihoods)."""
+        rows = np.concatenate([np.arange(starts[d], starts[d] + rows_of[d]) for d in which]) if len(which) < docs else slice(None)
+        n = rows_of[which]
+        first = np.cumsum(n) - n
+        owner = np.repeat(np.arange(len(which)), n)
+        own, weight = like[rows], times[rows]
         share = allowed / allowed.sum(axis=1, keepdims=True)
         for _ in range(steps):
-            part = like * share[owner]
-            norm = np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
-            share = np.add.reduceat(part / norm, starts, axis=0) / lengths[:, None]
-        norm = np.maximum((like * share[owner]).sum(axis=1), 1e-30)
-        return share, np.add.reduceat(np.log(norm) + top[:, 0], starts)
-
-    k = logs.shape[1]
-    full, _ = fit(np.ones((len(starts), k), np.float32), STEPS)
+            part = own * share[owner]
+            part *= (weight / np.maximum(part.sum(axis=1), 1e-30))[:, None]
+            share = np.add.reduceat(part, first, axis=0) / words[which, None]
+        fitness = np.log(np.maximum((own * share[owner]).sum(axis=1), 1e-30)) + top[rows]
+        return share, np.add.reduceat(fitness * weight, first)
+
+    every = np.arange(docs)
+    full, _ = fit(every, np.ones((docs, k), np.float32), STEPS)
     order = np.argsort(-full, axis=1, kind="stable")
-    chosen = np.zeros((len(starts), k), np.float32)
-    chosen[np.arange(len(starts)), order[:, 0]] = 1
-    share, best = fit(chosen, 1)
-    growing = np.ones(len(starts), bool)
+    chosen = np.zeros((docs, k), np.float32)
+    chosen[every, order[:, 0]] = 1
+    share, best = fit(every, chosen, 1)
+    growing = every
     for size in range(1, k):
-        growing &= full[np.arange(len(starts)), order[:, size]] > 1 / (lengths + 1)
-        if not growing.any():
+        growing = growing[full[growing, order[growing, size]] * words[growing] > 1]
+        if not len(growing):
             break
-        wider = chosen.copy()
-        wider[growing, order[growing, size]] = 1
-        more, fitness = fit(wider, STEPS)
-        growing &= fitness - best > PENALTY * np.log(lengths + 1)
-        chosen[growing], share[growing], best[growing] = wider[growing], more[growing], fitness[growing]
+        wider = chosen[growing]
+        wider[np.arange(len(growing)), order[growing, size]] = 1
+        more, fitness = fit(growing, wider, STEPS)
+        better = fitness - best[growing] > PENALTY * np.log(words[growing] + 1)
+        growing, wider, more, fitness = growing[better], wider[better], more[better], fitness[better]
+        chosen[growing], share[growing], best[growing] = wider, more, fitness
     return share, [np.flatnonzero(c) for c in chosen]
 
 
@@ -154,11 +162,12 @@ def language_id(documents: DataFrame, training: DataFrame, *, id_col: str = "doc
 
     def make():
         langs, table, floor = shared.value
-        cache = WordLikelihoods(langs, table, floor)
+        cache = WordLikelihoods(langs, table, floor) if langs else None
 
-        def judge(docs: list[list[str]], out: list, at: list[int]) -> None:
+        def judge(docs: list[Counter], out: list, at: list[int]) -> None:
             starts = np.cumsum([0, *[len(d) for d in docs[:-1]]])
-            share, sets = mixtures(cache.of([w for d in docs for w in d]), starts)
+            times = np.array([n for d in docs for n in d.values()], np.float32)
+            share, sets = mixtures(cache.of([w for d in docs for w in d]), times, starts)
             for i, s, chosen in zip(at, share, sets):
                 ranked = sorted(chosen, key=lambda j: (-s[j], j))
                 out[i] = (langs[ranked[0]], min(1.0, float(s[ranked[0]])), [langs[j] for j in ranked])
@@ -168,7 +177,7 @@ def language_id(documents: DataFrame, training: DataFrame, *, id_col: str = "doc
             out: list = [(UNKNOWN, 0.0, [])] * len(texts)
             docs, at, n = [], [], 0
             for i, text in enumerate(texts if langs else []):
-                words = LETTERS.findall(text.lower())
+                words = Counter(LETTERS.findall(text.lower()))
                 if words:
                     docs.append(words)
                     at.append(i)
