@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cairnlake.llm.common import as_bytes, map_batches, persist, pick
+from cairnlake.llm.common import as_bytes, give_back, map_batches, persist, pick
 from cairnlake.llm.components import components
 from cairnlake.llm.shingles import WordHashes, set_key, shingle_set
 
@@ -90,6 +90,8 @@ def frequent(profiles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     found = profiles.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
     tokens, counts = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(tokens)
+    del found
+    give_back()
     return tokens[order], np.log2(np.maximum(counts[order], 1)).astype(np.int8) + 1
 
 
