@@ -22,6 +22,10 @@ link by arithmetic, and others only if they share differences, which an index of
 the rarest differences finds. So a group of m near copies costs about m steps,
 not m * m, and no link between different sets is lost.
 
+Counts. For the number of links of each set, a set gets one home circle that is
+made to hold all who share a circle with it; links by arithmetic are read off
+sums over the weights there, links by shared differences are derived one by one.
+
 Verdicts on pairs are exact on 64-bit shingle hashes. A document without words
 (null or empty text) has an empty set and links with nothing; one with fewer
 words than a shingle has its whole sequence as one. Repeated rows and ids each
@@ -31,6 +35,7 @@ get their row; null ids never name a component.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
@@ -172,8 +177,8 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int, least: Fraction) ->
     return map_batches(rows, make, "a long, b long, na long, nb long, both long, gone array<bigint>, more array<bigint>")
 
 
-def circle_links(circles: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) inside each hub's circle, from the differences (gone, more) of its members ``a`` to the hub ``b``.
+def centred(circles: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(hub, set, token, gone) and (hub, set, w, k, own, room) of each circle, from the differences (gone, more) of its members ``a`` to the hub ``b``.
 
     With differences taken to any set P of the circle (not necessarily a
     document's), |A and B| = |P| - gone(A) - gone(B) + c with c the differences
@@ -192,32 +197,96 @@ def circle_links(circles: DataFrame, num: int, den: int) -> DataFrame:
     diffs = persist(kept.unionByName(turned))
 
     weights = diffs.groupBy("hub", "set").agg(F.sum(F.when(F.col("gone"), den).otherwise(num)).alias("w"), F.count(F.lit(1)).alias("k"), F.collect_list("token").alias("own"))
-    sets = members.join(weights, ["hub", "set"], "left").fillna(0, ["w", "k"]).join(centre, "hub").withColumn("room", F.col("np") * (den - num))
+    return diffs, members.join(weights, ["hub", "set"], "left").fillna(0, ["w", "k"]).join(centre, "hub").withColumn("room", F.col("np") * (den - num)).drop("np")
+
+
+def starred(sets: DataFrame) -> DataFrame:
+    """``sets`` with their circle's lightest set ``centre``, and whether they link with it by arithmetic (``star``)."""
     best = sets.groupBy("hub").agg(F.min(F.struct("w", "set")).alias("best"))
     sets = sets.join(best, "hub").withColumn("star", F.col("w") + F.col("best.w") <= F.col("room"))
-    sets = persist(sets.select("hub", "set", "w", "k", "own", "room", "star", F.col("best.set").alias("centre")))
-    stars = sets.where("star and set != centre").select(F.col("set").alias("a"), F.col("centre").alias("b"))
+    return sets.withColumn("centre", F.col("best.set")).drop("best")
 
-    # Pairs with shared differences, at least one outside the star.
-    rest = sets.groupBy("hub").agg(F.min(F.when(F.col("k") > 0, F.col("w"))).alias("any"), F.min(F.when(~F.col("star"), F.col("w"))).alias("out"))
-    needs = sets.drop("own").where("k > 0").join(rest, "hub").withColumn("other", F.when(F.col("star"), F.col("out")).otherwise(F.col("any"))).where("other is not null")
-    needs = needs.withColumn("q", F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("other") - F.col("room")) / F.lit(num + den))).cast("long")).where("q <= k")
+
+def sharing_links(diffs: DataFrame, sets: DataFrame, needs: DataFrame, wanted: Column, num: int, den: int, *, carried: tuple[str, ...]) -> DataFrame:
+    """(set_a, set_b, carried of both) that link and share differences; ``needs`` has the least number ``q`` that a set must share, ``wanted`` chooses pairs."""
     common = diffs.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     rare = W.partitionBy("hub", "set").orderBy("c", "token")
     single = diffs.join(needs, ["hub", "set"]).join(common, ["hub", "token"], "left").fillna(1, ["c"])
-    probe = single.withColumn("r", F.row_number().over(rare)).where((F.col("r") <= F.col("k") - F.col("q") + 1) & (F.col("c") > 1)).select("hub", "token", "set", "star", "w", "k", "room")
-    side = lambda s: probe.select("hub", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "star", "w", "k")], F.col("room").alias(f"room_{s}"))
+    probe = single.withColumn("r", F.row_number().over(rare)).where((F.col("r") <= F.col("k") - F.col("q") + 1) & (F.col("c") > 1)).select("hub", "token", "set", "w", "k", "room", *carried)
+    side = lambda s: probe.select("hub", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "w", "k", *carried)], F.col("room").alias(f"room_{s}"))
     reach = F.col("w_a") + F.col("w_b") <= F.col("room_a") + F.lit(num + den) * F.least("k_a", "k_b")
-    met = side("a").join(side("b"), ["hub", "token"]).where((F.col("set_a") < F.col("set_b")) & ~(F.col("star_a") & F.col("star_b")) & reach)
-    met = met.select("hub", "set_a", "set_b", "w_a", "w_b", F.col("room_a").alias("room")).distinct()
+    met = side("a").join(side("b"), ["hub", "token"]).where((F.col("set_a") < F.col("set_b")) & wanted & reach)
+    both = [f"{c}_{s}" for c in carried for s in "ab"]
+    met = met.select("hub", "set_a", "set_b", "w_a", "w_b", F.col("room_a").alias("room"), *both).distinct()
     own = lambda s: sets.select("hub", F.col("set").alias(f"set_{s}"), F.col("own").alias(f"own_{s}"))
     shared = met.join(own("a"), ["hub", "set_a"]).join(own("b"), ["hub", "set_b"]).withColumn("c", F.size(F.array_intersect("own_a", "own_b")))
-    links = shared.where(F.col("w_a") + F.col("w_b") <= F.col("room") + F.lit(num + den) * F.col("c")).select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
-    return stars.union(links)
+    return shared.where(F.col("w_a") + F.col("w_b") <= F.col("room") + F.lit(num + den) * F.col("c")).select("hub", "set_a", "set_b", *both)
+
+
+def circle_links(circles: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) inside each hub's circle that connect what all its links connect."""
+    diffs, sets = centred(circles, num, den)
+    sets = persist(starred(sets))
+    stars = sets.where("star and set != centre").select(F.col("set").alias("a"), F.col("centre").alias("b"))
+
+    # Pairs with shared differences, at least one outside the star.
+    rest = sets.groupBy("hub").agg(F.min(F.when(F.col("k") > 0, F.col("w"))).alias("any"), F.min(F.when(~F.col("star"), F.col("w"))).alias("out"))
+    needs = sets.drop("own").where("k > 0").join(rest, "hub").withColumn("other", F.when(F.col("star"), F.col("out")).otherwise(F.col("any"))).where("other is not null")
+    needs = needs.withColumn("q", F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("other") - F.col("room")) / F.lit(num + den))).cast("long")).where("q <= k")
+    links = sharing_links(diffs, sets, needs, ~(F.col("star_a") & F.col("star_b")), num, den, carried=("star",))
+    return stars.union(links.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")))
+
+
+def home_circles(circles: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(set, hub) with one home circle for each set that is in a circle, and the circles of these hubs, made whole.
+
+    A set's home is the largest of its circles. Whoever shares a circle with the
+    set is compared with the home's hub too, so all links of the set with sets of
+    its circles lie in its home circle and can be counted there, once.
+    """
+    seats = persist(circles.select(F.col("a").alias("set"), F.col("b").alias("hub")).union(circles.select(F.col("b").alias("set"), F.col("b").alias("hub")).distinct()))
+    sizes = seats.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
+    home = persist(seats.join(sizes, "hub").groupBy("set").agg(F.max(F.struct("m", "hub")).alias("best")).select("set", F.col("best.hub").alias("hub")))
+    moves = seats.join(home.withColumnRenamed("hub", "home"), "set").where("hub != home").select("hub", "home").distinct()
+    asked = seats.join(moves, "hub").where("set != home").select(F.col("set").alias("a"), F.col("home").alias("b")).distinct()
+    more = compare(persist(asked.join(circles.select("a", "b"), ["a", "b"], "left_anti")))
+    at_home = home.select(F.col("hub").alias("b")).distinct()
+    return home, persist(circles.join(at_home, "b", "left_semi").select(*circles.columns).union(more.select(*circles.columns)))
+
+
+def counted_links(circles: DataFrame, home: DataFrame, copies: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(connecting links (a, b), counts (key, n)) of home circles.
+
+    n: the documents of other sets that link with the set, for each set at its
+    home. Those that link by arithmetic are read off the sums over weights; the
+    others share differences and are derived pair by pair.
+    """
+    diffs, sets = centred(circles, num, den)
+    sets = sets.join(copies.withColumnRenamed("key", "set"), "set").join(home.withColumnRenamed("hub", "own_hub"), "set").withColumn("home", F.col("hub") == F.col("own_hub")).drop("own_hub")
+    sets = persist(starred(sets))
+    stars = sets.where("star and set != centre").select(F.col("set").alias("a"), F.col("centre").alias("b"))
+
+    weighed = sets.groupBy("hub", "room", "w").agg(F.sum("times").alias("n"))
+    steps = weighed.select("hub", "w", F.col("w").alias("x"), "n", F.lit(0).alias("ask")).union(weighed.select("hub", "w", (F.col("room") - F.col("w")).alias("x"), F.lit(0), F.lit(1)))
+    upto = steps.withColumn("upto", F.sum("n").over(W.partitionBy("hub").orderBy("x", "ask").rowsBetween(W.unboundedPreceding, 0))).where("ask = 1").select("hub", "w", "upto")
+    plain = sets.where("home").join(upto, ["hub", "w"]).select(F.col("set").alias("key"), (F.col("upto") - F.when(2 * F.col("w") <= F.col("room"), F.col("times")).otherwise(0)).alias("n"))
+
+    # Pairs that only shared differences bring in.
+    rest = sets.where("k > 0").groupBy("hub").agg(F.min("w").alias("least"), F.max("w").alias("most"))
+    needs = sets.drop("own").where("k > 0").join(rest, "hub").where("w + most > room")
+    needs = needs.withColumn("q", F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least") - F.col("room")) / F.lit(num + den))).cast("long")).where("q <= k")
+    wanted = (F.col("w_a") + F.col("w_b") > F.col("room_a")) & (F.col("home_a") | F.col("home_b"))
+    links = persist(sharing_links(diffs, sets, needs, wanted, num, den, carried=("home", "times")))
+    shared = links.where("home_a").select(F.col("set_a").alias("key"), F.col("times_b").alias("n")).union(links.where("home_b").select("set_b", "times_a"))
+    return stars.union(links.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))), plain.union(shared)
+
 
+def similar_sets(rows: DataFrame, profiles: DataFrame, size: int, num: int, den: int, dense: int, copies: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b) between keys of different sets that connect what the join's links connect.
 
-def similar_sets(rows: DataFrame, profiles: DataFrame, size: int, num: int, den: int, dense: int) -> DataFrame:
-    """Links (a, b) between keys of different sets that connect what the join's links connect."""
+    With ``copies`` (key, times) also (key, n), whose sums are the documents of
+    other sets that link with the set; sets without such a link may be missing.
+    """
     entries = persist(index_entries(rows, size, num, den, *frequent(profiles)))
     step = math.log(den / num)
     lists = entries.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("token")
@@ -247,7 +316,17 @@ def similar_sets(rows: DataFrame, profiles: DataFrame, size: int, num: int, den:
     least = lambda n: F.ceil(F.lit(num) * F.col(n) / F.lit(den))
     pairs = persist(pairs.where(F.col("m") + F.greatest(least("na"), least("nb")) - 1 >= need).select("a", "b"))
     linked = compared(pairs, wanted_texts(rows, names, pairs, size), size, Fraction(num, den)).select("a", "b")
-    return linked.union(circle_links(circles, num, den))
+    if copies is None:
+        return linked.union(circle_links(circles, num, den)), None
+
+    linked = persist(linked)
+    home, circles = home_circles(circles, lambda asked: compared(asked, wanted_texts(rows, names, asked, size), size, max(Fraction(0), 1 - 4 * far)))
+    links, counts = counted_links(circles, home, copies, num, den)
+    ways = linked.union(linked.select("b", "a"))
+    inside = circles.select("a", "b").union(circles.select("b", "b").distinct()).select(F.col("a").alias("b"), F.col("b").alias("hub"))
+    apart = ways.join(home.withColumnRenamed("set", "a"), "a", "left").join(inside, ["b", "hub"], "left_anti")
+    counts = counts.union(apart.join(copies.withColumnRenamed("key", "b"), "b").select(F.col("a").alias("key"), F.col("times").alias("n")))
+    return linked.union(links), counts
 
 
 def wanted_texts(rows: DataFrame, names: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -300,25 +379,33 @@ def place(id_col: Column, text_col: Column) -> Column:
     return F.coalesce(id_col.cast("string"), F.concat(F.lit("#"), F.hex(F.xxhash64(text_col))))
 
 
-def jaccard_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, dense: int = DENSE) -> DataFrame:
-    """``id_col``, n_shingles, component_id (the smallest id that links reach) for every row."""
+def jaccard_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, dense: int = DENSE, count_links: bool = True) -> DataFrame:
+    """``id_col``, n_shingles, component_id (the smallest id that links reach) and n_links (other rows that the row links with) for every row.
+
+    Without ``count_links`` only the links that connect are derived, and n_links is left out.
+    """
     shrink = Fraction(num, den)
     num, den = shrink.numerator, shrink.denominator
     rows = pick(documents, id=id_col, text=text_col).withColumn("at", place(F.col("id"), F.col("text")))
     profiles = persist(profile(rows, size))
-    roots = components(similar_sets(rows, profiles, size, num, den, dense))
     docs = profiles.where("kind = 0").select("id", "n", "key")
-    sets = docs.where("n > 0").groupBy("key").agg(F.min("id").alias("least")).join(roots.withColumnRenamed("node", "key"), "key", "left")
+    copies = docs.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    links, counts = similar_sets(rows, profiles, size, num, den, dense, persist(copies) if count_links else None)
+    roots = components(links)
+    sets = docs.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), (F.count(F.lit(1)) - 1).alias("others")).join(roots.withColumnRenamed("node", "key"), "key", "left")
     sets = sets.withColumn("root", F.coalesce("root", "key"))
     named = sets.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = sets.join(named, "root").select("key", "component_id")
-    full = docs.where("n > 0").join(label, "key").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(docs.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    label = sets.join(named, "root").select("key", "component_id", "others")
+    if counts is not None:
+        label = label.join(counts.groupBy("key").agg(F.sum("n").alias("far")), "key", "left").select("key", "component_id", (F.col("others") + F.coalesce("far", F.lit(0))).alias("n_links"))
+    numbers = ["n_links"] if count_links else []
+    full = docs.where("n > 0").join(label, "key").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *numbers)
+    return full.unionByName(docs.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in numbers]))
 
 
 def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, dense: int = DENSE) -> DataFrame:
     """``documents`` with one row of each component: that of its smallest id. Rows with a null id stay."""
-    found = jaccard_components(documents, id_col=id_col, text_col=text_col, size=size, num=num, den=den, dense=dense)
+    found = jaccard_components(documents, id_col=id_col, text_col=text_col, size=size, num=num, den=den, dense=dense, count_links=False)
     kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
     named = documents.join(kept, documents[id_col] == kept["__kept"], "left_semi").dropDuplicates([id_col])
     return named.unionByName(documents.where(documents[id_col].isNull()))

@@ -92,3 +92,26 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
     assert components(edges.where("false")).count() == 0
+
+
+def brute_links(rows, size, num, den):
+    """For each row the other rows that it links with."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) or (frozenset([tuple(w)]) if w else frozenset()))
+    return [sum(i != j and bool(x) and den * len(x & y) >= num * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+
+
+@pytest.mark.parametrize("dense,num,size", [(2, 80, 3), (16, 90, 3)])
+def test_link_counts_equal_brute_force(docs, dense, num, size):
+    """Two families that share half of their text, one far larger than ``dense``, with exact copies."""
+    rng = random.Random(dense)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(80)]
+    texts = family(rng, base, 50, words, 5) + family(rng, base[:60] + [rng.choice(words) for _ in range(8)] + base[68:], 40, words, 3) + family(rng, [rng.choice(words) for _ in range(30)], 8, words, 2)
+    rows = [(i, t) for i, t in enumerate(texts + texts[:7] + texts[:3] + texts[60:64] + ["", None, "one"])]
+    got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_components(docs(rows), dense=dense, num=num, size=size).collect()}
+    want = brute_links(rows, size, num, 100)
+    assert max(want) > dense and [got[i] for i in range(len(rows))] == want
+    assert found(docs(rows), dense=dense, num=num, size=size) == brute(rows, size, num, 100)
