@@ -14,6 +14,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,6 +103,23 @@ def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0).limit(rows)
 
 
+def bit_map(places: DataFrame, size: int) -> np.ndarray:
+    """Packed bits of fixed ``size``, set at the numbers below it in the only column of ``places``."""
+
+    def collect():
+        def work(batch):
+            bits = np.zeros(size, bool)
+            bits[batch.column(0).to_numpy()] = True
+            return pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+        return work
+
+    bits = np.zeros(size // 8, np.uint8)
+    for row in map_batches(places.coalesce(4), collect, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(row.bits, np.uint8)
+    return bits
+
+
 def sha256_hex(parts: list[str]) -> str:
     return hashlib.sha256(",".join(parts).encode()).hexdigest()
 

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cairnlake.llm.common import as_bytes, give_back, map_batches, persist, pick
+from cairnlake.llm.common import as_bytes, bit_map, give_back, map_batches, persist, pick
 from cairnlake.llm.components import components
 from cairnlake.llm.shingles import WordHashes, set_key, shingle_set
 
@@ -339,17 +339,7 @@ def wanted_texts(rows: DataFrame, names: DataFrame, pairs: DataFrame, size: int)
     keys = persist(keys.join(names, "key"))
     bit = F.pmod(F.xxhash64("at"), F.lit(FILTER_BITS)).alias("bit")
 
-    def collect():
-        def work(batch):
-            bits = np.zeros(FILTER_BITS, bool)
-            bits[batch.column(0).to_numpy()] = True
-            return pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-        return work
-
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in map_batches(keys.select(bit).coalesce(4), collect, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row.bits, np.uint8)
+    bits = bit_map(keys.select(bit), FILTER_BITS)
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def choose():

@@ -3,8 +3,9 @@
 A word's vector is the sum of hashed embeddings of the word and of its first
 three, four and five letters. Filters of several widths slide over the whole
 text, each keeps its largest activation (max pooling), and a logistic unit gives
-the score. Thresholds are calibrated for each language on training rows that the
-fit didn't see; the score itself never sees language, source or id.
+the score. Thresholds are calibrated for each language on all labelled rows
+outside the held-out fold that the fit didn't see, scored on the executors; the
+score itself never sees language, source or id.
 
 The fit uses at most ``per_class`` labelled rows of each class (a documented
 bound), picked by a hash of the id, so that the driver holds a bounded sample;
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import as_text, give_back, map_batches, pick
+from cairnlake.llm.common import as_text, bit_map, give_back, map_batches, pick
 
 LETTERS = re.compile(r"[^\W\d_]+")
 WIDTHS, FILTERS, DIM, BUCKETS = (1, 2, 3), 8, 16, 1 << 16
@@ -35,6 +36,10 @@ EPOCHS, BATCH, RATE, PENALTY = 6, 32, 0.02, 1e-4
 SEED = 11
 #: Rows of a language needed for a threshold of its own, and the threshold of the others.
 LEAST_ROWS, DEFAULT_THRESHOLD = 30, 0.5
+#: Steps of the score in a language's histogram, a power of two.
+BINS = 1 << 12
+#: Size of the bit map of labelled ids: 2 MB.
+LABEL_BITS = 1 << 24
 
 
 def held_out(id_col: Column) -> Column:
@@ -170,22 +175,53 @@ class Scorer:
         return self.model.score(self.model.pooled(self.rows[ids].reshape(len(ids), -1, FILTERS))[0])
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the widest best gap: fewest errors, then farthest from the scores around it."""
-    order = np.argsort(scores)
-    s, y = scores[order], labels[order]
-    errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([[(1 - y).sum()], (1 - y).sum() - np.cumsum(1 - y)])
-    edges = np.concatenate([[0.0], s, [1.0]])
-    middle, gap = (edges[1:] + edges[:-1]) / 2, edges[1:] - edges[:-1]
+def best_threshold(counts: np.ndarray) -> float:
+    """The threshold of fewest errors from the rows [clean, toxic] in each bin of the score.
+
+    Of several it is the middle of the widest gap that no score lies in.
+    """
+    clean, toxic = counts
+    errors = np.concatenate([[0], np.cumsum(toxic)]) + clean.sum() - np.concatenate([[0], np.cumsum(clean)])
     best = np.flatnonzero(errors == errors.min())
-    return float(middle[best[gap[best].argmax()]])
+    joined = (np.diff(best) == 1) & (counts.sum(axis=0)[best[:-1]] == 0)
+    gaps = np.split(best, np.flatnonzero(~joined) + 1)
+    widest = max(gaps, key=len)
+    return float(widest[0] + widest[-1]) / 2 / BINS
+
+
+def calibrate(documents: DataFrame, marks: DataFrame, model: Model) -> dict[str, float]:
+    """Thresholds by language from all rows (id, text, lang) that ``marks`` (id, y) labels.
+
+    A broadcast bit map of fixed size keeps most other texts from being scored,
+    and only ids, languages and scores are shuffled.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(LABEL_BITS)).alias("bit")
+    shared = documents.sparkSession.sparkContext.broadcast((model.state(), bit_map(marks.select(bit), LABEL_BITS)))
+
+    def make():
+        state, bits = shared.value
+        score = Scorer(Model.of(state))
+
+        def work(batch):
+            at = batch.column(3).to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7))) & 1 == 1))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([min(BINS - 1, int(score(t) * BINS)) for t in as_text(batch.column(1))], pa.int32())], ["id", "lang", "bin"])
+
+        return work
+
+    scored = map_batches(documents.select("id", "text", F.coalesce("lang", F.lit("")).alias("lang"), bit), make, f"id {dict(documents.dtypes)['id']}, lang string, bin int")
+    counts: dict[str, np.ndarray] = {}
+    for r in scored.join(marks, "id").groupBy("lang", "bin", "y").count().toLocalIterator():
+        counts.setdefault(r.lang, np.zeros((2, BINS), np.int64))[r.y, r.bin] += r["count"]
+    return {lang: best_threshold(c) for lang, c in sorted(counts.items()) if c.sum() >= LEAST_ROWS and c.sum(axis=1).all()}
 
 
 def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_id_col: str = "doc_id", label_col: str = "toxic", per_class: int = 2500) -> tuple[Model | None, dict[str, float]]:
-    """(model, thresholds by language) from at most ``per_class`` labelled rows of each class outside the held-out fold.
+    """(model, thresholds by language): a fit on at most ``per_class`` labelled rows of each class outside the held-out fold, thresholds from all others.
 
     The ids are drawn from the labels first, so only their texts leave the
-    executors and no join shuffles the documents.
+    executors and no join shuffles the documents. A fifth of the drawn rows is
+    left to the thresholds, so that a small corpus has some too.
     """
     marks = pick(labels, id=label_id_col, y=label_col).where(F.col("y").isin(0, 1) & ~held_out(F.col("id")))
     counts = {r.y: r["count"] for r in marks.groupBy("y").count().collect()}
@@ -196,20 +232,12 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     rows = pick(documents, id=id_col, text=text_col, lang=lang_col).join(drawn, "id").select("id", "text", "lang", "y").orderBy(F.xxhash64("id"), "id", "y").collect()
     cache: dict = {}
     docs, y = [encoded(r.text or "", cache) for r in rows], np.array([r.y for r in rows], np.int64)
-    apart = np.array([zlib.crc32(f"c{r.id}".encode()) % 5 == 0 for r in rows], bool)
-    fitting = np.flatnonzero(~apart)
+    fitting = np.flatnonzero([zlib.crc32(f"c{r.id}".encode()) % 5 != 0 for r in rows])
     model = fit([docs[i] for i in fitting], [int(y[i]) for i in fitting])
-    scorer, langs = Scorer(model), np.array([r.lang or "" for r in rows])
-    chosen = np.flatnonzero(apart)
-    scores = np.array([scorer(rows[i].text or "") for i in chosen])
-    thresholds = {}
-    for lang in sorted(set(langs[chosen])):
-        own = langs[chosen] == lang
-        if own.sum() >= LEAST_ROWS and 0 < y[chosen][own].sum() < own.sum():
-            thresholds[str(lang)] = best_threshold(scores[own], y[chosen][own])
-    del rows, docs, cache, scorer  # the sample leaves the driver before the next job
+    del rows, docs, cache  # the sample leaves the driver before the next job
     give_back()
-    return model, thresholds
+    fitted = drawn.where(F.pmod(F.crc32(F.concat(F.lit("c"), F.col("id").cast("string")).cast("binary")), F.lit(5)) != 0).select("id")
+    return model, calibrate(pick(documents, id=id_col, text=text_col, lang=lang_col), marks.join(fitted, "id", "left_anti"), model)
 
 
 def toxicity(documents: DataFrame, model: Model | None, thresholds: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -196,6 +196,22 @@ def test_toxicity(docs, spark):
     assert {r.score for r in toxicity.toxicity(df, None, {}).collect()} == {0.0}
 
 
+def test_thresholds_come_from_all_labels(docs, spark):
+    """A language too rare in the fit's sample has a threshold, that of its labels in their natural ratio."""
+    rows = [(i, f"plain words number w{i % 7}" + (" gronkish" if i % 4 == 0 else ""), "de" if i % 10 < 2 else "en") for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, *_ in rows], "doc_id long, toxic int")
+    model, thresholds = toxicity.train(docs(rows), labels, per_class=30)
+    assert sorted(thresholds) == ["de", "en"]
+    score = toxicity.Scorer(model)
+    assert all((score(t) >= thresholds[lang]) == (i % 4 == 0) for i, t, lang in rows)
+
+
+def test_best_threshold_of_a_histogram():
+    counts = numpy.zeros((2, toxicity.BINS), int)
+    counts[0, [10, 100, 3000]], counts[1, [50, 2000, 4000]] = (90, 5, 1), (1, 20, 30)
+    assert toxicity.best_threshold(counts) == (101 + 2000) / 2 / toxicity.BINS
+
+
 def test_filters_equal_a_plain_convolution():
     import numpy as np
 
