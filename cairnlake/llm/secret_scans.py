@@ -9,8 +9,8 @@ and per character, the run is a finding of kind ``markov``.
 
 The models are trained from labelled samples of the corpus itself: values that
 the base patterns found are the random ones, other words of
-``MIN_WORD`` to ``MIN_RUN`` - 1 characters the ordinary ones, over at most ``sample_rows``
-documents; the counts are 2 x 67 x 67 numbers whatever the input. A fixed set of
+``MIN_WORD`` to ``MIN_RUN`` - 1 characters the ordinary ones, over all documents;
+the counts are 2 x 67 x 67 numbers a task whatever the input. A fixed set of
 seeded random strings is added to the first class, so that a corpus without
 secrets trains too.
 
@@ -22,12 +22,14 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cairnlake.llm.common import as_text, map_batches, pick, sampled, sha256_hex
+from cairnlake.llm.common import as_text, map_batches, pick, sha256_hex
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -63,9 +65,16 @@ def codes(run: str) -> np.ndarray:
     return _CODE[np.frombuffer(run.encode("latin-1", "replace"), np.uint8)]
 
 
-def add_counts(counts: np.ndarray, label: int, run: str) -> None:
-    x = codes(run)
-    np.add.at(counts[label], (x[:-1], x[1:]), 1)
+def add_counts(counts: np.ndarray, label: int, runs: Counter[str]) -> None:
+    """Adds the transitions inside each run, as often as the run occurs."""
+    if not runs:
+        return
+    x = codes("".join(runs))
+    lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+    inside = np.ones(len(x), bool)
+    inside[np.cumsum(lengths)[lengths > 0] - 1] = False  # the last character of a run leads nowhere
+    at = np.flatnonzero(inside)
+    np.add.at(counts[label].reshape(-1), x[at] * SYMBOLS + x[at + 1], np.repeat(np.fromiter(runs.values(), np.int64, len(runs)), lengths)[at])
 
 
 def random_strings(n: int = 400, seed: int = 7) -> list[str]:
@@ -89,31 +98,36 @@ def is_random(run: str, ratios: np.ndarray) -> bool:
 
 def sample_counts(texts: list[str]) -> np.ndarray:
     """Transition counts [ordinary, random] of labelled samples from ``texts``."""
-    counts = np.zeros((2, SYMBOLS, SYMBOLS), np.int64)
+    words: tuple[Counter[str], Counter[str]] = Counter(), Counter()
     for text in texts:
         end = 0
         for start, _, stop in base_spans(text):
-            for word in WORD.findall(text[end:start]):
-                add_counts(counts, 0, word)
-            add_counts(counts, 1, re.split(r"[\s:=\"']", text[start:stop])[-1])
+            words[0].update(WORD.findall(text[end:start]))
+            words[1][re.split(r"[\s:=\"']", text[start:stop])[-1]] += 1
             end = max(end, stop)
-        for word in WORD.findall(text[end:]):
-            add_counts(counts, 0, word)
+        words[0].update(WORD.findall(text[end:]))
+    counts = np.zeros((2, SYMBOLS, SYMBOLS), np.int64)
+    for label, runs in enumerate(words):
+        add_counts(counts, label, runs)
     return counts
 
 
-def train(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 1500) -> np.ndarray:
-    """The matrix of log ratios, from at most ``sample_rows`` documents; counted on an executor."""
-    rows = sampled(pick(documents, id=id_col, text=text_col), "id", sample_rows).select("text")
+def train(documents: DataFrame, *, text_col: str = "text") -> np.ndarray:
+    """The matrix of log ratios, from all documents; counted on the executors and summed there by transition."""
+    rows = pick(documents, text=text_col)
 
     def make():
-        return lambda batch: pa.RecordBatch.from_arrays([pa.array([sample_counts(as_text(batch.column(0))).tobytes()], pa.binary())], ["counts"])
+        def work(batch):
+            counts = sample_counts(as_text(batch.column(0))).reshape(-1)
+            at = np.flatnonzero(counts)
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["at", "n"])
+
+        return work
 
     counts = np.zeros((2, SYMBOLS, SYMBOLS), np.int64)
-    for row in map_batches(rows, make, "counts binary").toLocalIterator():
-        counts += np.frombuffer(row.counts, np.int64).reshape(counts.shape)
-    for run in random_strings():
-        add_counts(counts, 1, run)
+    for row in map_batches(rows, make, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        counts.reshape(-1)[row["at"]] = row.n
+    add_counts(counts, 1, Counter(random_strings()))
     return log_ratios(counts)
 
 
@@ -124,10 +138,10 @@ def find_spans(text: str, ratios: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted(found + more) if more else found
 
 
-def scan(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ratios: np.ndarray | None = None, sample_rows: int = 1500) -> DataFrame:
+def scan(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ratios: np.ndarray | None = None) -> DataFrame:
     """``id_col`` and findings array<struct<kind, start, end>> of every row."""
     rows = pick(documents, id=id_col, text=text_col)
-    ratios = train(rows, id_col="id", text_col="text", sample_rows=sample_rows) if ratios is None else ratios
+    ratios = train(rows) if ratios is None else ratios
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def make():
@@ -140,9 +154,9 @@ def scan(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(rows, make, f"`{id_col}` {dict(rows.dtypes)['id']}, findings array<struct<kind:string,start:bigint,end:bigint>>")
 
 
-def secret_report(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 1500) -> DataFrame:
+def secret_report(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The findings as counts of the base kinds, a digest of the base spans and all spans in one string."""
-    found = scan(documents, id_col=id_col, text_col=text_col, sample_rows=sample_rows)
+    found = scan(documents, id_col=id_col, text_col=text_col)
 
     def make():
         def work(batch):
@@ -160,9 +174,9 @@ def secret_report(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     return map_batches(found, make, f"`{id_col}` {dict(found.dtypes)[id_col]}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(documents: DataFrame, *, text_col: str = "text", ratios: np.ndarray | None = None, id_col: str = "doc_id", mask: str = "[SECRET]") -> DataFrame:
+def redact(documents: DataFrame, *, text_col: str = "text", ratios: np.ndarray | None = None, mask: str = "[SECRET]") -> DataFrame:
     """``documents`` with every finding replaced by ``mask``; null texts stay null, other columns untouched."""
-    ratios = train(documents, id_col=id_col, text_col=text_col) if ratios is None else ratios
+    ratios = train(documents, text_col=text_col) if ratios is None else ratios
     columns, place = documents.columns, documents.columns.index(text_col)
 
     def clean(text: str | None) -> str | None:

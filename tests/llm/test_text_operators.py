@@ -80,6 +80,17 @@ def test_secret_report(docs):
     assert secret_scans.secret_report(docs([])).count() == 0
 
 
+def test_markov_models_count_every_document(docs):
+    texts = [f"filler{i % 10} ordinary_word{i} password=Zq{i}xK9 é" for i in range(3200)]
+    counts = numpy.zeros((2, secret_scans.SYMBOLS, secret_scans.SYMBOLS), int)
+    for label, runs in ((0, [w for i in range(3200) for w in (f"filler{i % 10}", f"ordinary_word{i}")]), (1, [f"Zq{i}xK9" for i in range(3200)] + secret_scans.random_strings())):
+        for run in runs:
+            if label or 6 <= len(run) <= 19:
+                x = secret_scans.codes(run)
+                numpy.add.at(counts[label], (x[:-1], x[1:]), 1)
+    assert numpy.array_equal(secret_scans.train(docs(list(enumerate(texts))).repartition(7)), secret_scans.log_ratios(counts))
+
+
 def words6(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
