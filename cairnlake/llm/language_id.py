@@ -31,7 +31,7 @@ from cairnlake.llm.common import as_text, map_batches, pick
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PENALTY = 1.0
-STEPS = 8
+STEPS = 12
 UNKNOWN = "und"
 
 

@@ -182,6 +182,17 @@ def test_language_id(docs):
     assert [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 == 1] == [r.doc_id for r in df.where(held & (df.doc_id < 30)).orderBy("doc_id").collect()]
 
 
+def test_mixture_shares_equal_twelve_steps_of_plain_em():
+    likes = numpy.array([[1, 0.3], [0.3, 1]])
+    times = numpy.array([1400, 600], numpy.float32)
+    want = numpy.full(2, 0.5)
+    for _ in range(12):
+        part = likes * want
+        want = (times[:, None] * part / part.sum(axis=1, keepdims=True)).sum(axis=0) / times.sum()
+    share, sets = language_id.mixtures(numpy.log(likes).astype(numpy.float32), times, numpy.array([0]))
+    assert sets[0].tolist() == [0, 1] and share[0] == pytest.approx(want, abs=5e-5)
+
+
 def test_toxicity(docs, spark):
     rng = random.Random(6)
     plain, bad = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)], ["gronkish", "blarfus", "vilehead"]
