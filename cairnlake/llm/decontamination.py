@@ -6,7 +6,8 @@ only suffixes whose first words begin some test suffix are kept in the array,
 as no other can be found by one. Every test suffix is then looked up by binary
 search, which gives the interval of all its occurrences and so their places.
 Occurrences that follow each other on one diagonal make the longest verbatim
-matches. The shards need no shuffle; the benchmark is broadcast in blocks of at
+matches; ``longest_matches`` gives them for one text, while the operators over
+DataFrames keep the runs of hit words only. The shards need no shuffle; the benchmark is broadcast in blocks of at
 most ``block_words`` words, and results of several blocks are joined by row.
 
 A window is ``window`` consecutive words of an item; a shorter item, unless it
