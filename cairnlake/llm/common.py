@@ -25,7 +25,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of an Arrow batch that are worked on at once.
 SLICE = 8 << 20
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bits of a part of a bit map.
+PART = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,13 +43,10 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     """mapInArrow with a function built once for each task, over batches of about ``SLICE`` bytes.
 
     ``make`` runs on the executor, so that tokenizers and automata are built
-    there and never shipped. The session's limit on the bytes of an Arrow batch
-    is lowered to ``SLICE`` where it is higher, and a worker that has ended its
-    task gives its memory back, as idle workers stay alive beside busy ones.
+    there and never shipped. Larger Arrow batches are worked on slice by slice,
+    and a worker that has ended its task gives its memory back, as idle workers
+    stay alive beside busy ones. No setting of the session is read or changed.
     """
-    conf = df.sparkSession.conf
-    if int(conf.get(BATCH_BYTES).rstrip("b")) not in range(1, SLICE + 1):
-        conf.set(BATCH_BYTES, str(SLICE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -75,18 +73,38 @@ def give_back() -> None:
 def persist(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet to the shared checkpoint folder and reads it from there.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``;
-    only where it names none (tests, a laptop) a temporary one is taken. Tasks
-    that are lost read the table again instead of all that led to it. The table
-    is deleted when the driver's JVM ends.
+    The folder is the one that the session names in ``spark.checkpoint.dir``.
+    Where it names none, a local master (tests, a laptop) gets a temporary one,
+    and any other is an error, as executors share no such folder. Tasks that are
+    lost read the table again instead of all that led to it. ``release`` deletes
+    a table that nothing reads any more, the end of the driver's JVM the others.
     """
     session = df.sparkSession
-    folder = session.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(session)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     place = session._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(session._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return session.read.schema(df.schema).parquet(path)
+    table = session.read.schema(df.schema).parquet(path)
+    table._table_path = path
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``persist`` wrote, after their last reader has run."""
+    for df in tables:
+        if path := getattr(df, "_table_path", None):
+            session = df.sparkSession
+            place = session._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(session._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def checkpoint_folder(session: SparkSession) -> str:
+    if folder := session.conf.get("spark.checkpoint.dir", None):
+        return folder
+    master = session.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_folder()
 
 
 @functools.cache
@@ -95,31 +113,44 @@ def _own_folder() -> str:
 
 
 def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows, spread over the input by a hash of ``key``.
+    """At most ``rows`` rows, spread over the input by a hash of ``key``, the same ones on every run.
 
     Only for fitting: a tokenizer's warm-up table or a classifier.
     """
     share = max(1, df.count() // max(1, rows))
-    return df.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0).limit(rows)
+    spot = F.xxhash64(key)
+    return df.where(F.pmod(spot, F.lit(share)) == 0).orderBy(spot, key).limit(rows)
 
 
 def bit_map(places: DataFrame, size: int) -> np.ndarray:
-    """Packed bits of fixed ``size``, set at the numbers below it in the only column of ``places``."""
-
-    def collect():
-        def work(batch):
-            bits = np.zeros(size, bool)
-            bits[batch.column(0).to_numpy()] = True
-            return pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+    """Packed bits of fixed ``size``, set at the numbers below it in the only column of ``places``.
 
-        return work
+    The numbers are dealt by the part of the map that they lie in, so that any
+    number of tasks fill it and the driver gets each part once.
+    """
 
-    bits = np.zeros(size // 8, np.uint8)
-    for row in map_batches(places.coalesce(4), collect, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row.bits, np.uint8)
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.sort(batch.column(0).to_numpy())
+            firsts = np.flatnonzero(np.diff(at // PART, prepend=-1))
+            for own in np.split(at, firsts[1:]):
+                if len(own):
+                    parts.setdefault(int(own[0]) // PART, np.zeros(PART, bool))[own % PART] = True
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([np.packbits(b).tobytes() for b in parts.values()], pa.binary())], ["part", "bits"])
+
+    name = places.columns[0]
+    dealt = places.repartition(F.floor(F.col(name) / F.lit(PART)))
+    bits = np.zeros(-(-size // PART) * PART // 8, np.uint8)
+    for row in dealt.mapInArrow(fill, "part long, bits binary").collect():
+        bits[row.part * PART // 8 : (row.part + 1) * PART // 8] |= np.frombuffer(row.bits, np.uint8)
     return bits
 
 
+def has_bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7))) & 1 == 1
+
+
 def sha256_hex(parts: list[str]) -> str:
     return hashlib.sha256(",".join(parts).encode()).hexdigest()
 

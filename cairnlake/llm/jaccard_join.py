@@ -7,29 +7,42 @@ Index. Each set's shingles are put in one global order (frequent ones last,
 then by hash) and only its prefix is indexed: sets that link share a prefix
 shingle. The frequent shingles are those that repeat within slices of the corpus,
 added up over all of it; their number is bounded by the order's threshold, so
-they can be broadcast. An index list is cut into blocks by set size and by
-position in the set's order; a probe skips every block whose sizes or positions
-rule a link out, and a pair survives only if its shared prefix shingles reach
-the least number that a link needs.
-
-Answers from answers. In a list longer than ``dense`` pairs aren't formed.
-One member is the list's hub; all members are compared with it. By the triangle
+they can be broadcast. An index list is cut into blocks by set size, and a list
+longer than ``dense`` also by position in the set's order. Both are part of the
+join's key: a probe names the blocks whose sizes and positions leave room for a
+link and never meets the others. A pair survives only if its shared prefix
+shingles reach the least number that a link needs.
+
+Answers from answers. In a block longer than ``dense`` pairs aren't formed.
+One member is the block's hub; all members are compared with it. By the triangle
 inequality of the Jaccard distance, every link of a member near the hub lies
 within a wider circle around the hub. Inside the circle a set is kept as its
 difference from the circle's consensus (the shingles that most members have),
 and links are derived from the differences alone: sets with small differences
 link by arithmetic, and others only if they share differences, which an index of
-the rarest differences finds. So a group of m near copies costs about m steps,
-not m * m, and no link between different sets is lost.
-
-Counts. For the number of links of each set, a set gets one home circle that is
-made to hold all who share a circle with it; links by arithmetic are read off
-sums over the weights there, links by shared differences are derived one by one.
+the rarest differences finds.
+
+Homes. A set may sit in several circles; its home is the one whose consensus it
+is closest to, in steps of a quarter of the room that a link leaves, then the
+largest one. Where many members of a circle are far from its consensus and share
+a difference, they are a family of their own: one of them becomes a further hub,
+and its circle is derived from the old one by composing differences, without a
+look at any text. A home circle is made to hold all who share a circle with one
+of its sets, derived in the same way. A link by shared differences is looked for
+from a home circle's own sets only, so two families cost what their sizes cost
+and not the square; only sets that share frequent differences within one family
+(edits at the same places, too large for arithmetic) are met pair by pair. No
+link between different sets is lost.
+
+Counts. For the number of links of each set, links by arithmetic are read off
+sums over the weights in its home circle, links by shared differences are
+derived one by one.
 
 Verdicts on pairs are exact on 64-bit shingle hashes. A document without words
 (null or empty text) has an empty set and links with nothing; one with fewer
-words than a shingle has its whole sequence as one. Repeated rows and ids each
-get their row; null ids never name a component.
+words than a shingle has its whole sequence as one. Texts are read whole,
+however long. Repeated rows and ids each get their row; null ids never name a
+component. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +57,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cairnlake.llm.common import as_bytes, bit_map, give_back, map_batches, persist, pick
+from cairnlake.llm.common import as_bytes, bit_map, give_back, has_bit, map_batches, persist, pick, release
 from cairnlake.llm.components import components
 from cairnlake.llm.shingles import WordHashes, set_key, shingle_set
 
@@ -57,6 +70,10 @@ LEAST_FREQUENT = 64
 DENSE = 16
 #: Size of the bit map of wanted texts: 2 MB.
 FILTER_BITS = 1 << 24
+#: The rows of one hub are dealt over this many keys where they meet what is known of the hub.
+SALTS = 32
+#: A further hub is sought where a difference is shared by this part of a circle's far members; at most so many rounds, pairs do the rest.
+FAMILY_PART, ROUNDS = 8, 6
 
 
 def profile(rows: DataFrame, size: int) -> DataFrame:
@@ -108,6 +125,11 @@ def ordered(tokens: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarr
     return tokens[np.lexsort((tokens, np.where(often[at] == tokens, rank[at], 0)))]
 
 
+def step_of(num: int, den: int) -> float:
+    """Ratio of the size blocks: no link reaches further than the next block."""
+    return max(den / num, 1.01)
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
@@ -177,108 +199,212 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int, least: Fraction) ->
     return map_batches(rows, make, "a long, b long, na long, nb long, both long, gone array<bigint>, more array<bigint>")
 
 
-def centred(circles: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(hub, set, token, gone) and (hub, set, w, k, own, room) of each circle, from the differences (gone, more) of its members ``a`` to the hub ``b``.
+def dealt(rows: DataFrame, by_hub: DataFrame, spread: str) -> DataFrame:
+    """``rows`` joined with the row of their hub; the rows of a hub are spread over SALTS keys."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    return salted.join(by_hub.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["hub", "salt"]).drop("salt")
+
+
+def composed(gone: str, more: str, gone_2: str, more_2: str) -> tuple[Column, Column]:
+    """(in K but not in X, in X but not in K) from the differences of X (gone, more) and of K (gone_2, more_2) to one set."""
+    apart = lambda a, b, c, d: F.concat(F.array_except(a, b), F.array_except(c, d))  # noqa: E731  the two sides are disjoint
+    return apart(gone, gone_2, more_2, more), apart(gone_2, gone, more, more_2)
+
+
+def seats_of(circles: DataFrame) -> DataFrame:
+    """(hub, set, nh, gone, more) of every member of a circle, the hub itself included."""
+    none = F.array().cast("array<bigint>")
+    own = circles.groupBy("b").agg(F.first("nb").alias("nh")).select(F.col("b").alias("hub"), F.col("b").alias("set"), "nh", none.alias("gone"), none.alias("more"))
+    return circles.select(F.col("b").alias("hub"), F.col("a").alias("set"), F.col("nb").alias("nh"), "gone", "more").union(own)
+
+
+def centres(seats: DataFrame, num: int, den: int, dense: int) -> DataFrame:
+    """(hub, fg, fm, np, m): what most members around the hub lack of it, and have beyond it; the consensus' size; members of the circle.
+
+    Only members within half the room of the hub have a say, or, where these are
+    few, the nearest quarter, so that the consensus is that of the hub's family.
+    """
+    apart = den * F.size("gone") + num * F.size("more")
+    half = F.floor(F.col("nh") * (den - num) / 2)
+    sizes = seats.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.first("nh").alias("nh"), F.count_if(apart <= half).alias("close"), F.percentile_approx(apart, 0.25, 200).alias("quarter"))
+    sizes = sizes.withColumn("reach", F.when(F.col("close") > dense, half).otherwise(F.col("quarter"))).select("hub", "m", "nh", "reach")
+    inner = dealt(seats.drop("nh"), sizes.select("hub", "reach"), "set").where(apart <= F.col("reach")).select("hub", "gone", "more")
+    voters = inner.groupBy("hub").agg(F.count(F.lit(1)).alias("v"))
+    token = lambda c, is_gone: inner.select("hub", F.explode(c).alias("token"), F.lit(is_gone).alias("lost"))
+    counts = token("gone", True).union(token("more", False)).groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c"), F.first("lost").alias("lost")).where("c > 1")
+    most = dealt(counts, voters, "token").where("2 * c > v")
+    flips = most.groupBy("hub").agg(F.collect_list(F.when(F.col("lost"), F.col("token"))).alias("fg"), F.collect_list(F.when(~F.col("lost"), F.col("token"))).alias("fm"))
+    none = F.array().cast("array<bigint>")
+    out = sizes.join(flips, "hub", "left").withColumns({c: F.coalesce(c, none) for c in ("fg", "fm")})
+    return out.select("hub", "fg", "fm", (F.col("nh") - F.size("fg") + F.size("fm")).cast("long").alias("np"), "m")
+
+
+def weighed(seats: DataFrame, centre: DataFrame, num: int, den: int) -> DataFrame:
+    """(hub, set, own, w, k, room, m): each member's difference from the consensus of its circle.
 
     With differences taken to any set P of the circle (not necessarily a
     document's), |A and B| = |P| - gone(A) - gone(B) + c with c the differences
     that A and B share, so A and B link if and only if
     w(A) + w(B) <= (den - num) * |P| + (den + num) * c, where w = den * gone + num * more.
     """
-    hubs = circles.groupBy("b").agg(F.first("nb").alias("nh"), F.count(F.lit(1)).alias("m"))
-    hubs = hubs.select(F.col("b").alias("hub"), "nh", (F.col("m") + 1).alias("m"))
-    members = circles.select(F.col("b").alias("hub"), F.col("a").alias("set")).union(hubs.select("hub", F.col("hub").alias("set")))
-    split = lambda c, gone: circles.select(F.col("b").alias("hub"), F.col("a").alias("set"), F.explode(c).alias("token"), F.lit(gone).alias("gone"))
-    diffs = split("gone", True).union(split("more", False))
-    flips = diffs.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c"), F.first("gone").alias("gone")).join(hubs, "hub").where(2 * F.col("c") > F.col("m")).select("hub", "token", "gone")
-    centre = hubs.join(flips.groupBy("hub").agg(F.sum(F.when(F.col("gone"), -1).otherwise(1)).alias("shift")), "hub", "left").select("hub", (F.col("nh") + F.coalesce("shift", F.lit(0))).alias("np"))
-    kept = diffs.join(flips.select("hub", "token"), ["hub", "token"], "left_anti")
-    turned = members.join(flips, "hub").join(diffs.select("hub", "set", "token"), ["hub", "set", "token"], "left_anti").select("hub", "set", "token", (~F.col("gone")).alias("gone"))
-    diffs = persist(kept.unionByName(turned))
-
-    weights = diffs.groupBy("hub", "set").agg(F.sum(F.when(F.col("gone"), den).otherwise(num)).alias("w"), F.count(F.lit(1)).alias("k"), F.collect_list("token").alias("own"))
-    return diffs, members.join(weights, ["hub", "set"], "left").fillna(0, ["w", "k"]).join(centre, "hub").withColumn("room", F.col("np") * (den - num)).drop("np")
-
-
-def starred(sets: DataFrame) -> DataFrame:
-    """``sets`` with their circle's lightest set ``centre``, and whether they link with it by arithmetic (``star``)."""
-    best = sets.groupBy("hub").agg(F.min(F.struct("w", "set")).alias("best"))
-    sets = sets.join(best, "hub").withColumn("star", F.col("w") + F.col("best.w") <= F.col("room"))
-    return sets.withColumn("centre", F.col("best.set")).drop("best")
-
-
-def sharing_links(diffs: DataFrame, sets: DataFrame, needs: DataFrame, wanted: Column, num: int, den: int, *, carried: tuple[str, ...]) -> DataFrame:
-    """(set_a, set_b, carried of both) that link and share differences; ``needs`` has the least number ``q`` that a set must share, ``wanted`` chooses pairs."""
-    common = diffs.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    rare = W.partitionBy("hub", "set").orderBy("c", "token")
-    single = diffs.join(needs, ["hub", "set"]).join(common, ["hub", "token"], "left").fillna(1, ["c"])
-    probe = single.withColumn("r", F.row_number().over(rare)).where((F.col("r") <= F.col("k") - F.col("q") + 1) & (F.col("c") > 1)).select("hub", "token", "set", "w", "k", "room", *carried)
-    side = lambda s: probe.select("hub", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "w", "k", *carried)], F.col("room").alias(f"room_{s}"))
-    reach = F.col("w_a") + F.col("w_b") <= F.col("room_a") + F.lit(num + den) * F.least("k_a", "k_b")
-    met = side("a").join(side("b"), ["hub", "token"]).where((F.col("set_a") < F.col("set_b")) & wanted & reach)
-    both = [f"{c}_{s}" for c in carried for s in "ab"]
-    met = met.select("hub", "set_a", "set_b", "w_a", "w_b", F.col("room_a").alias("room"), *both).distinct()
-    own = lambda s: sets.select("hub", F.col("set").alias(f"set_{s}"), F.col("own").alias(f"own_{s}"))
-    shared = met.join(own("a"), ["hub", "set_a"]).join(own("b"), ["hub", "set_b"]).withColumn("c", F.size(F.array_intersect("own_a", "own_b")))
-    return shared.where(F.col("w_a") + F.col("w_b") <= F.col("room") + F.lit(num + den) * F.col("c")).select("hub", "set_a", "set_b", *both)
+    gone, more = composed("gone", "more", "fg", "fm")
+    met = dealt(seats, centre, "set").select("hub", "set", gone.alias("gone"), more.alias("more"), (F.col("np") * (den - num)).alias("room"), "m")
+    return met.select("hub", "set", F.concat("gone", "more").alias("own"), (den * F.size("gone") + num * F.size("more")).cast("long").alias("w"), (F.size("gone") + F.size("more")).cast("long").alias("k"), "room", "m")
 
 
-def circle_links(circles: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) inside each hub's circle that connect what all its links connect."""
-    diffs, sets = centred(circles, num, den)
-    sets = persist(starred(sets))
-    stars = sets.where("star and set != centre").select(F.col("set").alias("a"), F.col("centre").alias("b"))
+def homes(members: DataFrame) -> DataFrame:
+    """(set, hub, step) of each set's home: its steps of a quarter of the room from the consensus, the least one first."""
+    step = F.floor(4 * F.col("w") / F.greatest("room", F.lit(1))).cast("long")
+    best = members.groupBy("set").agg(F.min(F.struct(step.alias("step"), (-F.col("m")).alias("m"), "hub")).alias("best"))
+    return best.select("set", F.col("best.hub").alias("hub"), F.col("best.step").alias("step"))
 
-    # Pairs with shared differences, at least one outside the star.
-    rest = sets.groupBy("hub").agg(F.min(F.when(F.col("k") > 0, F.col("w"))).alias("any"), F.min(F.when(~F.col("star"), F.col("w"))).alias("out"))
-    needs = sets.drop("own").where("k > 0").join(rest, "hub").withColumn("other", F.when(F.col("star"), F.col("out")).otherwise(F.col("any"))).where("other is not null")
-    needs = needs.withColumn("q", F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("other") - F.col("room")) / F.lit(num + den))).cast("long")).where("q <= k")
-    links = sharing_links(diffs, sets, needs, ~(F.col("star_a") & F.col("star_b")), num, den, carried=("star",))
-    return stars.union(links.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")))
+
+def derived(seats: DataFrame, to: DataFrame, least: Fraction) -> DataFrame:
+    """Seats (hub: the new one) of the members of old circles around new hubs; ``to`` (hub, new, nk, gone_2, more_2) has the new hub's differences to the old one.
+
+    |X and K| = |K| - (what X lacks of K); only members at least ``least`` similar stay.
+    """
+    gone, more = composed("gone", "more", "gone_2", "more_2")
+    met = dealt(seats.select("hub", "set", "gone", "more"), to, "set").select(F.col("new").alias("hub"), "set", F.col("nk").alias("nh"), gone.alias("gone"), more.alias("more"))
+    both, every = F.col("nh") - F.size("gone"), F.col("nh") + F.size("more")
+    return met.where(F.lit(least.denominator) * both >= F.lit(least.numerator) * every).dropDuplicates(["hub", "set"])
+
+
+def further_hubs(seats: DataFrame, members: DataFrame, home: DataFrame, known: DataFrame, dense: int) -> DataFrame:
+    """(hub, new, nk, gone_2, more_2): for each circle whose far members share a difference, one of these members, unless ``known`` (set) as a hub."""
+    far = members.join(home.where("step >= 2").select("set", "hub"), ["hub", "set"]).join(known, "set", "left_anti")
+    counts = far.groupBy("hub").agg(F.count(F.lit(1)).alias("u")).where(F.col("u") > dense)
+    shared = far.select("hub", "set", F.explode("own").alias("token")).groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c"), F.min("set").alias("new")).where(F.col("c") > dense)
+    top = shared.groupBy("hub").agg(F.max(F.struct("c", "token", "new")).alias("t")).join(counts, "hub").where(FAMILY_PART * F.col("t.c") >= F.col("u"))
+    named = top.select("hub", F.col("t.new").alias("set"))
+    own = seats.join(named, ["hub", "set"])
+    return own.select("hub", F.col("set").alias("new"), (F.col("nh") - F.size("gone") + F.size("more")).cast("long").alias("nk"), F.col("gone").alias("gone_2"), F.col("more").alias("more_2"))
 
 
-def home_circles(circles: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(set, hub) with one home circle for each set that is in a circle, and the circles of these hubs, made whole.
+def home_circles(circles: DataFrame, num: int, den: int, dense: int) -> tuple[DataFrame, DataFrame]:
+    """(home (set, hub), members of the home circles as ``weighed`` gives them, with ``home``: whether it is the set's own).
 
-    A set's home is the largest of its circles. Whoever shares a circle with the
-    set is compared with the home's hub too, so all links of the set with sets of
-    its circles lie in its home circle and can be counted there, once.
+    Whoever shares a circle with a set sits in the set's home circle too, so all
+    links of the set with sets of its circles can be counted there, once.
     """
-    seats = persist(circles.select(F.col("a").alias("set"), F.col("b").alias("hub")).union(circles.select(F.col("b").alias("set"), F.col("b").alias("hub")).distinct()))
-    sizes = seats.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
-    home = persist(seats.join(sizes, "hub").groupBy("set").agg(F.max(F.struct("m", "hub")).alias("best")).select("set", F.col("best.hub").alias("hub")))
-    moves = seats.join(home.withColumnRenamed("hub", "home"), "set").where("hub != home").select("hub", "home").distinct()
-    asked = seats.join(moves, "hub").where("set != home").select(F.col("set").alias("a"), F.col("home").alias("b")).distinct()
-    more = compare(persist(asked.join(circles.select("a", "b"), ["a", "b"], "left_anti")))
-    at_home = home.select(F.col("hub").alias("b")).distinct()
-    return home, persist(circles.join(at_home, "b", "left_semi").select(*circles.columns).union(more.select(*circles.columns)))
-
-
-def counted_links(circles: DataFrame, home: DataFrame, copies: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(connecting links (a, b), counts (key, n)) of home circles.
-
-    n: the documents of other sets that link with the set, for each set at its
-    home. Those that link by arithmetic are read off the sums over weights; the
-    others share differences and are derived pair by pair.
+    far = 1 - Fraction(num, den)
+    seats = persist(seats_of(circles))
+    centre = persist(centres(seats, num, den, dense))
+    members = persist(weighed(seats, centre, num, den))
+    home = persist(homes(members))
+    for _ in range(ROUNDS):
+        new = persist(further_hubs(seats, members, home, centre.select(F.col("hub").alias("set")), dense))
+        if not new.take(1):
+            release(new)
+            break
+        around = persist(derived(seats, new, max(Fraction(0), 1 - 3 * far)))
+        nearer = persist(centres(around, num, den, dense))
+        old = (seats, centre, members, home, new, around, nearer)
+        seats, centre = persist(seats.union(around.select(*seats.columns))), persist(centre.union(nearer))
+        members = persist(members.union(weighed(around, nearer, num, den)))
+        home = persist(homes(members))
+        release(*old)
+
+    # (old hub, home, a set that sits in both): the way from the old circle to the home.
+    moves = seats.select("hub", "set").join(home.select("set", F.col("hub").alias("new")), "set").where("hub != new").groupBy("hub", "new").agg(F.min("set").alias("set"))
+    at = lambda hub, names: seats.select(F.col("hub").alias(hub), "set", *[F.col(c).alias(n) for c, n in names.items()])
+    way = moves.join(at("hub", {"gone": "g1", "more": "m1"}), ["hub", "set"]).join(at("new", {"gone": "g2", "more": "m2", "nh": "nk"}), ["new", "set"])
+    # h = B + g2 - m2 and H = B + g1 - m1: what h lacks of H, and has beyond it.
+    lacks, beyond = composed("m2", "g2", "m1", "g1")
+    to = persist(way.select("hub", "new", "nk", lacks.alias("gone_2"), beyond.alias("more_2")))
+    asked = derived(seats, to, max(Fraction(0), 1 - 4 * far)).join(seats.select("hub", "set"), ["hub", "set"], "left_anti")
+    at_home = home.select("hub").distinct()
+    full = seats.join(at_home, "hub", "left_semi").unionByName(asked)
+    own = home.select("set", "hub", F.lit(True).alias("home"))
+    out = persist(weighed(full, centre, num, den).drop("m").join(own, ["set", "hub"], "left").fillna(False, ["home"]))
+    release(seats, centre, members, to)
+    return home, out
+
+
+def sharing_pairs(sets: DataFrame, num: int, den: int, *, stars_too: bool) -> DataFrame:
+    """Candidates (hub, set_a, set_b, w_a, w_b, room, home_b, times_a, times_b): pairs with ``home_a`` that share a rare difference and may link.
+
+    Without ``stars_too`` only pairs that the star doesn't connect. A pair whose
+    sets are both at home comes once.
+    """
+    rest = sets.where("k > 0").groupBy("hub").agg(F.min("w").alias("least"), F.max("w").alias("most"), F.min(F.when(~F.col("star"), F.col("w"))).alias("out"))
+    other = F.col("least") if stars_too else F.when(F.col("star"), F.col("out")).otherwise(F.col("least"))
+    needs = dealt(sets.where("k > 0"), rest, "set").withColumn("other", other).where("other is not null and w + most > room")
+    needs = needs.withColumn("q", F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("other") - F.col("room")) / F.lit(num + den))).cast("long")).where("q <= k")
+    single = needs.select("hub", "set", "w", "k", "q", "room", "home", "star", "times", F.explode("own").alias("token"))
+    common = single.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c"), F.max("home").alias("any")).where("c > 1 and any").drop("any")
+    single = single.join(common, ["hub", "token"], "left").fillna(1, ["c"])
+    rare = W.partitionBy("hub", "set").orderBy("c", "token")
+    probe = single.withColumn("r", F.row_number().over(rare)).where((F.col("r") <= F.col("k") - F.col("q") + 1) & (F.col("c") > 1))
+    side = lambda s: probe.select("hub", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "w", "k", "r", "home", "star", "times")], F.col("room").alias(f"room_{s}"))
+    # Sets that share ``must`` differences share one among the first k - must + 1 of each, rare ones first.
+    must = F.greatest(F.lit(1), F.ceil((F.col("w_a") + F.col("w_b") - F.col("room_a")) / F.lit(num + den)))
+    reach = (F.col("r_a") <= F.col("k_a") - must + 1) & (F.col("r_b") <= F.col("k_b") - must + 1)
+    once = (F.col("set_a") != F.col("set_b")) & (~F.col("home_b") | (F.col("set_a") < F.col("set_b")))
+    wanted = (F.col("w_a") + F.col("w_b") > F.col("room_a")) if stars_too else ~(F.col("star_a") & F.col("star_b"))
+    met = side("a").where("home_a").join(side("b"), ["hub", "token"]).where(once & wanted & reach)
+    return met.select("hub", "set_a", "set_b", "w_a", "w_b", F.col("room_a").alias("room"), "home_b", "times_a", "times_b").distinct()
+
+
+def sharing_links(sets: DataFrame, num: int, den: int, *, stars_too: bool) -> DataFrame:
+    """(hub, set_a, set_b, home_b, times_a, times_b): the candidates that link, by all differences that they share."""
+    met = sharing_pairs(sets, num, den, stars_too=stars_too)
+    own = lambda s: sets.select("hub", F.col("set").alias(f"set_{s}"), F.col("own").alias(f"own_{s}"))
+    shared = met.join(own("a"), ["hub", "set_a"]).join(own("b"), ["hub", "set_b"]).withColumn("c", F.size(F.array_intersect("own_a", "own_b")))
+    return shared.where(F.col("w_a") + F.col("w_b") <= F.col("room") + F.lit(num + den) * F.col("c")).select("hub", "set_a", "set_b", "home_b", "times_a", "times_b")
+
+
+def circle_links(members: DataFrame, copies: DataFrame | None, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members with star, centre and times, links (a, b) of the stars, ``sharing_links``) of home circles.
+
+    A circle's centre is its lightest set; the star are the sets that link with
+    it by arithmetic. Without ``copies`` (key, times) each set counts once.
     """
-    diffs, sets = centred(circles, num, den)
-    sets = sets.join(copies.withColumnRenamed("key", "set"), "set").join(home.withColumnRenamed("hub", "own_hub"), "set").withColumn("home", F.col("hub") == F.col("own_hub")).drop("own_hub")
-    sets = persist(starred(sets))
+    best = members.groupBy("hub").agg(F.min(F.struct("w", "set")).alias("best"))
+    sets = members.join(copies.withColumnRenamed("key", "set"), "set") if copies is not None else members.withColumn("times", F.lit(1).cast("long"))
+    sets = dealt(sets, best, "set").withColumn("star", F.col("w") + F.col("best.w") <= F.col("room")).withColumn("centre", F.col("best.set")).drop("best")
+    sets = persist(sets)
     stars = sets.where("star and set != centre").select(F.col("set").alias("a"), F.col("centre").alias("b"))
+    return sets, stars, persist(sharing_links(sets, num, den, stars_too=copies is not None))
+
 
-    weighed = sets.groupBy("hub", "room", "w").agg(F.sum("times").alias("n"))
-    steps = weighed.select("hub", "w", F.col("w").alias("x"), "n", F.lit(0).alias("ask")).union(weighed.select("hub", "w", (F.col("room") - F.col("w")).alias("x"), F.lit(0), F.lit(1)))
+def counted(sets: DataFrame, shared: DataFrame, linked: DataFrame, home: DataFrame, copies: DataFrame) -> DataFrame:
+    """(key, n) whose sums are the documents of other sets that link with a set.
+
+    Links by arithmetic are read off sums over the weights in the set's home;
+    those by shared differences, and ``linked`` pairs from outside it, add up.
+    """
+    by_weight = sets.groupBy("hub", "room", "w").agg(F.sum("times").alias("n"))
+    steps = by_weight.select("hub", "w", F.col("w").alias("x"), "n", F.lit(0).alias("ask")).union(by_weight.select("hub", "w", (F.col("room") - F.col("w")).alias("x"), F.lit(0), F.lit(1)))
     upto = steps.withColumn("upto", F.sum("n").over(W.partitionBy("hub").orderBy("x", "ask").rowsBetween(W.unboundedPreceding, 0))).where("ask = 1").select("hub", "w", "upto")
     plain = sets.where("home").join(upto, ["hub", "w"]).select(F.col("set").alias("key"), (F.col("upto") - F.when(2 * F.col("w") <= F.col("room"), F.col("times")).otherwise(0)).alias("n"))
+    near = shared.select(F.col("set_a").alias("key"), F.col("times_b").alias("n")).union(shared.where("home_b").select("set_b", "times_a"))
+    ways = linked.union(linked.select("b", "a"))
+    inside = sets.select(F.col("set").alias("b"), "hub")
+    apart = ways.join(home.select(F.col("set").alias("a"), "hub"), "a", "left").join(inside, ["b", "hub"], "left_anti")
+    return plain.union(near).union(apart.join(copies.withColumnRenamed("key", "b"), "b").select(F.col("a").alias("key"), F.col("times").alias("n")))
 
-    # Pairs that only shared differences bring in.
-    rest = sets.where("k > 0").groupBy("hub").agg(F.min("w").alias("least"), F.max("w").alias("most"))
-    needs = sets.drop("own").where("k > 0").join(rest, "hub").where("w + most > room")
-    needs = needs.withColumn("q", F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least") - F.col("room")) / F.lit(num + den))).cast("long")).where("q <= k")
-    wanted = (F.col("w_a") + F.col("w_b") > F.col("room_a")) & (F.col("home_a") | F.col("home_b"))
-    links = persist(sharing_links(diffs, sets, needs, wanted, num, den, carried=("home", "times")))
-    shared = links.where("home_a").select(F.col("set_a").alias("key"), F.col("times_b").alias("n")).union(links.where("home_b").select("set_b", "times_a"))
-    return stars.union(links.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))), plain.union(shared)
+
+def blocks_of(entries: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The index by blocks (token, block, cell): (probes, targets).
+
+    ``block`` numbers sizes, ``cell`` positions in lists marked ``long`` (others
+    have one cell). A probe from a smaller set a at position pa meets a target b
+    at pb only if pa - pb <= na - need and pb - pa <= nb - need, where need, the
+    least overlap of a link, is num * (na + nb) / (num + den); it names just the
+    cells within these bounds for the sizes that a block holds.
+    """
+    ratio, slack = den / num, 1e-9
+    largest = lambda block: F.pow(F.lit(step_of(num, den)), block + 1)
+    width = lambda block: F.greatest(F.lit(1.0), F.ceil(largest(block) * F.lit((den - num) / (2 * den))))
+    at = lambda pos, block: F.floor(pos / width(block)).cast("int")
+    right = entries.select("token", "block", F.when(F.col("long"), at(F.col("pos"), F.col("block"))).otherwise(0).alias("cell"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    left = entries.select("token", "long", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))
+    most = F.least(largest(F.col("block")), F.col("na") * F.lit(ratio))
+    low = F.greatest(F.lit(0.0), F.col("pa") - F.floor(F.col("na") * F.lit((den - num) / (den + num)) + F.lit(slack)))
+    high = F.greatest(low, F.col("pa") + F.floor((F.lit(float(den)) * most - F.lit(float(num)) * F.col("na")) / F.lit(float(num + den)) + F.lit(slack)))
+    cells = F.when(F.col("long"), F.sequence(at(low, F.col("block")), at(high, F.col("block")))).otherwise(F.array(F.lit(0)))
+    return left.withColumn("cell", F.explode(cells)).drop("long"), right
 
 
 def similar_sets(rows: DataFrame, profiles: DataFrame, size: int, num: int, den: int, dense: int, copies: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -287,46 +413,50 @@ def similar_sets(rows: DataFrame, profiles: DataFrame, size: int, num: int, den:
     With ``copies`` (key, times) also (key, n), whose sums are the documents of
     other sets that link with the set; sets without such a link may be missing.
     """
-    entries = persist(index_entries(rows, size, num, den, *frequent(profiles)))
-    step = math.log(den / num)
-    lists = entries.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("token")
-    block = F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + F.lit(1e-9)).cast("int")
-    entries = persist(entries.join(lists, "token").select("token", "key", "n", "pos", block.alias("block")).distinct())
+    first = persist(index_entries(rows, size, num, den, *frequent(profiles)))
+    lists = first.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), (F.count(F.lit(1)) > dense).alias("long")).where("lo != hi").select("token", "long")
+    block = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(step_of(num, den))) + F.lit(1e-9)).cast("int")
+    entries = persist(first.join(lists, "token").select("token", "key", "n", "pos", "long", block.alias("block")).distinct())
+    release(first)
 
     # Hubs of dense blocks, and who meets them from the same and the next blocks.
     far = 1 - Fraction(num, den)
-    hubs = persist(entries.groupBy("token", "block").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "n")).alias("h")).where(F.col("m") > dense).select("token", "block", F.col("h.key").alias("hub"), F.col("h.n").alias("nh")))
-    around = entries.select("token", "key", "n", F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)])).alias("block"))
+    hubs = persist(entries.where("long").groupBy("token", "block").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "n")).alias("h")).where(F.col("m") > dense).select("token", "block", F.col("h.key").alias("hub"), F.col("h.n").alias("nh")))
+    around = entries.where("long").select("token", "key", "n", F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)])).alias("block"))
     wide = float(max(Fraction(0), 1 - 3 * far)) - 1e-9
     met = around.join(hubs, ["token", "block"]).where((F.col("key") != F.col("hub")) & (F.least("n", "nh") >= F.greatest("n", "nh") * F.lit(wide)))
-    met = met.select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    names = profiles.where("kind = 0 and n > 0").groupBy("key").agg(F.min("at").alias("at"))
-    circles = persist(compared(met, wanted_texts(rows, names, met, size), size, max(Fraction(0), 1 - 3 * far)))
+    met = persist(met.select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct())
+    names = persist(profiles.where("kind = 0 and n > 0").groupBy("key").agg(F.min("at").alias("at")))
+    texts = wanted_texts(rows, names, met, size)
+    circles = persist(compared(met, texts, size, max(Fraction(0), 1 - 3 * far)))
+    release(texts, met)
     near = circles.where(F.lit(den) * F.col("both") >= F.lit(max(0, 2 * num - den)) * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("a").alias("key"), F.col("b").alias("hub"))
-    covered = entries.select("token", "block", "key").join(hubs.select("token", "block", "hub"), ["token", "block"]).join(near, ["key", "hub"], "left_semi").select("token", "key")
-    open_ = entries.join(covered, ["token", "key"], "left_anti")
+    covered = entries.where("long").select("token", "block", "key").join(hubs.select("token", "block", "hub"), ["token", "block"]).join(near, ["key", "hub"], "left_semi").select("token", "key")
+    open_ = persist(entries.join(covered, ["token", "key"], "left_anti"))
+    release(entries, hubs)
 
-    # All other pairs: blocks of sizes and positions that can't link are skipped.
-    left = open_.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))
-    right = open_.select("token", "block", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    # All other pairs: blocks of sizes and positions that can't link are never met.
+    left, right = blocks_of(open_, num, den)
     need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
     sizes = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
-    fits = sizes & (F.lit(den) * F.col("na") >= F.lit(num) * F.col("nb")) & (F.col("nb") - F.greatest(F.col("pb") - F.col("pa"), F.lit(0)) >= need) & (F.col("na") - F.greatest(F.col("pa") - F.col("pb"), F.lit(0)) >= need)
-    pairs = left.join(right, ["token", "block"]).where(fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("m"))
+    inside = (F.col("nb") - F.greatest(F.col("pb") - F.col("pa"), F.lit(0)) >= need) & (F.col("na") - F.greatest(F.col("pa") - F.col("pb"), F.lit(0)) >= need)
+    fits = sizes & (F.lit(den) * F.col("na") >= F.lit(num) * F.col("nb")) & inside  # the exact bounds, for the edges of blocks
+    pairs = left.join(right, ["token", "block", "cell"]).where(fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("m"))
     least = lambda n: F.ceil(F.lit(num) * F.col(n) / F.lit(den))
     pairs = persist(pairs.where(F.col("m") + F.greatest(least("na"), least("nb")) - 1 >= need).select("a", "b"))
-    linked = compared(pairs, wanted_texts(rows, names, pairs, size), size, Fraction(num, den)).select("a", "b")
-    if copies is None:
-        return linked.union(circle_links(circles, num, den)), None
+    texts = wanted_texts(rows, names, pairs, size)
+    linked = persist(compared(pairs, texts, size, Fraction(num, den)).select("a", "b"))
+    release(open_, pairs, texts, names)
 
-    linked = persist(linked)
-    home, circles = home_circles(circles, lambda asked: compared(asked, wanted_texts(rows, names, asked, size), size, max(Fraction(0), 1 - 4 * far)))
-    links, counts = counted_links(circles, home, copies, num, den)
-    ways = linked.union(linked.select("b", "a"))
-    inside = circles.select("a", "b").union(circles.select("b", "b").distinct()).select(F.col("a").alias("b"), F.col("b").alias("hub"))
-    apart = ways.join(home.withColumnRenamed("set", "a"), "a", "left").join(inside, ["b", "hub"], "left_anti")
-    counts = counts.union(apart.join(copies.withColumnRenamed("key", "b"), "b").select(F.col("a").alias("key"), F.col("times").alias("n")))
-    return linked.union(links), counts
+    home, members = home_circles(circles, num, den, dense)
+    release(circles)
+    sets, stars, shared = circle_links(members, copies, num, den)
+    links = persist(linked.union(stars).union(shared.select("set_a", "set_b")))
+    counts = None
+    if copies is not None:
+        counts = persist(counted(sets, shared, linked, home, copies).groupBy("key").agg(F.sum("n").alias("n")))
+    release(linked, home, members, sets, shared)
+    return links, counts
 
 
 def wanted_texts(rows: DataFrame, names: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -345,7 +475,7 @@ def wanted_texts(rows: DataFrame, names: DataFrame, pairs: DataFrame, size: int)
     def choose():
         def work(batch):
             at = batch.column(2).to_numpy()
-            keep = pa.array((shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+            keep = pa.array(has_bit(shared.value, at))
             return pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["at", "text"])
 
         return work
@@ -361,12 +491,25 @@ def wanted_texts(rows: DataFrame, names: DataFrame, pairs: DataFrame, size: int)
 
         return work
 
-    return persist(map_batches(found.select("key", "text"), check, "key long, text string").dropDuplicates(["key"]))
+    out = persist(map_batches(found.select("key", "text"), check, "key long, text string").dropDuplicates(["key"]))
+    release(keys)
+    return out
 
 
 def place(id_col: Column, text_col: Column) -> Column:
     """Names a row for joins: its id, or for a null id a hash of its text."""
-    return F.coalesce(id_col.cast("string"), F.concat(F.lit("#"), F.hex(F.xxhash64(text_col))))
+    return F.coalesce(F.concat(F.lit("="), id_col.cast("string")), F.concat(F.lit("#"), F.hex(F.xxhash64(text_col))))
+
+
+def linked_sets(rows: DataFrame, size: int, num: int, den: int, dense: int, *, count_links: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(docs (id, n, key, at) of ``rows`` (id, text, at), roots (node, root) of linked keys, counts of links by key)."""
+    profiles = persist(profile(rows, size))
+    docs = profiles.where("kind = 0").select("id", "n", "key", "at")
+    copies = persist(docs.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("times"))) if count_links else None
+    links, counts = similar_sets(rows, profiles, size, num, den, dense, copies)
+    roots = components(links)
+    release(links, copies)
+    return docs, roots, counts
 
 
 def jaccard_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, dense: int = DENSE, count_links: bool = True) -> DataFrame:
@@ -377,11 +520,8 @@ def jaccard_components(documents: DataFrame, *, id_col: str = "doc_id", text_col
     shrink = Fraction(num, den)
     num, den = shrink.numerator, shrink.denominator
     rows = pick(documents, id=id_col, text=text_col).withColumn("at", place(F.col("id"), F.col("text")))
-    profiles = persist(profile(rows, size))
-    docs = profiles.where("kind = 0").select("id", "n", "key")
-    copies = docs.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    links, counts = similar_sets(rows, profiles, size, num, den, dense, persist(copies) if count_links else None)
-    roots = components(links)
+    docs, roots, counts = linked_sets(rows, size, num, den, dense, count_links=count_links)
+    docs = docs.drop("at")
     sets = docs.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), (F.count(F.lit(1)) - 1).alias("others")).join(roots.withColumnRenamed("node", "key"), "key", "left")
     sets = sets.withColumn("root", F.coalesce("root", "key"))
     named = sets.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -394,8 +534,43 @@ def jaccard_components(documents: DataFrame, *, id_col: str = "doc_id", text_col
 
 
 def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, dense: int = DENSE) -> DataFrame:
-    """``documents`` with one row of each component: that of its smallest id. Rows with a null id stay."""
-    found = jaccard_components(documents, id_col=id_col, text_col=text_col, size=size, num=num, den=den, dense=dense, count_links=False)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    named = documents.join(kept, documents[id_col] == kept["__kept"], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(documents.where(documents[id_col].isNull()))
+    """``documents`` with one row of each component: that of the smallest id, null ids last, then of the smallest key of its set.
+
+    Rows are chosen, not ids: a row of another component stays though its id is
+    that of a row that goes. Of rows with the same id and set one stays; rows
+    without words are in no component and all stay. A broadcast bit map of fixed
+    size lets the rows of components of one row pass without a shuffle.
+    """
+    shrink = Fraction(num, den)
+    num, den = shrink.numerator, shrink.denominator
+    rows = pick(documents, id=id_col, text=text_col).withColumn("at", place(F.col("id"), F.col("text")))
+    docs, roots, _ = linked_sets(rows, size, num, den, dense, count_links=False)
+    grouped = docs.where("n > 0").join(roots.withColumnRenamed("node", "key"), "key", "left").select("id", "key", "at", F.coalesce("root", "key").alias("hub"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "at"))
+    kept = grouped.groupBy("hub").agg(first.alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("hub", "first")
+    several = persist(dealt(grouped, kept, "at").select(F.col("at").alias("__at"), F.col("key").alias("__key"), ((F.col("at") == F.col("first.at")) & (F.col("key") == F.col("first.key"))).alias("stays")))
+    spot = lambda at: F.pmod(F.xxhash64(at), F.lit(FILTER_BITS))
+    shared = documents.sparkSession.sparkContext.broadcast(bit_map(several.select(spot("__at").alias("bit")), FILTER_BITS))
+    columns, text_at = documents.columns, documents.columns.index(text_col)
+    named = documents.select("*", place(documents[id_col], documents[text_col]).alias("__at")).withColumn("__bit", spot("__at"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
+
+    def split(of_several: bool):
+        def make():
+            hashes = WordHashes()
+
+            def work(batch):
+                asked = has_bit(shared.value, batch.column(len(columns) + 1).to_numpy())
+                sets = [shingle_set(t, size, hashes) if ask else () for t, ask in zip(as_bytes(batch.column(text_at)), asked)]
+                chosen = pa.array([bool(len(x)) == of_several for x in sets], pa.bool_())
+                keys = [pa.array([set_key(x) for x in sets if len(x)], pa.int64())] if of_several else []
+                kept = [c.filter(chosen) for c in batch.columns[: len(columns) + of_several]]
+                return pa.RecordBatch.from_arrays([*kept, *keys], [*columns, *(["__at", "__key"] if of_several else [])])
+
+            return work
+
+        return make
+
+    met = map_batches(named, split(True), f"{fields}, __at string, __key long")
+    chosen = met.join(several.where("not stays").select("__at", "__key").distinct(), ["__at", "__key"], "left_anti").dropDuplicates(["__at", "__key"])
+    return map_batches(named, split(False), fields).union(chosen.select(*columns))

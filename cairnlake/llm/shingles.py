@@ -29,23 +29,27 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
-    """Distinct hashes of the ``size``-word shingles, sorted; of fewer words the whole sequence is one, of none there is none.
-
-    A-Z count as a-z; words lie between ASCII white space.
-    """
-    words = text.lower().split()
+def window_hashes(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
+    """A hash of each run of ``width`` words, in order; none if there are fewer words."""
     n = len(words)
-    if not n:
+    if n < width:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    width = min(size, n)
     total = np.full(n - width + 1, width, np.uint64)
     for i in range(width):
         total += h[i : n - width + 1 + i] * _MULTIPLIERS[i % len(_MULTIPLIERS)] + np.uint64(i)
         if width > len(_MULTIPLIERS):
             total = finish(total)
-    return np.unique(finish(total))
+    return finish(total)
+
+
+def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
+    """Distinct hashes of the ``size``-word shingles, sorted; of fewer words the whole sequence is one, of none there is none.
+
+    A-Z count as a-z; words lie between ASCII white space.
+    """
+    words = text.lower().split()
+    return np.unique(window_hashes(words, min(size, len(words)), hashes)) if words else np.zeros(0, np.uint64)
 
 
 def set_key(tokens: np.ndarray) -> int:

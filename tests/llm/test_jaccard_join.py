@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions
 
 from cairnlake.llm import jaccard_join
 from cairnlake.llm.components import components
@@ -84,7 +85,40 @@ def test_keep_one(docs):
     rows = [(3, base), (2, base + " x"), (9, "all other words in this one"), (9, "all other words in this one"), (5, None), (None, base)]
     kept = jaccard_join.keep_one(docs(rows))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["2", "5", "9", "None"]
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["2", "5", "9"]
+
+
+def brute_keep(rows, size, num):
+    """(id, text) of the rows that stay: of each component of two rows or more the first by (id, null ids last), all without words."""
+    sets = [frozenset(zip(*[(t or "").lower().split()[i:] for i in range(size)])) or frozenset([tuple((t or "").lower().split())]) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if (rows[i][1] or "").split() and (rows[j][1] or "").split() and 100 * len(x & sets[j]) >= num * len(x | sets[j]):
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(find(i), []).append(row)
+    return sorted(min(g, key=lambda r: (r[0] is None, r[0] or 0))[0] is None and "None" or str(min(g, key=lambda r: (r[0] is None, r[0] or 0))[0]) for g in groups.values())
+
+
+def test_keep_one_chooses_rows_by_brute_force(docs):
+    """Repeated ids in different components, null ids, null texts, and input columns named like the operator's own."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(200)]
+    base, other = (" ".join(rng.choices(words, k=40)) for _ in range(2))
+    rows = [(1, base), (8, base), (8, other), (7, None), (7, None), (7, ""), (None, other + " x"), (None, "alone with a null id"), (None, "alone with a null id"), (4, "four"), (4, "FOUR"), (None, None)]
+    rows += [(20 + i % 9, t) for i, t in enumerate(family(rng, rng.choices(words, k=60), 30, words, 3))]
+    df = docs(rows, extra=True).withColumn("copy", functions.lit(1))
+    kept = jaccard_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == brute_keep(rows, 5, 80)
+    assert {(1, base), (8, other)} <= {(r.doc_id, r.text) for r in kept.collect()}
+    assert jaccard_join.keep_one(docs([])).count() == 0
 
 
 def test_components_of_a_long_chain(spark):
