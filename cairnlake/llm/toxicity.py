@@ -7,15 +7,18 @@ the score. Thresholds are calibrated for each language on all labelled rows
 outside the held-out fold that the fit didn't see, scored on the executors; the
 score itself never sees language, source or id.
 
-The fit uses at most ``per_class`` labelled rows of each class (a documented
-bound), picked by a hash of the id, so that the driver holds a bounded sample;
-scoring covers every row and whole texts. Applying a filter is a sum of rows of
+The fit uses at most ``per_class`` labelled rows of each class, picked by a hash
+of the id, and of these the first in hash order up to ``sample_chars`` characters
+(documented bounds). It runs in one task on an executor; only weights and
+thresholds reach the driver, never a text. Scoring covers every row and whole
+texts. Applying a filter is a sum of rows of
 a table (word vector times filter slice), which each worker keeps for the words
 it meets, in a bounded cache.
 
 Null and empty texts are scored as the empty text. Rows without a label, or with
 a null one, train nothing; with no labelled rows of both classes every score is
-0. Repeated rows are scored each; ties in the fit's sample are broken by id.
+0. Repeated rows are scored each; ties in the fit's sample are broken by id. An
+empty table of documents gives an empty result and 0 for all scores.
 """
 
 from __future__ import annotations
@@ -28,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import as_text, bit_map, give_back, map_batches, pick
+from cairnlake.llm.common import as_text, bit_map, give_back, has_bit, map_batches, pick
 
 LETTERS = re.compile(r"[^\W\d_]+")
 WIDTHS, FILTERS, DIM, BUCKETS = (1, 2, 3), 8, 16, 1 << 16
 EPOCHS, BATCH, RATE, PENALTY = 6, 32, 0.02, 1e-4
 SEED = 11
+DENSE = ("slices", "bias", "out", "base")
 #: Rows of a language needed for a threshold of its own, and the threshold of the others.
 LEAST_ROWS, DEFAULT_THRESHOLD = 30, 0.5
 #: Steps of the score in a language's histogram, a power of two.
@@ -102,47 +106,55 @@ def encoded(text: str, cache: dict[str, tuple[int, int, int, int]]) -> np.ndarra
     return np.array(rows, np.int32)
 
 
+def gradients(model: Model, docs: list[np.ndarray], labels: list[int], share: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Of the log loss, each document counting ``share``: (by dense parameter, rows of the embeddings, their gradients)."""
+    grads = {k: np.zeros_like(getattr(model, k)) for k in DENSE}
+    touched: list[tuple[np.ndarray, np.ndarray]] = []
+    filters = model.slices.transpose(1, 0, 2).reshape(DIM, -1)
+    for doc, label in zip(docs, labels):
+        vectors = model.embed[doc].sum(axis=1)
+        pooled, places = model.pooled((vectors @ filters).reshape(len(vectors), -1, FILTERS))
+        delta = (model.score(pooled) - label) * share
+        grads["out"] += delta * pooled
+        grads["base"] += delta
+        back = np.where(pooled > 0, delta * model.out, 0).astype(np.float32)
+        first = 0
+        for i, width in enumerate(WIDTHS):
+            own = slice(i * FILTERS, (i + 1) * FILTERS)
+            grads["bias"][i] += back[own]
+            for j in range(width):  # only the pooled places pass gradients on
+                words = places[own] + j
+                grads["slices"][first + j] += vectors[words].T * back[own]
+                touched.append((doc[words], (model.slices[first + j] * back[own]).T))
+            first += width
+    rows, back_to = np.unique(np.concatenate([w.ravel() for w, _ in touched]), return_inverse=True)
+    of_rows = np.zeros((len(rows), DIM), np.float32)
+    np.add.at(of_rows, back_to, np.concatenate([np.repeat(x, 4, axis=0) for _, x in touched]))
+    return grads, rows, of_rows
+
+
 def fit(docs: list[np.ndarray], labels: list[int], *, epochs: int = EPOCHS) -> Model:
-    """Adam over mini-batches; only the pooled places pass gradients on."""
+    """Adam over mini-batches."""
     rng = np.random.default_rng(SEED)
     model = Model(rng)
-    dense = ("slices", "bias", "out", "base")
     first_m = {k: np.zeros_like(v) for k, v in vars(model).items()}
     second_m = {k: np.zeros_like(v) for k, v in vars(model).items()}
-    starts = np.cumsum((0, *WIDTHS))[:-1]
     t = 0
+
+    def move(name: str, at, g: np.ndarray) -> None:
+        first_m[name][at] += 0.1 * (g - first_m[name][at])
+        second_m[name][at] += 0.001 * (g * g - second_m[name][at])
+        getattr(model, name)[at] -= RATE * first_m[name][at] / (1 - 0.9**t) / (np.sqrt(second_m[name][at] / (1 - 0.999**t)) + 1e-8)
+
     for _ in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), BATCH):
             t += 1
-            grads = {k: np.zeros_like(getattr(model, k)) for k in dense}
-            touched: list[tuple[np.ndarray, np.ndarray]] = []
-            filters = model.slices.transpose(1, 0, 2).reshape(DIM, -1)
-            for d in order[at : at + BATCH]:
-                vectors = model.embed[docs[d]].sum(axis=1)
-                pooled, places = model.pooled((vectors @ filters).reshape(len(vectors), -1, FILTERS))
-                delta = (model.score(pooled) - labels[d]) / BATCH
-                grads["out"] += delta * pooled
-                grads["base"] += delta
-                back = np.where(pooled > 0, delta * model.out, 0).astype(np.float32)
-                for i, width in enumerate(WIDTHS):
-                    own = slice(i * FILTERS, (i + 1) * FILTERS)
-                    grads["bias"][i] += back[own]
-                    for j in range(width):
-                        words = places[own] + j
-                        grads["slices"][starts[i] + j] += vectors[words].T * back[own]
-                        touched.append((docs[d][words], (model.slices[starts[i] + j] * back[own]).T))
-            for k in dense:
-                g = grads[k] + PENALTY * getattr(model, k)
-                first_m[k] += 0.1 * (g - first_m[k])
-                second_m[k] += 0.001 * (g * g - second_m[k])
-                getattr(model, k)[...] -= RATE * first_m[k] / (1 - 0.9**t) / (np.sqrt(second_m[k] / (1 - 0.999**t)) + 1e-8)
-            rows, back_to = np.unique(np.concatenate([w.ravel() for w, _ in touched]), return_inverse=True)
-            g = np.zeros((len(rows), DIM), np.float32)
-            np.add.at(g, back_to, np.concatenate([np.repeat(x, 4, axis=0) for _, x in touched]))
-            first_m["embed"][rows] += 0.1 * (g - first_m["embed"][rows])
-            second_m["embed"][rows] += 0.001 * (g * g - second_m["embed"][rows])
-            model.embed[rows] -= RATE * first_m["embed"][rows] / (1 - 0.9**t) / (np.sqrt(second_m["embed"][rows] / (1 - 0.999**t)) + 1e-8)
+            chosen = order[at : at + BATCH]
+            grads, rows, of_rows = gradients(model, [docs[d] for d in chosen], [labels[d] for d in chosen], 1 / BATCH)
+            for k in DENSE:
+                move(k, ..., grads[k] + PENALTY * getattr(model, k))
+            move("embed", rows, of_rows)
             model.embed[0] = 0
     return model
 
@@ -204,7 +216,7 @@ def calibrate(documents: DataFrame, marks: DataFrame, model: Model) -> dict[str,
 
         def work(batch):
             at = batch.column(3).to_numpy()
-            batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7))) & 1 == 1))
+            batch = batch.filter(pa.array(has_bit(bits, at)))
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([min(BINS - 1, int(score(t) * BINS)) for t in as_text(batch.column(1))], pa.int32())], ["id", "lang", "bin"])
 
         return work
@@ -216,10 +228,40 @@ def calibrate(documents: DataFrame, marks: DataFrame, model: Model) -> dict[str,
     return {lang: best_threshold(c) for lang, c in sorted(counts.items()) if c.sum() >= LEAST_ROWS and c.sum(axis=1).all()}
 
 
-def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_id_col: str = "doc_id", label_col: str = "toxic", per_class: int = 2500) -> tuple[Model | None, dict[str, float]]:
+def fitted(rows: DataFrame, sample_chars: int) -> Model | None:
+    """The model of ``rows`` (id, text, y), at most ``sample_chars`` characters of them, fitted in one task on an executor."""
+
+    def run(batches):
+        cache: dict = {}
+        docs, labels, left = [], [], sample_chars
+        for batch in batches:
+            for text, y in zip(as_text(batch.column(0)), batch.column(1).to_pylist()):
+                left -= len(text)
+                if left >= 0:
+                    docs.append(encoded(text, cache))
+                    labels.append(y)
+        state = fit(docs, labels).state() if len(set(labels)) == 2 else {}
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(state, pa.string()), pa.array([list(v.shape) for v in state.values()], pa.list_(pa.int32())), pa.array([v.tobytes() for v in state.values()], pa.binary())],
+            ["name", "shape", "data"],
+        )
+        del docs, cache
+        give_back()
+
+    in_order = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "y").select("text", "y")
+    state = {r.name: np.frombuffer(r.data, np.float32).reshape(r["shape"]) for r in in_order.mapInArrow(run, "name string, shape array<int>, data binary").collect()}
+    return Model.of(state) if state else None
+
+
+def in_fit(id_col: Column) -> Column:
+    """Four fifths of the drawn rows fit the model, the others are left to the thresholds."""
+    return F.pmod(F.crc32(F.concat(F.lit("c"), id_col.cast("string")).cast("binary")), F.lit(5)) != 0
+
+
+def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_id_col: str = "doc_id", label_col: str = "toxic", per_class: int = 2500, sample_chars: int = 40_000_000) -> tuple[Model | None, dict[str, float]]:
     """(model, thresholds by language): a fit on at most ``per_class`` labelled rows of each class outside the held-out fold, thresholds from all others.
 
-    The ids are drawn from the labels first, so only their texts leave the
+    The ids are drawn from the labels first, so only their texts leave their
     executors and no join shuffles the documents. A fifth of the drawn rows is
     left to the thresholds, so that a small corpus has some too.
     """
@@ -228,16 +270,12 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     if len(counts) < 2:
         return None, {}
     draws = [marks.where(F.col("y") == y).where(F.pmod(F.xxhash64("id"), F.lit(1000)) < int(np.ceil(1200 * per_class / max(per_class, counts[y])))).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
-    drawn = F.broadcast(draws[0].union(draws[1]))  # at most 2 * per_class rows
-    rows = pick(documents, id=id_col, text=text_col, lang=lang_col).join(drawn, "id").select("id", "text", "lang", "y").orderBy(F.xxhash64("id"), "id", "y").collect()
-    cache: dict = {}
-    docs, y = [encoded(r.text or "", cache) for r in rows], np.array([r.y for r in rows], np.int64)
-    fitting = np.flatnonzero([zlib.crc32(f"c{r.id}".encode()) % 5 != 0 for r in rows])
-    model = fit([docs[i] for i in fitting], [int(y[i]) for i in fitting])
-    del rows, docs, cache  # the sample leaves the driver before the next job
-    give_back()
-    fitted = drawn.where(F.pmod(F.crc32(F.concat(F.lit("c"), F.col("id").cast("string")).cast("binary")), F.lit(5)) != 0).select("id")
-    return model, calibrate(pick(documents, id=id_col, text=text_col, lang=lang_col), marks.join(fitted, "id", "left_anti"), model)
+    drawn = draws[0].union(draws[1]).where(in_fit(F.col("id")))  # at most 2 * per_class rows
+    rows = pick(documents, id=id_col, text=text_col, lang=lang_col)
+    model = fitted(rows.join(F.broadcast(drawn), "id").select("id", "text", "y"), sample_chars)
+    if model is None:
+        return None, {}
+    return model, calibrate(rows, marks.join(F.broadcast(drawn.select("id")), "id", "left_anti"), model)
 
 
 def toxicity(documents: DataFrame, model: Model | None, thresholds: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
