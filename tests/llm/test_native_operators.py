@@ -45,6 +45,8 @@ def test_mixture(docs):
         by_source.setdefault((r.source_size, r.target), []).append(r.taken)
     assert sum(r[1] for r in by_source) == pytest.approx(sum(r.size for r in got))
     assert all(abs(sum(t) - target) <= 0.25 * target + 40 for (_, target), t in by_source.items())
+    twice = mixing.mix(df.withColumn("copy", F.lit("own")))
+    assert twice.columns == [*df.columns, "copy", "copy_"] and {r["copy"] for r in twice.select("copy").collect()} == {"own"}
     mixed = mixing.mix(df)
     assert mixed.columns == [*df.columns, "copy"]
     assert mixed.groupBy("doc_id").count().where("doc_id = 5").collect()[0]["count"] == next(r.copies for r in got if r.doc_id == 5) if next(r.copies for r in got if r.doc_id == 5) else True
@@ -52,6 +54,23 @@ def test_mixture(docs):
     assert mixing.mixture_plan(docs([])).count() == 0 and mixing.mix(docs([])).count() == 0
 
 
+def test_mix_shuffles_no_text(docs):
+    """Sources are broadcast by their count; beyond the bound the result is the same, and far more are an error."""
+    rows = [(i, "w " * (i % 7), "en", f"s{i % 5}") for i in range(60)]
+    df = docs(rows)
+    plan = mixing.mix(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    want = sorted(map(str, mixing.mix(df).collect()))
+    for name, value in (("BROADCAST_SOURCES", 2), ("MOST_SOURCES", 4)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(mixing, name, value)
+            if name == "MOST_SOURCES":
+                with pytest.raises(ValueError):
+                    mixing.mix(df)
+            else:
+                assert sorted(map(str, mixing.mix(df).collect())) == want
+
+
 def luhn(s):
     digits = [int(c) for c in reversed(re.sub(r"\D", "", s))]
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
