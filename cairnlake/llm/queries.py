@@ -121,23 +121,27 @@ _HIT_SQL = f"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
 ), item AS (
-  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+  SELECT row_number() OVER () AS b, coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
 ), win AS (
-  SELECT DISTINCT item, len AS n, array_to_string(w[i : i + len - 1], ' ') AS s
-  FROM (SELECT item, w, least(len(w), 13) AS len, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM item WHERE len(w) > 0)
+  SELECT b, item, i, len AS n, array_to_string(w[i : i + len - 1], ' ') AS s
+  FROM (SELECT b, item, w, least(len(w), 13) AS len, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM item WHERE len(w) > 0)
 ), lens AS (SELECT DISTINCT n FROM win
 ), found AS (
-  SELECT d.r, d.i, d.n, win.item
+  SELECT d.r, d.i, d.n, win.item, win.b, win.i AS j
   FROM (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, lens WHERE len(w) >= n)) d
   JOIN win ON win.n = d.n AND win.s = d.s
 ), hit AS (
   SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r
 ), named AS (
   SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT r, item FROM found) GROUP BY r
+), islands AS (
+  SELECT r, n, i - row_number() OVER (PARTITION BY r, b, i - j ORDER BY i) AS g, b, i - j AS diagonal FROM found
+), longest AS (
+  SELECT r, max(words) AS n_longest FROM (SELECT r, max(n) + count(*) - 1 AS words FROM islands GROUP BY r, b, diagonal, g) GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(said, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
+       sha256(coalesce(said, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_longest, 0) AS BIGINT) AS n_longest
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r) LEFT JOIN longest USING (r)"""
 
 _WORD_SQL = "'[^\\x20\\x09-\\x0D]+'"
 _LINES_SQL = f"""
