@@ -81,14 +81,41 @@ def test_secret_report(docs):
 
 
 def test_markov_models_count_every_document(docs):
-    texts = [f"filler{i % 10} ordinary_word{i} password=Zq{i}xK9 é" for i in range(3200)]
+    texts = [f"filler{i % 10} ordinary word{'abc'[i % 3]} password=Zq{i}xK9 é" for i in range(3200)]
     counts = numpy.zeros((2, secret_scans.SYMBOLS, secret_scans.SYMBOLS), int)
-    for label, runs in ((0, [w for i in range(3200) for w in (f"filler{i % 10}", f"ordinary_word{i}")]), (1, [f"Zq{i}xK9" for i in range(3200)] + secret_scans.random_strings())):
+    for label, runs in ((0, [w for i in range(3200) for w in ("_ordinary_", f"_word{'abc'[i % 3]}_")]), (1, [f"Zq{i}xK9" for i in range(3200)])):
         for run in runs:
-            if label or 6 <= len(run) <= 19:
-                x = secret_scans.codes(run)
-                numpy.add.at(counts[label], (x[:-1], x[1:]), 1)
-    assert numpy.array_equal(secret_scans.train(docs(list(enumerate(texts))).repartition(7)), secret_scans.log_ratios(counts))
+            x = secret_scans.codes(run)
+            numpy.add.at(counts[label], (x[:-1], x[1:]), 1)
+    for name in ("filler",):  # digits adjoin it, so it is no word
+        assert not secret_scans.WORD.search(f"{name}1")
+    got = secret_scans.train(docs(list(enumerate(texts))).repartition(7))
+    want = secret_scans.models(counts)
+    assert numpy.array_equal(got.ratios, want.ratios) and got.least == want.least
+
+
+def test_models_tell_random_from_ordinary():
+    """Held out: names of other libraries, and random strings of another seed; with and without a corpus."""
+    owners = [numpy, functions, numpy.linalg, pytest, *(x for x in vars(numpy).values() if isinstance(x, type))]
+    ordinary = sorted({x for o in owners for x in dir(o) if len(x) >= secret_scans.MIN_RUN and not x.startswith("_")} - set(secret_scans.identifiers()))
+    camel = [x for x in ("getUserAccountSettings", "parseConfigurationFile", "MaxRetriesExceededError", "handleIncomingRequest", "StreamingQueryListener", "createOrReplaceTempView")]
+    constant = [x.upper() for x in ordinary if "_" in x][:60]
+    words = "the ordinary words of a little corpus with some more of them".split()
+    corpus = secret_scans.sample_counts([" ".join(random.Random(i).choices(words, k=40)) + " token=a8f0Zk29xQ" for i in range(20)])
+    secrets = secret_scans.random_strings(700, seed=99)
+    for counts in (corpus, numpy.zeros_like(corpus)):
+        trained = secret_scans.models(counts)
+        false = [x for kind in (ordinary, camel, constant) for x in kind if trained.is_random(x)]
+        true = sum(map(trained.is_random, secrets))
+        assert len(ordinary) > 40 and true >= 0.95 * len(secrets) and true >= 0.95 * (true + len(false)), false
+
+
+def test_runs_beside_base_spans_and_numbers():
+    trained = secret_scans.models(numpy.zeros((2, secret_scans.SYMBOLS, secret_scans.SYMBOLS), int))
+    key = "Zk3vQ9xW7pL2mT8rB5nJ"
+    text = f"4929348385146306 {key} token=abcdef {key}/AKIA{'Q7' * 8} plain_words_of_an_identifier"
+    first, second = text.index(key), text.rindex(key)
+    assert [s for s in secret_scans.find_spans(text, trained) if s[1] == 3] == [(first, 3, first + 20), (second, 3, second + 21)]
 
 
 def words6(text):
@@ -118,6 +145,8 @@ def test_contamination_equals_brute_force(docs, spark, block_words):
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, id string")
     got = decontamination.contamination(docs(rows, extra=True), bench, block_words=block_words).collect()
     want = [(d, *brute_hits(t, items)) for d, t in rows]
+    assert sorted(r.n_longest for r in got) == sorted(max((m[3] for m in brute_matches(t, items, 13)), default=0) for _, t in rows)
+    got = [r[:-1] for r in got]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     kept = decontamination.remove_contaminated(docs(rows), bench, block_words=block_words).collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted(str(w[0]) for w in want if not w[-1])
@@ -129,7 +158,38 @@ def test_longest_matches():
     item = [f"w{i}".encode() for i in range(30)]
     block = decontamination.Block([("a", item)], 13)
     text = b"x " + b" ".join(item[5:25]) + b" y " + b" ".join(item[:13])
-    assert decontamination.longest_matches(text, block) == [("a", 1, 5, 20), ("a", 22, 0, 13)]
+    assert decontamination.matches_in([text, b"", text], block) == ([35, 0, 35], [[("a", 1, 5, 20), ("a", 22, 0, 13)], [], [("a", 1, 5, 20), ("a", 22, 0, 13)]])
+
+
+def brute_matches(text, items, window):
+    """Maximal equal stretches of at least a window, or a whole shorter item."""
+    w, out = words6(text), set()
+    for item, body in items:
+        b = words6(body)
+        n = min(window, len(b))
+        for p in range(len(w)):
+            for i in range(len(b)):
+                if p and i and w[p - 1] == b[i - 1] and n == window:
+                    continue
+                k = 0
+                while p + k < len(w) and i + k < len(b) and w[p + k] == b[i + k]:
+                    k += 1
+                if n and k >= n and (n == window or i == 0):
+                    out.add(("" if item is None else str(item), p, i, k))
+    return out
+
+
+@pytest.mark.parametrize("block_words,at_once", [(1_000_000, 1), (25, 2_000_000)])
+def test_longest_matches_equal_brute_force(docs, spark, monkeypatch, block_words, at_once):
+    monkeypatch.setattr(decontamination, "AT_ONCE", at_once)
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(1, text(30)), (2, text(12)), (3, "a b"), (None, text(8)), (4, text(20))]
+    rows = [(i, text(rng.randint(0, 50))) for i in range(30)] + [(50, items[0][1] + " z " + items[4][1]), (50, items[0][1] + " z " + items[4][1]), (51, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.matches(docs(rows), bench, window=6, block_words=block_words).collect()
+    as_sets = sorted((str(r.id), r.n_words, sorted(map(tuple, r.matches))) for r in got)
+    assert as_sets == sorted((str(d), len(words6(t)), sorted(brute_matches(t, items, 6))) for d, t in rows)
 
 
 def brute_quality(text):
@@ -247,3 +307,42 @@ def test_filters_equal_a_plain_convolution():
         first += width
     want = 1 / (1 + np.exp(-(np.concatenate(best) @ model.out + model.base[0])))
     assert toxicity.Scorer(model)(" ".join(words)) == pytest.approx(float(want), abs=1e-5)
+
+
+def test_gradients_equal_differences():
+    rng = random.Random(1)
+    model = toxicity.Model()
+    for k, v in vars(model).items():  # in double precision, for the differences
+        setattr(model, k, v.astype(numpy.float64))
+    docs = [toxicity.encoded(" ".join(rng.choices(["one", "other", "words", "gronkish", "text"], k=n)), {}) for n in (3, 4, 9)]
+    model.bias += numpy.random.default_rng(2).normal(0, 0.1, model.bias.shape)  # away from the bend of the unit
+    labels = [1, 0, 1]
+
+    def loss():
+        total = 0
+        for d, y in zip(docs, labels):
+            vectors = model.embed[d].sum(axis=1)
+            parts = numpy.einsum("wd,sdf->wsf", vectors, model.slices)
+            p = model.score(model.pooled(parts)[0])
+            total -= numpy.log(p if y else 1 - p)
+        return total
+
+    grads, rows, of_rows = toxicity.gradients(model, docs, labels, 1.0)
+    spots = [(k, i, grads[k][i]) for k in toxicity.DENSE for i in list(numpy.ndindex(grads[k].shape))[::7]]
+    spots += [("embed", (int(r), j), of_rows[n, j]) for n, r in enumerate(rows) if r for j in (0, 5)]
+    for name, at, want in spots:
+        x, was = getattr(model, name), getattr(model, name)[at]
+        x[at] = was + 1e-5
+        up = loss()
+        x[at] = was - 1e-5
+        down = loss()
+        x[at] = was
+        assert (up - down) / 2e-5 == pytest.approx(float(want), abs=2e-3), (name, at)
+
+
+def test_toxicity_of_an_empty_table_and_a_bound_of_characters(docs, spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    empty = docs([])
+    assert toxicity.train(empty, labels) == (None, {}) and toxicity.toxicity(empty, None, {}).count() == 0 == toxicity.remove_toxic(empty, None, {}).count()
+    rows = docs([(i, "gronkish words" if i % 2 else "plain words") for i in range(40)])
+    assert toxicity.train(rows, labels, sample_chars=5) == (None, {}) and toxicity.train(rows, labels, sample_chars=300)[0] is not None
