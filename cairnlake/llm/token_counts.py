@@ -7,11 +7,13 @@ level BPE never merges across them. No pre-token is ever shuffled.
 
 Exactness: the split into pre-tokens is done with ``regex``, whose character
 classes agree with the library's for all code points below ``FIRST_DOUBTFUL``;
-a text with any other character is encoded whole by the library. Strings of
-added special tokens inside a text count as one token, the library's default.
+a text with any other character is split by the library's own pre-tokenizer. The
+pieces of either split go through both tiers. Strings of added special tokens
+inside a text count as one token, the library's default. (Tokenizers that don't
+count by pre-tokens, such as sentencepiece models, encode whole texts.)
 
 Nulls and empty texts have 0 bytes and 0 tokens; repeated rows are counted
-each; an empty table gives an empty result.
+each; texts of any length are counted whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,6 +57,33 @@ def supports_pieces(path: str) -> bool:
     return spec["model"]["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
 
 
+class PieceCounter:
+    """Text -> tokens, for a byte-level BPE tokenizer; ``lengths`` holds both tiers."""
+
+    def __init__(self, path: str, frequent: dict[str, int], cache_limit: int):
+        import regex
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        self.lengths = PieceLengths(library.encode, frequent, cache_limit)
+        self.special = [t.content for t in library.get_added_tokens_decoder().values()]
+        self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
+        self.find = regex.compile(PATTERN).findall
+        self.doubtful = regex.compile(rf"[^\x00-{chr(FIRST_DOUBTFUL - 1)}]").search
+        self.own_split = library.pre_tokenizer.pre_tokenize_str
+
+    def pieces(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.own_split(text)] if self.doubtful(text) else self.find(text)
+
+    def __call__(self, text: str) -> int:
+        if any(s in text for s in self.special):
+            parts = self.at_special.split(text)
+            return len(parts) - 1 + sum(map(self.lengths.__getitem__, chain.from_iterable(map(self.pieces, parts))))
+        return sum(map(self.lengths.__getitem__, self.pieces(text)))
+
+
 def counter(path: str, frequent: dict[str, int], cache_limit: int):
     """A function text -> tokens for the tokenizer at ``path``."""
     if path.endswith(".model"):
@@ -62,30 +91,14 @@ def counter(path: str, frequent: dict[str, int], cache_limit: int):
 
         processor = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda text: len(processor.encode(text)) if text else 0
-    import regex
+    if supports_pieces(path):
+        return PieceCounter(path, frequent, cache_limit)
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    whole = lambda text: len(library.encode(text, add_special_tokens=False).ids)
-    if not supports_pieces(path):
-        return whole
-    special = [t.content for t in library.get_added_tokens_decoder().values()]
-    split = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-    pieces = regex.compile(PATTERN).findall
-    doubtful = regex.compile(rf"[^\x00-{chr(FIRST_DOUBTFUL - 1)}]").search
-    lengths = PieceLengths(library.encode, frequent, cache_limit)
-
-    def count(text: str) -> int:
-        if doubtful(text):
-            return whole(text)
-        if split and any(s in text for s in special):
-            parts = split.split(text)
-            return len(parts) - 1 + sum(map(lengths.__getitem__, chain.from_iterable(map(pieces, parts))))
-        return sum(map(lengths.__getitem__, pieces(text)))
-
-    return count
+    return lambda text: len(library.encode(text, add_special_tokens=False).ids)
 
 
 def frequent_pieces(documents: DataFrame, tokenizer_path: str, *, sample_rows: int = 2000, size: int = 30_000) -> dict[str, int]:
@@ -110,8 +123,8 @@ def frequent_pieces(documents: DataFrame, tokenizer_path: str, *, sample_rows: i
 
         return work
 
-    rows = map_batches(sampled(documents, "id", sample_rows).select("text"), make, "piece string, n int").limit(size).collect()
-    return {r.piece: r.n for r in rows}
+    rows = map_batches(sampled(documents, "id", sample_rows).select("text"), make, "piece string, n int").collect()
+    return dict(list({r.piece: r.n for r in rows}.items())[:size])
 
 
 def token_counts(documents: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, cache_limit: int = 300_000, sample_rows: int = 2000, table_size: int = 30_000) -> DataFrame:
