@@ -7,37 +7,51 @@ languages is then chosen by penalised likelihood: the strongest language alone
 is compared with the two strongest, and so on, and a language stays if it
 raises the log-likelihood by more than ``PENALTY * log(words)``.
 
-Counts for training come from all rows with a language (of the training folds),
-added up on the executors; per language the ``max_grams`` most frequent grams
-are kept (a documented bound), the rest shares the smoothing mass.
-
-A null text, or one without a letter, gives ``und`` with score 0. With no
-labelled rows every text gives ``und``. Ties go to the language first in code
-point order. Repeated rows are judged each; very long texts are judged whole.
+Counts for training come from all grams of all rows with a language (of the
+training folds), added up on the executors. Grams are hashed to ``BUCKETS``
+places, so the model has a bounded size and no gram is left out. The languages
+are counted first; more than ``MOST_LANGS`` are an error.
+
+The prediction is the language of the largest share in the chosen set; the score
+is how sure the words are of it: the mean over the words of its posterior among
+all languages at equal odds.
+
+A letter is a character of Unicode category L. A null text, or one without a
+letter, gives ``und`` with score 0. With no labelled rows every text gives
+``und``. Ties go to the language first in code point order. Repeated rows are
+judged each; very long texts are judged whole; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import zlib
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from cairnlake.llm.common import as_text, map_batches, pick
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Numerals such as fractions and letter numbers, which \\w and not \\d have.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: Words: runs of letters.
+LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 PENALTY = 1.0
 STEPS = 12
 UNKNOWN = "und"
+BUCKETS, MOST_LANGS = 1 << 20, 1000
 
 
-def grams(word: str) -> list[str]:
+def grams(word: str) -> list[int]:
+    """The places of the word's trigrams."""
     padded = f"^{word}$"
-    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+    return [zlib.crc32(padded[i : i + 3].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(padded) - 2)]
 
 
 def fold(id_col: Column, folds: int, *, held: int) -> Column:
@@ -45,68 +59,72 @@ def fold(id_col: Column, folds: int, *, held: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(folds)) == held, F.lit(False))
 
 
-def gram_counts(rows: DataFrame, max_grams: int) -> DataFrame:
-    """lang, gram, n over all rows (text, lang): counted in each task, then summed."""
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """lang, gram (its place), n over all rows (text, lang): counted in each task, then summed."""
 
     def make():
         def work(batch):
             words: dict[str, Counter] = {}
             for text, lang in zip(as_text(batch.column(0)), batch.column(1).to_pylist()):
                 words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-            out: dict[tuple[str, str], int] = {}
+            out: dict[tuple[str, int], int] = {}
             for lang, counts in words.items():
                 for word, n in counts.items():
                     for gram in grams(word):
                         out[lang, gram] = out.get((lang, gram), 0) + n
-            columns = [[k[0] for k in out], [k[1] for k in out], list(out.values())]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["lang", "gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.int64()), pa.array(list(out.values()), pa.int64())], ["lang", "gram", "n"])
 
         return work
 
-    summed = map_batches(rows, make, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = summed.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-    return ranked.where(F.col("r") <= max_grams).select("lang", "gram", "n")
+    return map_batches(rows, make, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+class Model(NamedTuple):
+    """Languages, the row of each place in ``logs`` (the last row: no such gram), and log P(gram | language)."""
+
+    langs: list[str]
+    row_of: np.ndarray
+    logs: np.ndarray
+
+
+def build_model(langs: np.ndarray, places: np.ndarray, counts: np.ndarray) -> Model:
+    """From the counts of each (language, place)."""
+    names, lang_at = np.unique(langs.astype(str), return_inverse=True) if len(langs) else (np.zeros(0, str), np.zeros(0, np.int64))
+    used, at = np.unique(places, return_inverse=True)
+    table = np.zeros((len(used) + 1, len(names)))
+    table[at, lang_at] = counts
+    totals = table.sum(axis=0) + 0.5 * len(table)
+    row_of = np.full(BUCKETS, len(used), np.int32)
+    row_of[used] = np.arange(len(used))
+    return Model(names.tolist(), row_of, np.log((table + 0.5) / totals).astype(np.float32))
 
 
 class WordLikelihoods:
     """Rows of log P(word | language); a bounded cache that is filled for many words at once."""
 
-    def __init__(self, langs: list[str], table: dict[str, np.ndarray], floor: np.ndarray, limit: int = 200_000):
-        self.limit = limit
-        self.number = {gram: i for i, gram in enumerate(table)}
-        self.logs = np.array([*table.values(), floor], np.float32).reshape(-1, len(langs))
+    def __init__(self, model: Model, limit: int = 200_000):
+        self.model, self.limit = model, limit
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((0, self.logs.shape[1]), np.float32)
+        self.rows = np.zeros((0, self.model.logs.shape[1]), np.float32)
 
     def of(self, words: list[str]) -> np.ndarray:
         if len(self.place) > self.limit:
             self.clear()
-        place, unknown = self.place, len(self.number)
+        place = self.place
         if fresh := [w for w in dict.fromkeys(words) if w not in place]:
             place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
-            ids = np.array([self.number.get(g, unknown) for w in fresh for g in grams(w)], np.int64)
+            ids = self.model.row_of[np.array([g for w in fresh for g in grams(w)], np.int64)]
             lengths = np.array([len(w) for w in fresh], np.int64)  # a word of n letters has n grams
-            added = np.add.reduceat(self.logs[ids], np.cumsum(lengths) - lengths, axis=0)
+            added = np.add.reduceat(self.model.logs[ids], np.cumsum(lengths) - lengths, axis=0)
             self.rows = np.concatenate([self.rows, added])
         return self.rows[[place[w] for w in words]]
 
 
-def build_model(counts: list[tuple[str, str, int]]) -> tuple[list[str], dict[str, np.ndarray], np.ndarray]:
-    """(languages, gram -> log P for each, log P of an unknown gram)."""
-    langs = sorted({lang for lang, _, _ in counts})
-    place = {lang: i for i, lang in enumerate(langs)}
-    by_gram: dict[str, np.ndarray] = {}
-    for lang, gram, n in counts:
-        by_gram.setdefault(gram, np.zeros(len(langs)))[place[lang]] = n
-    totals = sum(by_gram.values(), np.zeros(len(langs))) + 0.5 * (len(by_gram) + 1)
-    return langs, {g: np.log((v + 0.5) / totals) for g, v in by_gram.items()}, np.log(0.5 / totals)
-
-
-def mixtures(logs: np.ndarray, times: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Proportions for each document and the chosen languages.
+def mixtures(logs: np.ndarray, times: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Proportions for each document, the chosen languages, and the words' mean posterior of each language.
 
     ``logs`` has a row for each distinct word of a document and ``times`` how
     often it occurs there; ``starts`` has the first row of each document (none
@@ -150,27 +168,35 @@ def mixtures(logs: np.ndarray, times: np.ndarray, starts: np.ndarray) -> tuple[n
         better = fitness - best[growing] > PENALTY * np.log(words[growing] + 1)
         growing, wider, more, fitness = growing[better], wider[better], more[better], fitness[better]
         chosen[growing], share[growing], best[growing] = wider, more, fitness
-    return share, [np.flatnonzero(c) for c in chosen]
+    posterior = like / like.sum(axis=1, keepdims=True)
+    sure = np.add.reduceat(posterior * times[:, None], starts, axis=0) / words[:, None]
+    return share, [np.flatnonzero(c) for c in chosen], sure
 
 
-def language_id(documents: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_grams: int = 20_000, words_at_once: int = 60_000) -> DataFrame:
-    """``id_col``, lang_pred, score and langs (the chosen set, by share) of every row of ``documents``."""
+def train(training: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model:
     learned = pick(training, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs, table, floor = build_model([tuple(r) for r in gram_counts(learned, max_grams).collect()])
+    if (n := learned.select("lang").distinct().count()) > MOST_LANGS:
+        raise ValueError(f"{n} languages are more than {MOST_LANGS}")
+    counts = gram_counts(learned).toArrow()  # at most BUCKETS rows a language
+    return build_model(*(counts.column(c).to_numpy() for c in ("lang", "gram", "n")))
+
+
+def language_id(documents: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", words_at_once: int = 60_000) -> DataFrame:
+    """``id_col``, lang_pred, score and langs (the chosen set, by share) of every row of ``documents``."""
     rows = pick(documents, id=id_col, text=text_col)
-    shared = documents.sparkSession.sparkContext.broadcast((langs, table, floor))
+    shared = documents.sparkSession.sparkContext.broadcast(train(training, text_col=text_col, lang_col=lang_col))
 
     def make():
-        langs, table, floor = shared.value
-        cache = WordLikelihoods(langs, table, floor) if langs else None
+        model = shared.value
+        langs, cache = model.langs, WordLikelihoods(model)
 
         def judge(docs: list[Counter], out: list, at: list[int]) -> None:
             starts = np.cumsum([0, *[len(d) for d in docs[:-1]]])
             times = np.array([n for d in docs for n in d.values()], np.float32)
-            share, sets = mixtures(cache.of([w for d in docs for w in d]), times, starts)
-            for i, s, chosen in zip(at, share, sets):
+            share, sets, sure = mixtures(cache.of([w for d in docs for w in d]), times, starts)
+            for i, s, chosen, p in zip(at, share, sets, sure):
                 ranked = sorted(chosen, key=lambda j: (-s[j], j))
-                out[i] = (langs[ranked[0]], min(1.0, float(s[ranked[0]])), [langs[j] for j in ranked])
+                out[i] = (langs[ranked[0]], min(1.0, float(p[ranked[0]])), [langs[j] for j in ranked])
 
         def work(batch):
             texts = as_text(batch.column(1))
