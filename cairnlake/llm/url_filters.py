@@ -8,6 +8,10 @@ wins and overrides the vocabulary.
 
 A null url, or one without ``://``, has an empty host and path and no rule;
 the vocabulary is still looked up in what there is (null: nothing, so allow).
+Of rules of one length that fit, the last by code point wins; an overlap of terms
+counts each. Repeated rows are judged each; urls of any length are read whole; an
+empty table gives an empty result. The defaults below are a small vocabulary for
+tests and the registered query: ``vocabulary`` reads a real one from a table.
 """
 
 from __future__ import annotations
@@ -31,6 +35,18 @@ _PARTS = re.compile(r".*?://([^/?#]*)([^?#]*)", re.S)
 _ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
+def vocabulary(terms: DataFrame, *, term_col: str = "term", strict_col: str = "strict", most: int = 1_000_000) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict terms, soft terms) of a table, lower-cased; a term that is both is strict, null and empty ones are left out.
+
+    The automaton goes to every task, so more than ``most`` terms are an error.
+    """
+    rows = pick(terms, term=term_col, strict=strict_col).where("term != ''").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the vocabulary has more than {most} terms")
+    strict = {r.term.translate(_ASCII_LOWER) for r in rows if r.strict}
+    return tuple(sorted(strict)), tuple(sorted({r.term.translate(_ASCII_LOWER) for r in rows} - strict))
+
+
 def host_and_path(url: str | None) -> tuple[str, str]:
     found = _PARTS.match(url or "")
     return (found[1].translate(_ASCII_LOWER), found[2]) if found else ("", "")
@@ -46,6 +62,8 @@ def term_hits(automaton, text: str) -> tuple[int, int]:
     """Distinct strict and soft terms in ``text`` between boundaries."""
     word = lambda c: c.isascii() and c.isalnum()
     strict, soft = set(), set()
+    if not len(automaton):
+        return 0, 0
     for end, (term, is_strict) in automaton.iter(text):
         begin = end - len(term) + 1
         if (begin == 0 or not word(text[begin - 1])) and (end + 1 == len(text) or not word(text[end + 1])):
@@ -57,11 +75,12 @@ def build_automaton(strict, soft):
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
-    for term in strict:
-        automaton.add_word(term, (term, True))
     for term in soft:
         automaton.add_word(term, (term, False))
-    automaton.make_automaton()
+    for term in strict:
+        automaton.add_word(term, (term, True))
+    if len(automaton):
+        automaton.make_automaton()
     return automaton
 
 
