@@ -11,6 +11,10 @@ from cairnlake.llm import decontamination, jaccard_join, language_id, mixing, pi
 from cairnlake.llm.common import table
 
 
+#: The query's key, so that its results can be compared; real runs bring a secret one.
+PII_KEY = os.environ.get("PII_KEY", "key-of-the-query")
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """The public vocabulary file; TOKENIZER_PATH names another."""
     if path := os.environ.get("TOKENIZER_PATH"):
@@ -29,7 +33,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key=PII_KEY)
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,14 +150,12 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r) LEFT JOIN longest USI
 _WORD_SQL = "'[^\\x20\\x09-\\x0D]+'"
 _LINES_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD_SQL}) AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-lines AS (SELECT r, source, text, l[i] AS line, regexp_extract_all(l[i], {_WORD_SQL}) AS lw FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM d)),
+lines AS (SELECT r, doc_id, source, l[i] AS line, regexp_extract_all(l[i], {_WORD_SQL}) AS lw FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM d)),
 filled AS (SELECT *, len(lw) AS n, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS k FROM lines WHERE len(lw) > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup FROM filled GROUP BY r),
 win AS (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
 rep AS (SELECT r, count(DISTINCT p) AS n_rep FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c > 1) GROUP BY r),
-hosts AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
-held AS (SELECT source, k, count(*) AS held FROM (SELECT DISTINCT source, text, k FROM filled) GROUP BY source, k),
-common AS (SELECT held.source, k FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE held > 20 AND held > docs * 0.05::DOUBLE),
+common AS (SELECT source, k FROM (SELECT DISTINCT source, coalesce('=' || doc_id, '#' || r) AS doc, k FROM filled) GROUP BY source, k HAVING count(*) > 20),
 lost AS (SELECT r, sum(n) AS lost FROM filled JOIN common ON filled.source IS NOT DISTINCT FROM common.source AND filled.k = common.k GROUP BY r),
 m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 import re
 
@@ -91,7 +92,7 @@ def test_pseudonyms_keep_formats_and_links(docs):
     finds = [(k, f) for k, fs in FINDS.items() for f in fs]
     rows = [(i, f"Before {f}, after.\n") for i, (_, f) in enumerate(finds)] + [(100 + i, f"Before {d} after") for i, d in enumerate(DECOYS)]
     rows += [(200, " | ".join(f for _, f in finds)), (201, None), (202, ""), (203, "x " * 20_000 + "17.252.227.210"), (None, "17.252.227.210")]
-    got = {r.doc_id: r for r in pii.pseudonymise(docs(rows, extra=True)).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(rows, extra=True), key="k1").collect()}
     new = {}
     for i, (kind, f) in enumerate(finds):
         r = got[i]
@@ -106,7 +107,72 @@ def test_pseudonyms_keep_formats_and_links(docs):
     assert all(got[100 + i].text == f"Before {d} after" for i, d in enumerate(DECOYS))
     assert (got[201].text, got[202].text, got[203].text.split()[-1], got[None].text) == (None, "", new["17.252.227.210"], new["17.252.227.210"])
     other = {r.doc_id: r.text for r in pii.pseudonymise(docs(rows[:1]), key="another").collect()}
-    assert other[0] != got[0].text and pii.pseudonymise(docs([])).count() == 0
+    assert other[0] != got[0].text and pii.pseudonymise(docs([]), key="k").count() == 0
+
+
+def feistel_number(x, p, q, key, kind):
+    a, b = divmod(x, q)
+    for i in range(1, 9):
+        number = lambda other: int(hashlib.sha256(f"{key}|{kind}|{i}|{other}".encode()).hexdigest()[:12], 16)  # noqa: B023, E731
+        a, b = ((a + number(b)) % p, b) if i % 2 else (a, (b + number(a)) % q)
+    return a * q + b
+
+
+def feistel_text(s, key, kind):
+    a, b = s[: len(s) // 2], s[len(s) // 2 :]
+    for i in range(1, 9):
+        digest = hashlib.sha256(f"{key}|{kind}|{i}|{b}".encode()).hexdigest()
+        moved = ""
+        for j, c in enumerate(a):
+            for first, size in (("0", 10), ("a", 26), ("A", 26)):
+                if ord(first) <= ord(c) < ord(first) + size:
+                    c = chr((ord(c) - ord(first) + int(digest[j % 32 * 2 : j % 32 * 2 + 2], 16)) % size + ord(first))
+                    break
+            moved += c
+        a, b = b, moved
+    return a + b
+
+
+def expected(kind, find, key):
+    digits = re.sub(r"\D", "", find)
+    lay = lambda new: re.sub(r"\d", lambda m, it=iter(new): next(it), find)
+    if kind == "email":
+        return feistel_text(find.split("@")[0], key, kind) + "@" + find.split("@")[1]
+    if kind == "phone":
+        return lay(digits[:-10] + feistel_text(digits[-10:], key, kind))
+    if kind == "card":
+        body = feistel_text(digits[:-1], key, kind)
+        return lay(next(body + str(c) for c in range(10) if luhn(body + str(c))))
+    if kind == "ip":
+        x = feistel_number(int.from_bytes(map(int, find.split(".")), "big"), 65536, 65536, key, kind)
+        return ".".join(map(str, x.to_bytes(4, "big")))
+    if kind == "date":
+        return str(dt.date(1800, 1, 1) + dt.timedelta(feistel_number((dt.date.fromisoformat(find) - dt.date(1800, 1, 1)).days, 189, 773, key, kind)))
+    areas = [a for a in range(1, 900) if a != 666]
+    area, group, serial = map(int, find.split("-"))
+    x = feistel_number((areas.index(area) * 99 + group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, kind)
+    return f"{areas[x // (99 * 9999)]:03d}-{x // 9999 % 99 + 1:02d}-{x % 9999 + 1:04d}"
+
+
+def test_pseudonyms_equal_a_plain_feistel_network(docs):
+    rng = random.Random(12)
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+    finds = [(k[2:], f) for k, fs in FINDS.items() for f in fs]
+    for _ in range(6):
+        body = d(14)
+        amex = next(body + str(c) for c in range(10) if luhn(body + str(c)))
+        finds += [("card", amex), ("card", f"{amex[:4]} {amex[4:10]} {amex[10:]}"), ("card", f"{amex[:4]}-{amex[4:10]}-{amex[10:]}")]
+        finds += [("phone", f"({d(3)}) {d(3)}-{d(4)}"), ("ip", ".".join(str(rng.randrange(256)) for _ in range(4))), ("email", f"{rng.choice('abcXYZ')}{d(2)}_q@h{d(1)}.net")]
+        finds += [("date", str(dt.date(1800, 1, 1) + dt.timedelta(rng.randrange(146097)))), ("ssn", f"{rng.choice([1, 665, 667, 899]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}")]
+    rows = [(i, f"a {f}, b {f}!") for i, (_, f) in enumerate(finds)]
+    rows += [(1000 + i, f"\x01 a {f}\x01\x01 b {f}") for i, (_, f) in enumerate(finds)]  # the mark itself in the text
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(rows), key="my key").collect()}
+    for i, (kind, f) in enumerate(finds):
+        new = expected(kind, f, "my key")
+        assert got[i].text == f"a {new}, b {new}!" and got[1000 + i].text == f"\x01 a {new}\x01\x01 b {new}", (kind, f)
+        assert got[i][f"n_{kind}"] == 2 == got[1000 + i][f"n_{kind}"]
+    with pytest.raises(TypeError):
+        pii.pseudonymise(docs([]))
 
 
 def test_networks_are_permutations(spark):

@@ -1,6 +1,8 @@
+import math
 import random
 import re
 import sys
+import unicodedata
 import zlib
 from hashlib import sha256
 
@@ -32,6 +34,21 @@ def test_token_counts_equal_the_library(docs, name):
     assert token_counts.token_counts(docs([]), path).count() == 0
 
 
+def test_every_text_goes_through_both_tiers():
+    """Dashes, curly quotes, the euro sign and CJK: only pieces are encoded, never a whole text."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library = Tokenizer.from_file(path)
+    texts = ["It’s “quoted” — at 5 € — and ½ of ՘ it", "日本語 テキスト、漢字と かな。", "plain ‘words’…\n\n  next", "a<|endoftext|>— b", "\u2028x\u00a0\u3000y", "٣٤ देवनागरी 한국어 👍🏽"]
+    count = token_counts.PieceCounter(path, {}, 10_000)
+    assert [count(t) for t in texts] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert not set(texts) & set(count.lengths) and max(map(len, count.lengths)) < 12
+    known = dict(count.lengths)
+    again = token_counts.PieceCounter(path, known, 10_000)
+    assert [again(t) for t in texts] == [count(t) for t in texts] and set(again.lengths) == set(known)  # tier one has all of it
+
+
 def test_piece_pattern_agrees_below_the_doubtful_range():
     import regex
     from tokenizers import Tokenizer
@@ -52,6 +69,21 @@ def test_url_verdicts(spark):
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(cases)], "page_id long, url string, host string")
     got = [(r.host, r.path, r.rule, r.verdict) for r in url_filters.url_verdicts(df).orderBy("page_id").collect()]
     assert got == list(cases.values())
+    again = url_filters.url_verdicts(df.union(df)).groupBy("page_id").count().collect()
+    assert {r["count"] for r in again} == {2} and url_filters.url_verdicts(df.where("false")).count() == 0
+    long = spark.createDataFrame([(1, "http://x.net/" + "a/" * 200_000 + "porn"), (2, None)], "page_id long, url string")
+    assert [r.verdict for r in url_filters.url_verdicts(long).orderBy("page_id").collect()] == ["block", "allow"]
+
+
+def test_vocabulary_from_a_table(spark):
+    rows = [("Bad", True), ("bad", False), ("meh", False), ("so-so", None), ("", True), (None, True)]
+    strict, soft = url_filters.vocabulary(spark.createDataFrame(rows, "term string, strict boolean"))
+    assert (strict, soft) == (("bad",), ("meh", "so-so"))
+    df = spark.createDataFrame([(1, "http://h/bad"), (2, "http://h/meh"), (3, "http://h/meh/so-so"), (4, "http://h/badly")], "page_id long, url string")
+    verdicts = lambda **v: [r.verdict for r in url_filters.url_verdicts(df, rules=(), **v).orderBy("page_id").collect()]
+    assert verdicts(strict=strict, soft=soft) == ["block", "allow", "block", "allow"] and verdicts(strict=(), soft=()) == ["allow"] * 4
+    with pytest.raises(ValueError):
+        url_filters.vocabulary(spark.createDataFrame(rows, "term string, strict boolean"), most=2)
 
 
 def naive_base(text):
@@ -213,13 +245,25 @@ def test_quality_rules(docs):
     common = "this is the common licence line of our host"
     rows = [(i, body()) for i in range(30)] + EDGE + [(100 + i, f"{common}\nown words of text number {i} which no other text has at all", "en", "big") for i in range(40)] + [(200 + i, f"{common}\n{common} {i}", "en", "big") for i in range(4)] + [(300, "a b c d e " * 2, "en", None), (301, " ".join(map(str, range(30))), "en", None)]
     rows += [(400 + i, "one copy of a text with more than ten words in all of it", "en", "copies") for i in range(60)]
+    rows += [(500, "one row of many with the same id and more than ten words", "en", "rows")] * 60
+    hot = "all rights of this very hot host are reserved by its owner"
+    rows += [(1000 + i, (hot if i % 25 == 0 else f"an own line number {i * 7919} of words") .replace("number ", "number " + "xyz"[i % 3] + chr(97 + i % 26) + chr(97 + i // 26 % 26)), "en", "hot") for i in range(700)]
     got = quality_rules.quality_rules(docs(rows, extra=True)).collect()
     want = [(r[0], *brute_quality(r[1])) for r in rows]
     assert sorted(str((g.doc_id, g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed)) for g in got) == sorted(map(str, want))
     by_doc = {g.doc_id: g for g in got}
     assert by_doc[100].n_words_left == by_doc[100].n_words - 9 and by_doc[100].kept
     assert not any(by_doc[200 + i].kept for i in range(4)) or by_doc[200].n_words_left < by_doc[200].n_words
-    assert all(by_doc[400 + i].kept for i in range(60)) and by_doc[301].kept and not by_doc[300].kept
+    assert not any(by_doc[400 + i].kept for i in range(60)) and by_doc[500].kept  # sixty documents, and one of sixty rows
+    assert by_doc[301].kept and not by_doc[300].kept
+    assert all(by_doc[1000 + i].n_words_left == 0 and not by_doc[1000 + i].kept for i in range(0, 700, 25))  # 4 % of a hot host
+    held = {}
+    for n, r in enumerate(rows):
+        for line in {" ".join(re.findall(r"[^\x20\x09-\x0D]+", x)).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")) for x in (r[1] or "").split("\n")} - {""}:
+            held.setdefault((r[3] if len(r) > 3 else "s", line), set()).add(r[0] if r[0] is not None else ("row", n))
+    fold = lambda x: " ".join(re.findall(r"[^\x20\x09-\x0D]+", x)).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000"))
+    left = [(r[0], sum(len(fold(x).split(" ")) for x in (r[1] or "").split("\n") if fold(x) and len(held[r[3] if len(r) > 3 else "s", fold(x)]) <= 20)) for r in rows]
+    assert sorted(map(str, left)) == sorted(str((g.doc_id, g.n_words_left)) for g in got)
     assert quality_rules.quality_rules(docs([])).count() == 0
 
 
@@ -242,15 +286,58 @@ def test_language_id(docs):
     assert [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 == 1] == [r.doc_id for r in df.where(held & (df.doc_id < 30)).orderBy("doc_id").collect()]
 
 
-def test_mixture_shares_equal_twelve_steps_of_plain_em():
-    likes = numpy.array([[1, 0.3], [0.3, 1]])
-    times = numpy.array([1400, 600], numpy.float32)
-    want = numpy.full(2, 0.5)
-    for _ in range(12):
-        part = likes * want
-        want = (times[:, None] * part / part.sum(axis=1, keepdims=True)).sum(axis=0) / times.sum()
-    share, sets = language_id.mixtures(numpy.log(likes).astype(numpy.float32), times, numpy.array([0]))
-    assert sets[0].tolist() == [0, 1] and share[0] == pytest.approx(want, abs=5e-5)
+def plain_em(words, model):
+    """(chosen languages, shares, mean posterior) of one document, word by word in plain Python."""
+    langs, k = model.langs, len(model.langs)
+    logs = [[sum(float(model.logs[model.row_of[g], j]) for g in language_id.grams(w)) for j in range(k)] for w in words]
+
+    def em(allowed, steps):
+        share = [1 / len(allowed) if j in allowed else 0 for j in range(k)]
+        for _ in range(steps):
+            new = [0.0] * k
+            for row in logs:
+                like = [s * math.exp(x - max(row)) for s, x in zip(share, row)]
+                for j in range(k):
+                    new[j] += like[j] / sum(like) / len(words)
+            share = new
+        return share, sum(math.log(sum(s * math.exp(x - max(row)) for s, x in zip(share, row))) + max(row) for row in logs)
+
+    full, _ = em(range(k), language_id.STEPS)
+    order = sorted(range(k), key=lambda j: (-full[j], j))
+    chosen = order[:1]
+    share, best = em(chosen, 1)
+    for j in order[1:]:
+        if full[j] * len(words) <= 1:
+            break
+        more, fitness = em([*chosen, j], language_id.STEPS)
+        if fitness - best <= language_id.PENALTY * math.log(len(words) + 1):
+            break
+        chosen, share, best = [*chosen, j], more, fitness
+    sure = [sum(math.exp(row[j] - max(row)) / sum(math.exp(x - max(row)) for x in row) for row in logs) / len(words) for j in range(k)]
+    ranked = sorted(chosen, key=lambda j: (-share[j], j))
+    return [langs[j] for j in ranked], sure[ranked[0]]
+
+
+def test_language_id_equals_plain_em(docs):
+    rng = random.Random(9)
+    text = lambda *langs: " ".join(w for lang in langs for w in rng.choices(TONGUES[lang].split(), k=rng.randint(4, 30)))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(list(TONGUES) * 8)]
+    rows += [(100 + i, text(*langs), None) for i, langs in enumerate([("en", "fr"), ("de", "en"), ("en", "de", "fr"), ("fr",)] * 3)] + [(200, "zzq xxv qqk jjw", None)]
+    df = docs(rows)
+    model = language_id.train(df)
+    got = {r.doc_id: r for r in language_id.language_id(df, df).collect()}
+    for i, t, _ in rows:
+        langs, sure = plain_em(t.split(), model)
+        assert got[i].langs == langs and got[i].lang_pred == langs[0] and got[i].score == pytest.approx(sure, abs=1e-3)
+    assert got[200].score < 0.9 < got[0].score
+
+
+def test_letters_are_those_of_category_l(docs):
+    for c in map(chr, range(sys.maxunicode + 1)):
+        assert bool(language_id.LETTERS.fullmatch(c)) == unicodedata.category(c).startswith("L"), hex(ord(c))
+    df = docs([(1, "½ ² Ⅷ ٣ _", "en"), (2, "the and", "en"), (3, "ª", "en")])
+    got = {r.doc_id: r.lang_pred for r in language_id.language_id(df, df).collect()}
+    assert got == {1: "und", 2: "en", 3: "en"} and language_id.language_id(docs([]), df).count() == 0 == language_id.language_id(docs([]), docs([])).count()
 
 
 def test_toxicity(docs, spark):
