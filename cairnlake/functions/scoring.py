@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cairnlake.functions.text import query_tokens, snippet
+from cairnlake.functions.text import query_tokens, snippet, with_values
 
 K1, B = 1.2, 0.75
 MAX_REASONS = 8
+#: Fields of a chunk's score beside BM25, in the order in which they are added up.
+FIELDS = ("content", "export", "import", "path", "related_graph_node", "symbol")
 # Points for a hit in each field.
 NODE_POINTS = {"tag": 2.0, "name": 1.0, "summary": 1.0, "alias": 1.5}
 EXACT_POINTS = {"path": 4.0, "symbol": 5.0, "content": 2.0}
@@ -100,16 +102,14 @@ def _chunk_hits(query: str) -> list[tuple[str, Column, float]]:
     return hits
 
 
-def chunk_breakdown(query: str, bm25: Column) -> Column:
-    """Points by field of a chunk (columns file_path, symbols, imports, exports, content, related)."""
+def field_points(query: str, fields: tuple[str, ...]) -> dict[str, Column]:
+    """Points by field of a chunk, from its columns (file_path, symbols, imports, exports, content, related)."""
     hits = _chunk_hits(query)
-    part = lambda f: _sum([_points(v.isNotNull(), p) for g, v, p in hits if g == f]).alias(f)
-    return F.struct(bm25.alias("bm25"), *[part(f) for f in ("content", "export", "import", "path", "related_graph_node", "symbol")])
+    return {f: _sum([_points(v.isNotNull(), p) for g, v, p in hits if g == f]) for f in fields}
 
 
 def chunk_score(breakdown: Column) -> Column:
-    fields = ("bm25", "content", "export", "import", "path", "related_graph_node", "symbol")
-    return _sum([breakdown[f] for f in fields])
+    return _sum([breakdown[f] for f in ("bm25", *FIELDS)])
 
 
 def chunk_reasons(query: str, bm25: Column) -> Column:
@@ -117,18 +117,24 @@ def chunk_reasons(query: str, bm25: Column) -> Column:
 
     The BM25 reason needs a token in the content and adds nothing to the score.
     """
-    hits = _chunk_hits(query)
-    found = F.array(*[F.when(v.isNotNull(), F.struct(F.lit(f).alias("field"), v.alias("value"), F.lit(p).alias("s"))) for f, v, p in hits])
-    found = F.filter(found, lambda r: r.isNotNull())
+    found = F.array(*[F.when(v.isNotNull(), F.struct(F.lit(f).alias("field"), v.alias("value"), F.lit(p).alias("s"))) for f, v, p in _chunk_hits(query)])
+    return with_values(lambda hits, words, points: _merged_reasons(hits, words, points), F.filter(found, lambda r: r.isNotNull()), tokens_in(F.col("content"), query), bm25)
+
+
+def tokens_in(content: Column, query: str) -> Column:
+    """The first five query tokens that the text contains."""
+    tokens = F.array(*[F.lit(t) for t in query_tokens(query)]).cast("array<string>")
+    return with_values(lambda low, every: F.slice(F.filter(every, lambda t: low.contains(t)), 1, 5), F.lower(content), tokens)
+
+
+def _merged_reasons(found: Column, words: Column, bm25: Column) -> Column:
     keys = F.array_distinct(F.transform(found, lambda r: F.struct(r["field"].alias("field"), r["value"].alias("value"))))
 
     def added(k: Column) -> Column:
         own = F.filter(found, lambda r: (r["field"] == k["field"]) & (r["value"] == k["value"]))
         return F.struct((-F.aggregate(own, F.lit(0.0), lambda a, r: a + r["s"])).alias("s"), k["field"].alias("field"), k["value"].alias("value"))
 
-    tokens = F.array(*[F.lit(t) for t in query_tokens(query)]).cast("array<string>")
-    in_content = F.slice(F.filter(tokens, lambda t: F.lower("content").contains(t)), 1, 5)
-    by_terms = F.when((bm25 > 0) & (F.size(in_content) > 0), F.array(F.struct((-bm25).alias("s"), F.lit("bm25").alias("field"), F.array_join(in_content, " ").alias("value")))).otherwise(F.array().cast("array<struct<s:double,field:string,value:string>>"))
+    by_terms = F.when((bm25 > 0) & (F.size(words) > 0), F.array(F.struct((-bm25).alias("s"), F.lit("bm25").alias("field"), F.array_join(words, " ").alias("value")))).otherwise(F.array().cast("array<struct<s:double,field:string,value:string>>"))
     best = F.slice(F.array_sort(F.concat(F.transform(keys, added), by_terms)), 1, MAX_REASONS)
     return F.transform(best, lambda r: F.struct(r["field"].alias("field"), r["value"].alias("value"), (-r["s"]).alias("score")))
 

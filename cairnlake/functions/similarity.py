@@ -8,7 +8,7 @@ import os
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cairnlake.functions.text import bigrams
+from cairnlake.functions.text import bigrams, with_values
 
 DEFAULT_THRESHOLD, TOP = 0.65, 3
 NAME_WEIGHT, SOURCE_WEIGHT, TAG_WEIGHT = 0.5, 0.25, 0.25
@@ -43,17 +43,25 @@ def ranges_overlap(start_a: Column, end_a: Column, start_b: Column, end_b: Colum
 
 def source_overlap(a: Column, b: Column) -> Column:
     """Jaccard of the paths of two arrays of anchors, and 0.1 more (up to 1) if ranges of one file overlap."""
-    paths = jaccard(F.transform(a, lambda s: s["file_path"]), F.transform(b, lambda s: s["file_path"]))
-    meets = lambda s: F.exists(b, lambda t: (s["file_path"] == t["file_path"]) & ranges_overlap(s["start_line"], s["end_line"], t["start_line"], t["end_line"]))
-    either_empty = (F.size(a) == 0) | (F.size(b) == 0)
-    return F.when(either_empty, F.lit(0.0)).otherwise(F.least(paths + F.when(F.exists(a, meets), OVERLAP_BONUS).otherwise(0.0), F.lit(1.0)))
+
+    def overlap(x: Column, y: Column) -> Column:
+        same = lambda s, t: (s["file_path"] == t["file_path"]) & ranges_overlap(s["start_line"], s["end_line"], t["start_line"], t["end_line"])
+        meets = F.exists(x, lambda s: F.exists(y, lambda t: same(s, t)))
+        paths = jaccard(F.transform(x, lambda s: s["file_path"]), F.transform(y, lambda s: s["file_path"]))
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.least(paths + F.when(meets, OVERLAP_BONUS).otherwise(0.0), F.lit(1.0)))
+
+    return with_values(overlap, a, b)
 
 
 def tag_overlap(a: Column, b: Column) -> Column:
     return jaccard(a, b)
 
 
+def best_alias(name: Column, aliases: Column) -> Column:
+    """The largest Dice coefficient of ``name`` and an alias; 0 without aliases."""
+    return with_values(lambda n, every: F.coalesce(F.array_max(F.transform(every, lambda x: dice(n, x))), F.lit(0.0)), name, aliases)
+
+
 def collision_score(name: Column, other_name: Column, other_aliases: Column, sources: Column, other_sources: Column, tags: Column, other_tags: Column) -> Column:
     """Half the better of name and alias similarity, a quarter each for sources and tags; only the existing side's aliases count."""
-    alias = F.coalesce(F.array_max(F.transform(other_aliases, lambda x: dice(name, x))), F.lit(0.0))
-    return NAME_WEIGHT * F.greatest(dice(name, other_name), alias) + SOURCE_WEIGHT * source_overlap(sources, other_sources) + TAG_WEIGHT * tag_overlap(tags, other_tags)
+    return NAME_WEIGHT * F.greatest(dice(name, other_name), best_alias(name, other_aliases)) + SOURCE_WEIGHT * source_overlap(sources, other_sources) + TAG_WEIGHT * tag_overlap(tags, other_tags)

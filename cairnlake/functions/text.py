@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,16 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def with_values(body: Callable[..., Column], *values: Column) -> Column:
+    """``body`` of lambda variables that hold ``values``.
+
+    A column named inside a lambda is resolved as an alias of the same select, if
+    there is one of its name. Builders whose lambdas need a column take it in here.
+    """
+    held = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.get(F.transform(held, lambda s: body(*[s[f"v{i}"] for i in range(len(values))])), F.lit(0))
+
+
 # --- tokens ---------------------------------------------------------------
 
 
@@ -40,9 +51,12 @@ def graph_tokens_col(c: Column | str) -> Column:
 
 def bigrams(c: Column | str) -> Column:
     """Distinct two-character substrings in lower case; none for fewer than two characters."""
-    low = F.lower(col(c))
-    made = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(2))))
-    return F.when(F.length(low) >= 2, made).otherwise(F.array().cast("array<string>"))
+
+    def made(low: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(2)))
+        return F.when(F.length(low) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+
+    return with_values(made, F.lower(col(c)))
 
 
 def chunk_document(file_path="file_path", chunk_type="chunk_type", symbols="symbols", imports="imports", exports="exports", content="content") -> Column:

@@ -9,25 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.functions.text import lines, sha256, trim_all, trim_end
+from cairnlake.functions.text import lines, sha256, trim_all, trim_end, with_values
 from cairnlake.schemas import SYMBOL
 
-_NAME = r"([A-Za-z_$][\w$]*)"
 # What counts as an import, an export, a symbol.
 IMPORT_PATTERNS = (
     r"""\bimport\s+(?:type\s+)?(?:[^'"]+\s+from\s+)?["']([^"']+)["']""",
     r"""\bexport\s+[^'"]+\s+from\s+["']([^"']+)["']""",
     r"""\brequire\(["']([^"']+)["']\)""",
 )
-EXPORT_DIRECT = rf"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:class|function|interface|type|enum|const|let|var)\s+{_NAME}"
+EXPORT_DIRECT = r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:class|function|interface|type|enum|const|let|var)\s+([A-Za-z_$][\w$]*)"
 EXPORT_NAMED = r"^\s*export\s*\{([^}]+)\}"
 SYMBOL_PATTERNS = {
-    "class": rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{_NAME}",
-    "function": rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+{_NAME}",
-    "interface": rf"^\s*(?:export\s+)?interface\s+{_NAME}",
-    "type": rf"^\s*(?:export\s+)?type\s+{_NAME}",
-    "enum": rf"^\s*(?:export\s+)?enum\s+{_NAME}",
-    "const": rf"^\s*(?:export\s+)?(?:const|let|var)\s+{_NAME}\s*=\s*(?:async\s+)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)?\s*=>",
+    "class": r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)",
+    "function": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)",
+    "interface": r"^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)",
+    "type": r"^\s*(?:export\s+)?type\s+([A-Za-z_$][\w$]*)",
+    "enum": r"^\s*(?:export\s+)?enum\s+([A-Za-z_$][\w$]*)",
+    "const": r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s+)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)?\s*=>",
 }
 
 
@@ -82,11 +81,14 @@ def spans(symbol_array: Column, n_lines: Column, preamble_blank: Column) -> Colu
     first = F.get(symbol_array, F.lit(0))["line"]
     lead = F.when((first > 1) & ~preamble_blank, F.array(span(F.lit(1), first - 1, F.lit("mixed"), none))).otherwise(F.array().cast(f"array<struct<start_line:int,end_line:int,chunk_type:string,symbols:array<{SYMBOL}>>>"))
 
-    def own(s: Column, i: Column) -> Column:
-        following = F.get(symbol_array, i + 1)["line"]
-        return span(s["line"], F.when(following.isNull(), n_lines).otherwise(F.greatest(s["line"], following - 1)), s["kind"], F.array(s))
+    def each(every: Column, last: Column) -> Column:
+        def own(s: Column, i: Column) -> Column:
+            following = F.get(every, i + 1)["line"]
+            return span(s["line"], F.when(following.isNull(), last).otherwise(F.greatest(s["line"], following - 1)), s["kind"], F.array(s))
 
-    return F.when(F.size(symbol_array) == 0, whole).otherwise(F.concat(lead, F.transform(symbol_array, own)))
+        return F.transform(every, own)
+
+    return F.when(F.size(symbol_array) == 0, whole).otherwise(F.concat(lead, with_values(each, symbol_array, n_lines)))
 
 
 def chunks(files: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def chunks(files: DataFrame) -> DataFrame:
 
 def exported_symbols(symbol_array: Column, export_names: Column, limit: int) -> Column:
     """The first symbols that are flagged or listed as exported."""
-    return F.slice(F.filter(symbol_array, lambda s: s["exported"] | F.array_contains(export_names, s["name"])), 1, limit)
+    return with_values(lambda every, names: F.slice(F.filter(every, lambda s: s["exported"] | F.array_contains(names, s["name"])), 1, limit), symbol_array, export_names)
 
 
 def index_stats(files: DataFrame, chunk_rows: DataFrame, skipped: int) -> DataFrame:
