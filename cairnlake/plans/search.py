@@ -24,10 +24,11 @@ def related_by_file(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def ranked(chunks: DataFrame, query: str, limit: int, related: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(all scored chunks, the diversified best)."""
-    scored = retrieval.rank_chunks(chunks, query, related)
-    best = retrieval.diversified(scored, limit, file_col="file_path", order=[F.desc("score"), F.col("file_path"), F.col("start_line")])
-    return scored, best
+    """(all scored chunks, the diversified best with their reasons); the texts of the best only are fetched again."""
+    order = [F.desc("score"), F.col("file_path"), F.col("start_line")]
+    scored = retrieval.rank_chunks(chunks, query, related, keep=["id", "file_path", "start_line"])
+    best = retrieval.diversified(scored, limit, file_col="file_path", order=order)
+    return scored, retrieval.with_reasons(best, chunks, query, key="id").orderBy("tier", *order)
 
 
 def error(code: str, message: str) -> dict:

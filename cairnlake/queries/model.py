@@ -76,18 +76,23 @@ CHUNKS_SQL = (
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks: the language as symbol and export, the source as import, labels as related node."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("k"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("q"), F.concat(F.lit("toxic "), F.col("toxic").cast("string")).alias("t"))
-    rows = documents(spark, sf_dir).join(labels, F.col("doc_id") == F.col("k"), "left")
-    related = F.when(F.col("k").isNotNull(), F.array(F.struct(F.concat(F.lit("label/"), F.col("k").cast("string")).alias("id"), F.lit("concept").alias("kind"), F.col("q").alias("name"), F.col("t").alias("summary"))))
-    return rows.select(
+    """Documents as chunks: the language as symbol and export, the source as import."""
+    return documents(spark, sf_dir).select(
         "doc_id", "source", "file_path", F.lit("file").alias("chunk_type"),
         F.array(F.struct(F.col("lang").alias("name"), F.lit("const").alias("kind"), F.lit(1).alias("line"), F.lit(True).alias("exported"))).alias("symbols"),
         F.array(F.struct(F.col("source").alias("module"), F.lit(1).alias("line"))).alias("imports"),
-        F.array("lang").alias("exports"), F.col("text").alias("content"), related.alias("related_in"),
+        F.array("lang").alias("exports"), F.col("text").alias("content"),
     )
 
 
+def related_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_path, related): the labels of documents as nodes related to their files."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("q"), F.concat(F.lit("toxic "), F.col("toxic").cast("string")).alias("t"))
+    rows = documents(spark, sf_dir).select("doc_id", "file_path").join(labels, "doc_id")
+    node = F.struct(F.concat(F.lit("label/"), F.col("doc_id").cast("string")).alias("id"), F.lit("concept").alias("kind"), F.col("q").alias("name"), F.col("t").alias("summary"))
+    return rows.select("file_path", F.array(node).alias("related"))
+
+
 def turn_names() -> dict[str, str]:
     """Counter of a turn -> kind of event."""
     return {"queries": "view", "results_returned": "click", "nodes_emitted": "purchase", "collisions_detected": "error"}

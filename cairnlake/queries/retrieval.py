@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import scoring, text
 from cairnlake.operators import code, deps, retrieval
-from cairnlake.queries.model import CHUNKS_SQL, DOCUMENTS_SQL, TOKENS_SQL, chunks, documents, rounded_sql, table
+from cairnlake.queries.model import CHUNKS_SQL, DOCUMENTS_SQL, TOKENS_SQL, chunks, documents, related_labels, rounded_sql, table
 
 QUERY = "the and thion"
 FIELD_QUERY = "src1 the en quality"
@@ -48,7 +48,7 @@ BM25_STATS_SQL = f"WITH base AS (SELECT doc_id, {_T} AS t FROM documents), {_bm2
 
 
 def bm25_topk(spark, sf_dir):
-    scored = retrieval.bm25_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY)
+    scored = retrieval.bm25_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY, keep=["doc_id"])
     best = scored.where("bm25 > 0").select("doc_id", text.rounded("bm25").alias("score"))
     return best.orderBy(F.desc("score"), "doc_id").limit(LIMIT)
 
@@ -81,9 +81,7 @@ SELECT CAST(qid AS INTEGER) AS qid, doc_id, {rounded_sql("s", 3)} AS score FROM
 
 
 def _ranked(spark, sf_dir):
-    rows = chunks(spark, sf_dir)
-    related = rows.where("related_in is not null").select("file_path", F.col("related_in").alias("related"))
-    return retrieval.rank_chunks(rows.drop("related_in"), FIELD_QUERY, related)
+    return retrieval.rank_chunks(chunks(spark, sf_dir), FIELD_QUERY, related_labels(spark, sf_dir), keep=["doc_id"])
 
 
 _FT = text.query_tokens(FIELD_QUERY)
@@ -115,7 +113,8 @@ FIELD_SQL = f"WITH {_field_sql()} SELECT doc_id, {rounded_sql('score')} AS score
 def match_reasons_top8(spark, sf_dir):
     said = F.array_join(F.transform("match_reasons", lambda r: F.concat_ws("=", r["field"], F.format_string("%.2f", r["score"]))), ";")
     fixed = F.array_join(F.transform(F.filter("match_reasons", lambda r: r["field"] != "bm25"), lambda r: F.concat_ws("=", r["field"], F.format_string("%.2f", r["score"]))), ";")
-    return _ranked(spark, sf_dir).select("doc_id", fixed.alias("reasons"), F.size("match_reasons").alias("n_reasons"), (F.length(said) > 0).alias("has_reasons"))
+    rows = retrieval.with_reasons(_ranked(spark, sf_dir), chunks(spark, sf_dir), FIELD_QUERY, key="doc_id")
+    return rows.select("doc_id", fixed.alias("reasons"), F.size("match_reasons").alias("n_reasons"), (F.length(said) > 0).alias("has_reasons"))
 
 
 REASONS_SQL = f"""
@@ -134,7 +133,7 @@ FROM ranked LEFT JOIN joined USING (doc_id) WHERE score > 0"""
 
 
 def diversified_search(spark, sf_dir):
-    scored = retrieval.bm25_scores(documents(spark, sf_dir).select("doc_id", "source", "text"), QUERY).where("bm25 > 0").withColumn("score", text.rounded("bm25"))
+    scored = retrieval.bm25_scores(documents(spark, sf_dir).select("doc_id", "source", "text"), QUERY, keep=["doc_id", "source"]).where("bm25 > 0").withColumn("score", text.rounded("bm25"))
     return retrieval.diversified(scored, 40, file_col="source", order=[F.desc("score"), F.col("doc_id")]).select("doc_id", "source", "score", "tier")
 
 

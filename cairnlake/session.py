@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import functools
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", *, shuffle_partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName("cairnlake").config("spark.driver.memory", memory)
     settings = {"spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.sql.execution.arrow.pyspark.enabled": "true"}
     return builder.config(map=settings | conf).getOrCreate()
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="cairnlake-")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the folder of ``spark.checkpoint.dir``, for narrow rows that several branches read.
+
+    Where the session names no folder a local master gets a temporary one, and any
+    other is an error, as executors share none. The table goes when the driver's JVM ends.
+    """
+    session = df.sparkSession
+    folder = session.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not session.sparkContext.master.startswith("local") or session.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = _own_folder()
+    path = f"{folder}/narrow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = session._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(session._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return session.read.schema(df.schema).parquet(path)
