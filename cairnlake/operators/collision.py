@@ -1,11 +1,14 @@
 """Duplicate detection: incoming nodes that look like existing ones.
 
-A pair's score is at least the threshold only if name or alias similarity makes
-up for what sources and tags can't give, so above one half the two sides share a
-bigram or a string. Pairs come from a join on bigrams of the distinct strings of
-both sides, counted before any node is touched; the score's set operations run
-on the pairs that are left. At or below one half every pair is a candidate, and
-the incoming side, a bounded batch, is broadcast in blocks.
+The score is half the better of name and alias similarity and a quarter each for
+sources and tags. So a pair that shares neither a path nor a tag reaches the
+threshold only by a name similarity of twice the threshold, and any other pair
+needs what sources and tags can't give. Candidates come from joins on what a pair
+must share: names from a prefix index of bigrams (rare ones first) with bounds on
+their number, and, where names alone don't decide, paths and tags. Only these
+pairs meet the score's set operations. At a threshold of 0 or less every existing
+node scores enough; those without anything in common score 0 and rank by their
+place in the document, so the first few of them stand for all.
 """
 
 from __future__ import annotations
@@ -19,12 +22,27 @@ from cairnlake.functions.text import bigrams
 
 
 def similar_strings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, dice) of distinct strings (column s) with Dice >= least > 0, equal ones included."""
-    side = lambda df, name: df.select(F.col("s").alias(name)).distinct().withColumn(f"n_{name}", F.size(bigrams(name))).withColumn("g", F.explode_outer(bigrams(name)))
-    x, y = side(left, "a"), side(right, "b")
-    met = x.join(y, "g").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c")).select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0 * F.col("c") / (F.col("n_a") + F.col("n_b"))).alias("dice"))
+    """(a, b, dice) of distinct strings (column s) with Dice >= least > 0, equal ones included.
+
+    Strings of x and y bigrams with 2c / (x + y) >= least have a smaller side of
+    at least least / (2 - least) of the larger one, and share one of the first
+    x - o + 1 bigrams of each, where o = x * least / (2 - least) is the least that
+    a string must share with any other; rare bigrams come first.
+    """
+    part = least / (2 - least)
+    side = lambda df, i: df.select("s").distinct().select("s", bigrams("s").alias("g"), F.lit(i).alias("side"))
+    both = side(left, 0).union(side(right, 1))
+    single = both.select("s", "side", F.size("g").alias("n"), F.explode("g").alias("g"))
+    common = single.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    listed = single.join(common, "g").groupBy("s", "side", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("x"))
+    head = F.slice("x", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(part) - F.lit(1e-9)) + 1).cast("int"))
+    index = listed.select("s", "side", "n", F.transform("x", lambda x: x["g"]).alias("all"), F.explode(F.transform(head, lambda x: x["g"])).alias("g"))
+    of = lambda i, name: index.where(F.col("side") == i).select("g", F.col("s").alias(name), F.col("n").alias(f"n_{name}"), F.col("all").alias(f"all_{name}"))
+    sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(part) - F.lit(1e-9)
+    met = of(0, "a").join(of(1, "b"), "g").where(sized).drop("g").dropDuplicates(["a", "b"])
+    dice = F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0 * F.size(F.array_intersect("all_a", "all_b")) / (F.col("n_a") + F.col("n_b")))
     short = left.select(F.col("s").alias("a")).where(F.length("a") < 2).distinct().join(right.select(F.col("s").alias("b")).distinct(), F.col("a") == F.col("b")).select("a", "b", F.lit(1.0).alias("dice"))
-    return met.where(F.col("dice") >= least).unionByName(short)
+    return met.select("a", "b", dice.alias("dice")).where(F.col("dice") >= least).unionByName(short)
 
 
 def find_collisions(incoming: DataFrame, nodes: DataFrame, *, threshold: float | None = None, top: int = similarity.TOP) -> DataFrame:
@@ -33,19 +51,34 @@ def find_collisions(incoming: DataFrame, nodes: DataFrame, *, threshold: float |
     Both sides have id, name, sources and tags; existing nodes also aliases and map_pos. The own id is no candidate.
     """
     threshold = similarity.threshold() if threshold is None else threshold
-    name_least = (threshold - similarity.SOURCE_WEIGHT - similarity.TAG_WEIGHT) / similarity.NAME_WEIGHT
     new = incoming.select("id", "name", "sources", "tags")
     old = nodes.select(F.col("id").alias("candidate"), F.col("name").alias("c_name"), F.col("sources").alias("c_sources"), F.col("tags").alias("c_tags"), "aliases", "map_pos")
-    if name_least > 0:
-        strings = old.select("candidate", F.explode(F.array_distinct(F.concat(F.array("c_name"), "aliases"))).alias("s"))
-        pairs = similar_strings(new.select(F.col("name").alias("s")), strings.select("s"), max(name_least - 1e-9, 1e-9))
-        named = strings.join(pairs, F.col("s") == F.col("b")).groupBy("a", "candidate").agg(F.max("dice").alias("name_part"))
-        both = new.join(named, F.col("name") == F.col("a")).drop("a").join(old, "candidate")
-    else:
-        both = new.join(old, F.col("id") != F.col("candidate"))
-        best_alias = F.coalesce(F.array_max(F.transform("aliases", lambda x: similarity.dice(F.col("name"), x))), F.lit(0.0))
-        both = both.withColumn("name_part", F.greatest(similarity.dice(F.col("name"), F.col("c_name")), best_alias))
-    score = similarity.NAME_WEIGHT * F.col("name_part") + similarity.SOURCE_WEIGHT * similarity.source_overlap(F.col("sources"), F.col("c_sources")) + similarity.TAG_WEIGHT * similarity.tag_overlap(F.col("tags"), F.col("c_tags"))
-    found = both.where(F.col("id") != F.col("candidate")).withColumn("similarity", score).where(F.col("similarity") >= threshold)
+    aside = (threshold - similarity.SOURCE_WEIGHT - similarity.TAG_WEIGHT) / similarity.NAME_WEIGHT  # what the name must give beside sources and tags
+    alone = threshold / similarity.NAME_WEIGHT  # and without them
+    pairs = _by_name(new, old, max((aside if aside > 0 else alone) - 1e-9, 1e-9))
+    if aside <= 0:
+        pairs = pairs.union(_by_part(new, old, "sources", lambda s: s["file_path"])).union(_by_part(new, old, "tags", lambda t: t))
+        if threshold <= 0:
+            first = old.orderBy("map_pos").limit(top + 1).select("candidate")
+            pairs = pairs.union(new.select("id").join(F.broadcast(first), how="cross"))
+    both = pairs.where(F.col("id") != F.col("candidate")).distinct().join(new, "id").join(old, "candidate")
+    score = similarity.collision_score(F.col("name"), F.col("c_name"), F.col("aliases"), F.col("sources"), F.col("c_sources"), F.col("tags"), F.col("c_tags"))
+    found = both.withColumn("similarity", score).where(F.col("similarity") >= threshold)
     best = W.partitionBy("id").orderBy(F.desc("similarity"), "map_pos")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("id", "candidate", "similarity", "rank")
+
+
+def _by_name(new: DataFrame, old: DataFrame, least: float) -> DataFrame:
+    """(id, candidate) with a name or alias of at least this similarity; none above 1."""
+    if least > 1:
+        return new.select("id", F.lit(None).cast("string").alias("candidate")).where("false")
+    strings = old.select("candidate", F.explode(F.array_distinct(F.concat(F.array("c_name"), "aliases"))).alias("s"))
+    pairs = similar_strings(new.select(F.col("name").alias("s")), strings.select("s"), least)
+    return new.select("id", "name").join(pairs, F.col("name") == F.col("a")).join(strings, F.col("s") == F.col("b")).select("id", "candidate")
+
+
+def _by_part(new: DataFrame, old: DataFrame, column: str, key) -> DataFrame:
+    """(id, candidate) that share an element of an array column."""
+    x = new.select("id", F.explode(F.array_distinct(F.transform(column, key))).alias("k"))
+    y = old.select("candidate", F.explode(F.array_distinct(F.transform(f"c_{column}", key))).alias("k"))
+    return x.join(y, "k").select("id", "candidate")

@@ -67,12 +67,18 @@ def dependency_context(edges: DataFrame, targets: DataFrame, limit: int) -> Data
     """(target, direction, file_path, module, import_line, rank): what each target imports, then who imports it.
 
     A file is named once for each direction; a self-import counts only forward.
+    Each edge is laid out in both directions once; all that follows needs the
+    rows of a target together, so one shuffle by target serves it.
     """
     goal = targets.select(F.col("file_path").alias("target")).distinct()
-    forward = edges.join(goal, edges.from_path == goal.target).select("target", F.lit("imports").alias("direction"), F.col("to_path").alias("file_path"), "module", F.col("line").alias("import_line"), F.struct(F.lit(0).alias("d"), F.lit("").alias("p"), "ord").alias("at"))
-    backward = edges.join(goal, edges.to_path == goal.target).where("from_path != to_path").select("target", F.lit("imported_by").alias("direction"), F.col("from_path").alias("file_path"), "module", F.col("line").alias("import_line"), F.struct(F.lit(1).alias("d"), F.col("from_path").alias("p"), "ord").alias("at"))
-    once = forward.unionByName(backward).withColumn("r", F.row_number().over(W.partitionBy("target", "direction", "file_path").orderBy("at"))).where("r = 1")
-    return once.withColumn("rank", F.row_number().over(W.partitionBy("target").orderBy("at"))).where(F.col("rank") <= limit).drop("r", "at")
+    way = lambda target, direction, path, at: F.struct(target.alias("target"), F.lit(direction).alias("direction"), path.alias("file_path"), F.struct(*at, F.col("ord").alias("o"), "module", F.col("line").alias("import_line")).alias("at"))
+    source, sink = F.col("from_path"), F.col("to_path")
+    forward = way(source, "imports", sink, (F.lit(0).alias("d"), F.lit("").alias("p")))
+    backward = F.when(source != sink, way(sink, "imported_by", source, (F.lit(1).alias("d"), source.alias("p"))))
+    both = edges.select(F.explode(F.array(forward, backward)).alias("w")).where("w is not null").select("w.*")
+    once = both.join(goal, "target", "left_semi").groupBy("target", "direction", "file_path").agg(F.min("at").alias("at"))
+    ranked = once.withColumn("rank", F.row_number().over(W.partitionBy("target").orderBy("at"))).where(F.col("rank") <= limit)
+    return ranked.select("target", "direction", "file_path", "at.module", "at.import_line", "rank")
 
 
 def import_references(edges: DataFrame, target: str, limit: int) -> DataFrame:
@@ -104,14 +110,32 @@ def approximate_references(chunk_rows: DataFrame, name: str, defining_path: str,
     return found.select("file_path", "start_line", "end_line", "content").orderBy("file_path", "start_line").limit(limit)
 
 
-def symbol_mentions(symbols: DataFrame, texts: DataFrame, *, id_col: str, text: Column) -> DataFrame:
-    """(name, id) of texts that mention a symbol as a substring, for a broadcast list of few symbols.
+#: Values that are looked for in one pass over the texts.
+VALUES_AT_ONCE = 2_000
+
+
+def mentioned(values: DataFrame, texts: DataFrame, *, text: Column) -> DataFrame:
+    """``texts`` with each ``value`` (of the column of that name) that they contain in lower case, a row each.
 
-    ``symbols`` (name) is the query side, a bounded list; each text is read once.
+    The values are counted, never collected: one row with up to VALUES_AT_ONCE of
+    them is broadcast at a time, and each such block is one pass over the texts.
     """
-    names = [r.name for r in symbols.select("name").distinct().orderBy("name").collect()]
-    held = F.filter(F.array(*[F.lit(n) for n in names]).cast("array<string>"), lambda n: F.lower(text).contains(F.lower(n)))
-    return texts.select(F.explode(held).alias("name"), F.col(id_col).alias("id"))
+    distinct = values.select("value").where("value is not null").distinct()
+    blocks = max(1, -(-distinct.count() // VALUES_AT_ONCE))
+    rows, out = texts.withColumn("__low", F.lower(text)), None
+    for i in range(blocks):
+        own = distinct if blocks == 1 else distinct.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == i)
+        block = own.agg(F.array_sort(F.collect_list("value")).alias("__values"))
+        held = rows.join(F.broadcast(block), how="cross").withColumn("__held", F.filter("__values", lambda v: F.col("__low").contains(F.lower(v))))
+        found = held.select(*[texts[c] for c in texts.columns], F.explode("__held").alias("value"))
+        out = found if out is None else out.union(found)
+    return out
+
+
+def symbol_mentions(symbols: DataFrame, texts: DataFrame, *, id_col: str, text: Column) -> DataFrame:
+    """(name, id) of texts that mention a symbol as a substring; ``symbols`` (name) is the query side."""
+    found = mentioned(symbols.select(F.col("name").alias("value")), texts.select(F.col(id_col).alias("__id"), text.alias("__text")), text=F.col("__text"))
+    return found.select(F.col("value").alias("name"), F.col("__id").alias("id"))
 
 
 def target_symbol(chunk_symbols: Column, file_symbols: Column, query: str) -> Column:

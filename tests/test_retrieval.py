@@ -111,3 +111,95 @@ def test_imports_resolve_in_order(spark):
     files = spark.createDataFrame(rows, "file_path string, imports array<struct<module:string,line:int>>")
     got = {r.module: r.to_path for r in deps.import_edges(files).collect()}
     assert got == {m: t for m, t in asked.items() if t}
+
+
+def test_builders_under_clashing_aliases(spark):
+    """Each builder with a lambda gives the same in a select that also makes aliases of its columns' names."""
+    from cairnlake.functions import scoring, similarity
+    from cairnlake.operators import code
+
+    symbol = "array<struct<name:string,kind:string,line:int,exported:boolean>>"
+    anchors = "array<struct<file_path:string,start_line:int,end_line:int>>"
+    row = ("red ring", "Red Rings", ["ring red", "x"], [("a", 1, 5)], [("a", 4, 9)], [("foo", "class", 3, True), ("bar", "enum", 7, False)], ["bar"], [(2, 4)], False, 9, "src/foo.ts", [("./foo", 1)], "let foo = bar", [("n1", "concept", "foo", "bar")])
+    columns = ["name", "c_name", "aliases", "sources", "c_sources", "symbols", "exports", "ranges", "saw_hunk", "line_count", "file_path", "imports", "content", "related"]
+    kinds = f"name string, c_name string, aliases array<string>, sources {anchors}, c_sources {anchors}, symbols {symbol}, exports array<string>, ranges array<struct<start_line:int,end_line:int>>, saw_hunk boolean, line_count int, file_path string, imports array<struct<module:string,line:int>>, content string, related array<struct<id:string,kind:string,name:string,summary:string>>"
+    df = spark.createDataFrame([row], kinds)
+    c = F.col
+    built = {
+        "bigrams": text.bigrams("name"),
+        "dice": similarity.dice(c("name"), c("c_name")),
+        "best_alias": similarity.best_alias(c("name"), c("aliases")),
+        "source_overlap": similarity.source_overlap(c("sources"), c("c_sources")),
+        "collision": similarity.collision_score(c("name"), c("c_name"), c("aliases"), c("sources"), c("c_sources"), c("aliases"), c("exports")),
+        "in_ranges": changes.symbols_in_ranges(c("symbols"), c("ranges"), c("saw_hunk")),
+        "exported": code.exported_symbols(c("symbols"), c("exports"), 9),
+        "spans": code.spans(c("symbols"), c("line_count"), F.lit(False)),
+        "reasons": scoring.chunk_reasons("foo bar", F.lit(1.5)),
+        "tokens_in": scoring.tokens_in(c("content"), "foo bar"),
+        "document": text.chunk_document(chunk_type="name"),
+    }
+    plain = df.select(*[v.alias(f"__{k}") for k, v in built.items()]).first()
+    clash = df.select(*[F.lit(7).alias(x) for x in columns], *[v.alias(f"__{k}") for k, v in built.items()], *[F.lit(1).alias(x) for x in ("s", "t", "x", "n", "r", "low", "v0")]).first()
+    for k in built:
+        assert plain[f"__{k}"] == clash[f"__{k}"], k
+    assert plain["__bigrams"][:2] == ["re", "ed"] and plain["__in_ranges"][0].name == "foo" and [s.name for s in plain["__exported"]] == ["foo", "bar"]
+
+
+def test_similar_strings_and_collisions_equal_all_pairs(spark):
+    from cairnlake.operators import collision
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))
+    pairs = lambda s: {s[i : i + 2].lower() for i in range(len(s) - 1)}
+    dice = lambda a, b: 1.0 if a == b else 2 * len(pairs(a) & pairs(b)) / (len(pairs(a)) + len(pairs(b))) if len(a) > 1 and len(b) > 1 else 0.0
+    left, right = [word() for _ in range(40)], [word() for _ in range(60)]
+    frame = lambda x: spark.createDataFrame([(s,) for s in x], "s string")
+    for least in (0.2, 0.5, 0.9, 1.0):
+        got = {(r.a, r.b): r.dice for r in collision.similar_strings(frame(left), frame(right), least).collect()}
+        want = {(a, b): dice(a, b) for a in left for b in right if dice(a, b) >= least}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+    anchors = "array<struct<file_path:string,start_line:int,end_line:int>>"
+    node = lambda i: (f"n{i}", word(), [(rng.choice("pqr"), rng.randint(1, 5), rng.randint(5, 9)) for _ in range(rng.randint(0, 2))], rng.sample(["t", "u", "v"], rng.randint(0, 2)), [word() for _ in range(rng.randint(0, 2))], i)
+    rows = [node(i) for i in range(30)]
+    nodes = spark.createDataFrame(rows, f"id string, name string, sources {anchors}, tags array<string>, aliases array<string>, map_pos int")
+    new = nodes.where("map_pos < 8").drop("aliases", "map_pos")
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+
+    def score(a, b):
+        if not a[2] or not b[2]:
+            sources = 0.0
+        else:
+            meets = any(s[0] == t[0] and s[1] <= t[2] and t[1] <= s[2] for s in a[2] for t in b[2])
+            sources = min(1.0, jaccard({s[0] for s in a[2]}, {t[0] for t in b[2]}) + 0.1 * meets)
+        return 0.5 * max(dice(a[1], x) for x in (b[1], *b[4])) + 0.25 * sources + 0.25 * jaccard(set(a[3]), set(b[3]))
+
+    for threshold in (0.65, 0.5, 0.3, 0.0, -1.0):
+        got = {(r.id, r["rank"]): (r.candidate, round(r.similarity, 9)) for r in collision.find_collisions(new, nodes, threshold=threshold).collect()}
+        want = {}
+        for a in rows[:8]:
+            best = sorted(((-score(a, b), b[5], b[0]) for b in rows if b[0] != a[0] and score(a, b) >= threshold))[:3]
+            want |= {(a[0], i + 1): (b, round(-s, 9)) for i, (s, _, b) in enumerate(best)}
+        assert got == want, threshold
+
+
+def test_mentions_in_blocks(spark, monkeypatch):
+    from cairnlake.operators import deps
+
+    texts = spark.createDataFrame([(1, "The RED ring"), (2, "a blue box"), (3, None)], "id int, name string")
+    names = spark.createDataFrame([("Red",), ("box",), ("b",), (None,), ("Red",)], "name string")
+    want = [("Red", 1), ("b", 2), ("box", 2)]
+    for at_once in (1, 2, 100):
+        monkeypatch.setattr(deps, "VALUES_AT_ONCE", at_once)
+        assert sorted((r.name, r.id) for r in deps.symbol_mentions(names, texts, id_col="id", text=F.col("name")).collect()) == want
+    assert deps.symbol_mentions(names.limit(0), texts, id_col="id", text=F.col("name")).count() == 0
+
+
+def test_batch_of_many_tokens_equals_a_batch_of_few(spark, monkeypatch):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(["aa", "bb", "cc", "dd"], k=9))) for i in range(30)], "id int, text string")
+    asked = spark.createDataFrame([(1, "aa bb"), (2, "dd zz")], "qid int, query string")
+    few = retrieval.batch_bm25(docs, asked, id_col="id", text=F.col("text"), limit=4).collect()
+    monkeypatch.setattr(retrieval, "FEW_TOKENS", 0)
+    many = retrieval.batch_bm25(docs, asked, id_col="id", text=F.col("text"), limit=4).collect()
+    assert sorted(map(str, few)) == sorted(map(str, many)) and len(few) == 8
