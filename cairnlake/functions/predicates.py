@@ -16,14 +16,15 @@ STATE_DIR = ".cairnlake"
 TEST_PATH = r"(^|/)(test|tests|__tests__)/|\.(test|spec)\.[cm]?[jt]sx?$"
 DOC_PATH = r"\.(md|mdx|rst|txt)$|^docs/|^tasks/"
 SOURCE_PATH = r"\.[cm]?[jt]sx?$"
-IGNORED_PATH = rf"(^|/)(\.git|\.{STATE_DIR[1:]}|node_modules|dist|coverage)(/|$)"
-PLAN_PATH = r"(^|/)(README|ROADMAP|TECH_SPEC|V1_SPEC|package\.json|tasks/)"
-TOP_DOCS = ("README.md", "TECH_SPEC.md", "V1_SPEC.md", "ROADMAP.md")
+IGNORED_PATH = r"(^|/)(\.git|\.cairnlake|node_modules|dist|coverage)(/|$)"
 DECISION_WORDS = r"\b(decid\w*|choice|approach|design|architecture|tradeoff|implement\w*|refactor\w*|review)\b"
 INVARIANT_WORDS = r"\b(invariant|contract|must|guarantee|behavior|reject|require|should|test)\b"
 GOTCHA_WORDS = r"\b(bug|fix\w*|failure|fail\w*|stale|warning|gotcha|regression|edge case|review|misleading|silent)\b"
 CODE_SHAPES = (r"[./\\]", r"[a-z0-9_$][A-Z][A-Za-z0-9_$]*", r"[$]", r"^[A-Za-z_$][A-Za-z0-9$]*(?:_[A-Za-z0-9$]+){2,}$", r"\(\)$")
 MAX_SKEW_MINUTES = 5
+#: Defaults of parameters: paths that hold plans, and documents at the top of a repository.
+PLAN_PATH = r"(^|/)(README|ROADMAP|package\.json|tasks/)"
+TOP_DOCS = ("README.md", "CONTRIBUTING.md", "CHANGELOG.md", "ROADMAP.md")
 
 
 def is_test(path: Column | str) -> Column:

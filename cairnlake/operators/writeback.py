@@ -40,14 +40,14 @@ def candidates(found: DataFrame, current: DataFrame) -> DataFrame:
     return there.select("file_path", F.array(F.lit(1), F.greatest(F.lit(1), F.least(n_lines_trimmed("content"), F.lit(MAX_RANGE)))).alias("line_range"), sha256("content").alias("content_hash"), "reasons").orderBy("file_path")
 
 
-def file_flags(files: DataFrame) -> DataFrame:
+def file_flags(files: DataFrame, *, plan_path: str = predicates.PLAN_PATH) -> DataFrame:
     """One row on the files of a task: numbers by reason and what their paths tell."""
     changed = F.array_contains("reasons", "modified") | F.array_contains("reasons", "git_changed")
     return files.agg(
         F.count(F.lit(1)).alias("n_files"),
         F.count_if(changed).alias("n_changed"),
         F.count_if(F.array_contains("reasons", "inspected")).alias("n_inspected"),
-        F.coalesce(F.bool_or(changed & F.col("file_path").rlike(predicates.PLAN_PATH)), F.lit(False)).alias("plan_changed"),
+        F.coalesce(F.bool_or(changed & F.col("file_path").rlike(plan_path)), F.lit(False)).alias("plan_changed"),
         F.coalesce(F.bool_or(predicates.is_source("file_path")), F.lit(False)).alias("has_source"),
         F.coalesce(F.bool_or(predicates.is_test("file_path")), F.lit(False)).alias("has_test"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.operators import changes, deps, graph, staleness
 from cairnlake.plans.context import refreshed_status
+from cairnlake.plans.open_points import open_points
 from cairnlake.plans.search import error, ranked
 from cairnlake.plans.writeback import suggest_writeback
 from cairnlake.sources import git, source_tree
@@ -48,7 +49,7 @@ def changes_context(spark: SparkSession, root: str, *, base_ref: str | None = No
             affected += (f["impact_context"] or {}).get("likely_affected_files", [])
         edges.unpersist()
     for f in files:
-        f["warnings"] = file_warnings(f)
+        f["known"] = {"index": f["indexed"], "impact": bool(f.get("impact_context")), "memories": bool(f["graph_nodes"])}
     paths = spark.createDataFrame([(p,) for p in {*(f["file_path"] for f in files), *affected}], "file_path string")
     current = source_tree.contents(spark, root, anchors)
     stale = [r.asDict(recursive=True) for r in staleness.stale_nodes_for_files(rows.select("file_path"), anchors, current).collect()]
@@ -61,32 +62,5 @@ def changes_context(spark: SparkSession, root: str, *, base_ref: str | None = No
     return {
         "ok": True, "base_ref": base_ref, "changed_files": files, "stale_graph_nodes": stale, "likely_affected_files": sorted(set(affected)), "likely_tests": tests, "likely_docs": docs, "writeback": written,
         "summary": {"changed_files": total, "reported_files": len(files), "deleted_files": deleted, "changed_symbols": sum(len(f["changed_symbols"]) for f in files), "affected_files": len(set(affected)), "stale_graph_nodes": len(stale), "risk": level},
-        "warnings": warnings, "next_steps": next_steps(total, state, len(stale), written["total_suggestions"] if written else 0),
+        "warnings": warnings, "open": open_points(state, stale_graph_nodes=len(stale), likely_tests=len(tests), likely_docs=len(docs), suggestions=written["total_suggestions"] if written else 0),
     }
-
-
-def file_warnings(f: dict) -> list[str]:
-    said = []
-    if not f["indexed"] and not f["deleted"]:
-        said.append("The changed file is not in the source index.")
-    if f["deleted"]:
-        said.append("The impact of a deleted file is inferred from old anchors alone.")
-    if f["indexed"] and not f.get("impact_context"):
-        said.append("There is no impact context for this file.")
-    return said
-
-
-def next_steps(changed: int, state: dict, stale: int, suggested: int) -> list[str]:
-    if not changed:
-        return ["There are no changes; make or choose a diff first."]
-    steps = []
-    if not state["indexed"]:
-        steps.append("Build the source index for impact and affected files.")
-    elif not state["fresh"]:
-        steps.append("Refresh the source index before trusting the impact.")
-    if stale:
-        steps.append("Look at the stale nodes anchored to changed files.")
-    steps.append("Review the likely tests and docs before committing.")
-    if suggested:
-        steps.append("Record a suggestion only after confirming it in the files.")
-    return steps

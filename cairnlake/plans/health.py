@@ -1,4 +1,4 @@
-"""Graph health: validation before repairs, staleness of all anchors, and what to do about it."""
+"""Graph health: validation before repairs, staleness of all anchors, and what to look at."""
 
 from __future__ import annotations
 
@@ -10,19 +10,8 @@ from cairnlake.schemas import STALE_REASONS
 from cairnlake.sources import source_tree
 from cairnlake.sources.graph_json import Graph, GraphError, load_graph
 
-ADVICE = {
-    "duplicate_aliases": "Give each alias to one node.",
-    "anchor_changed": "Read the changed ranges again and refresh the findings that still hold.",
-    "changed": "Read the cited ranges of changed files again; merging adds range hashes.",
-    "missing": "Deprecate what was removed, or anchor it to files that exist.",
-    "unsafe_path": "Replace unsafe anchors by paths below the repository.",
-    "read_error": "Look into the read errors; they may be permissions.",
-    "repairs": "Inspect the repairs before the next write makes them permanent.",
-}
-
-
 def graph_health(spark: SparkSession, root: str, *, include_deprecated: bool = False, issue_limit: int = 50) -> dict:
-    """Counts, issues within one shared budget, and advice. Validation is of the graph as it is stored, edges are counted after repair."""
+    """Counts, issues within one shared budget, and what asks for a look (by count). Validation is of the graph as it is stored, edges are counted after repair."""
     try:
         raw = load_graph(spark, root, repair=False)
     except GraphError as e:
@@ -47,4 +36,4 @@ def graph_health(spark: SparkSession, root: str, *, include_deprecated: bool = F
     }
     wrong = {"duplicate_aliases": len(aliases), "repairs": repairs} | {r: sums[r] for r in STALE_REASONS}
     issues = {"duplicate_aliases": aliases, "dangling_edges": dangling, "missing_topics": absent, "stale_sources": listed} | {f"{r}_sources": [s for s in listed if s["reason"] == r] for r in STALE_REASONS}
-    return {"ok": True, "summary": summary, "issues": issues, "suggestions": ["The graph is healthy."] if fresh else [t for k, t in ADVICE.items() if wrong[k]]}
+    return {"ok": True, "summary": summary, "issues": issues, "to_check": {k: n for k, n in wrong.items() if n}}

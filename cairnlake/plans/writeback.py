@@ -56,5 +56,4 @@ def suggest_writeback(spark: SparkSession, root: str, *, active_topic: str = "",
         "ok": True, "active_topic": topic or None, "suggestions": suggestions, "total_suggestions": len(suggestions),
         "evidence": {"inspected_files": with_reason("inspected"), "modified_files": with_reason("modified"), "git_changed_files": with_reason("git_changed"), "work_summary": work or None, "related_node_ids": ids, "stale_graph_node_ids": stale_ids},
         "warnings": [] if suggestions or evidence else ["No file of the repository was given or found, so nothing is suggested."],
-        "next_steps": ["Check each suggestion against the files, then record only what lasts."] if suggestions else ["Nothing needs to be recorded yet."],
     }

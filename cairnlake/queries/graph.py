@@ -265,12 +265,12 @@ def quality_reasons(spark, sf_dir):
 
 
 REASONS_SQL = f"""WITH {_QUALITY_SQL} SELECT id, array_to_string([x for x in [
- 'confidence ' || printf('%.2f', floor(confidence * 4) / 4),
- CASE freshness WHEN 'fresh' THEN 'source anchors are fresh' WHEN 'stale' THEN stale || ' of ' || n_sources || ' source anchors are stale' ELSE 'no source anchors to verify' END,
- CASE WHEN age_days IS NULL THEN 'verification timestamp could not be aged' WHEN age_days <= 30 THEN 'verified recently' ELSE 'verified ' || CAST(floor(age_days + 0.5) AS BIGINT) || ' days ago' END,
- CASE WHEN kind IN ('decision', 'gotcha', 'invariant') THEN kind || ' memories rank strongly for planning' END,
- CASE WHEN status = 'deprecated' THEN 'deprecated status lowers trust' END,
- CASE WHEN trust = 'low' THEN 'inspect before relying on this memory' END] if x IS NOT NULL], '; ') AS reasons FROM scored_nodes"""
+ 'confidence=' || printf('%.2f', floor(confidence * 4) / 4),
+ 'anchors=' || CASE freshness WHEN 'stale' THEN 'stale:' || stale || '/' || n_sources ELSE freshness END,
+ 'age_days=' || coalesce(CAST(CAST(floor(age_days + 0.5) AS BIGINT) AS VARCHAR), 'unknown'),
+ CASE WHEN kind IN ('decision', 'gotcha', 'invariant') THEN 'planning=' || kind END,
+ CASE WHEN status = 'deprecated' THEN 'status=deprecated' END,
+ CASE WHEN trust = 'low' THEN 'trust=low' END] if x IS NOT NULL], '; ') AS reasons FROM scored_nodes"""
 
 
 def quality_rerank(spark, sf_dir):
