@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake import schemas
@@ -14,7 +14,7 @@ from cairnlake.functions.text import iso_timestamp, n_lines, range_hash, sha256
 from cairnlake.operators import collision, graph
 from cairnlake.operators.rollup import TURN_CAP
 from cairnlake.sources import source_tree
-from cairnlake.sources.graph_json import Graph, load_graph, save_graph
+from cairnlake.sources.graph_json import Graph, load_graph, save_graph, writing
 
 REQUEST = "id string, kind string, name string, summary string, sources array<struct<file_path:string,start_line:int,end_line:int,content_hash:string,range_hash:string>>, tags array<string>, aliases array<string>, status string, confidence double, last_verified_at string"
 
@@ -39,23 +39,25 @@ class Session:
 
     def set_active_topic(self, name: str) -> dict:
         """Makes sure that the topic exists, resets the cap and begins a turn."""
-        g = load_graph(self.spark, self.root)
-        new = g.topics.where(F.col("name") == name).isEmpty()
-        if new:
-            topics = graph.ensure_topics(g.topics, self.spark.createDataFrame([(name,)], "name string"), _now(), auto_created=True)
-            save_graph(Graph(g.nodes, g.edges, topics), self.root)
+        with writing(self.root):
+            g = load_graph(self.spark, self.root)
+            new = g.topics.where(F.col("name") == name).isEmpty()
+            if new:
+                topics = graph.ensure_topics(g.topics, self.spark.createDataFrame([(name,)], "name string"), _now(), auto_created=True)
+                save_graph(Graph(g.nodes, g.edges, topics), self.root)
         self.topic, self.emitted = name, 0
         return {"ok": True, "auto_created": new}
 
     def link(self, source: str, target: str, kind: str, note: str | None = None) -> dict:
         if kind not in schemas.EDGE_KINDS:
             return failed("INVALID_KIND", kind)
-        g = load_graph(self.spark, self.root)
-        edges, unknown = graph.link(g.nodes, g.edges, self.spark.createDataFrame([(source, target, kind, note)], schemas.EDGES))
-        if not unknown.isEmpty():
-            return failed("NODE_NOT_FOUND", f"{source} or {target}")
-        save_graph(Graph(g.nodes, edges, g.topics), self.root)
-        return {"ok": True}
+        with writing(self.root):
+            g = load_graph(self.spark, self.root)
+            edges, unknown = graph.link(g.nodes, g.edges, self.spark.createDataFrame([(source, target, kind, note)], schemas.EDGES))
+            if not unknown.isEmpty():
+                return failed("NODE_NOT_FOUND", f"{source} or {target}")
+            save_graph(Graph(g.nodes, edges, g.topics), self.root)
+            return {"ok": True}
 
     def emit_node(self, node: dict, *, merge_with: str | None = None, force_new: str | None = None) -> dict:
         """Writes a node unless a check fails: cap, flags, timestamp, anchors, collisions. Only successes count towards the cap."""
@@ -71,6 +73,10 @@ class Session:
         if fault:
             return failed("INVALID_SOURCE", fault)
         incoming = self.spark.createDataFrame([row | {"sources": anchored}], REQUEST).withColumn("last_verified_at", iso_timestamp("last_verified_at"))
+        with writing(self.root):
+            return self._write(incoming, merge_with, force_new)
+
+    def _write(self, incoming: DataFrame, merge_with: str | None, force_new: str | None) -> dict:
         g = load_graph(self.spark, self.root)
         if merge_with is not None:
             target = graph.get_node(g.nodes, merge_with).select("id").first()

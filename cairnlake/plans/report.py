@@ -58,10 +58,11 @@ def show(spark: SparkSession, root: str, key: str) -> dict | None:
 
 def weekly(spark: SparkSession, root: str) -> dict | None:
     """Computes and stores this week's rollup; None if telemetry is off."""
-    tables = metrics_log.load(spark, root)
-    if tables is None:
+    if metrics_log.is_disabled():
         return None
-    fresh = rollup.weekly_rollup(load_graph(spark, root).nodes, tables["turns"], F.current_timestamp())
-    row = fresh.first().asDict()
-    metrics_log.save(root, tables | {"rollups": rollup.upsert_rollup(tables["rollups"], fresh)})
+    with metrics_log.writing(root):
+        tables = metrics_log.load(spark, root)
+        fresh = rollup.weekly_rollup(load_graph(spark, root).nodes, tables["turns"], F.current_timestamp())
+        row = fresh.first().asDict()
+        metrics_log.save(root, tables | {"rollups": rollup.upsert_rollup(tables["rollups"], fresh)})
     return row

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -15,6 +16,7 @@ from cairnlake.functions.keys import parse_edge_key
 from cairnlake.functions.predicates import STATE_DIR, is_valid_node
 from cairnlake.functions.text import iso_timestamp
 from cairnlake.operators import validate
+from cairnlake.sources.lock import locked
 
 GRAPH_PATH_VARIABLE = "CAIRNLAKE_GRAPH_PATH"
 
@@ -93,15 +95,23 @@ def to_document(graph: Graph) -> dict:
 
 
 def save_graph(graph: Graph, root: str, *, path: str | None = None, created_at: str | None = None) -> str:
-    """Writes the document with sorted keys beside its place and renames it, so readers see the old or the new one."""
+    """Writes the document with sorted keys beside its place and renames it under the lock, so readers see the old or the new one.
+
+    A writer that loads, changes and saves holds ``writing`` all the while.
+    """
     from datetime import UTC, datetime
 
     place = Path(graph_path(root, path))
-    if created_at is None and place.exists():
-        created_at = json.loads(place.read_text())["created_at"]
-    document = to_document(graph) | {"created_at": created_at or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")}
-    place.parent.mkdir(parents=True, exist_ok=True)
-    draft = place.with_name(f"{place.name}.{os.getpid()}.tmp")
-    draft.write_text(json.dumps(document, sort_keys=True, indent=2, ensure_ascii=False) + "\n")
-    os.replace(draft, place)
+    with locked(place):
+        if created_at is None and place.exists():
+            created_at = json.loads(place.read_text())["created_at"]
+        document = to_document(graph) | {"created_at": created_at or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")}
+        draft = place.with_name(f"{place.name}.{os.getpid()}.{threading.get_ident()}.tmp")
+        draft.write_text(json.dumps(document, sort_keys=True, indent=2, ensure_ascii=False) + "\n")
+        os.replace(draft, place)
     return str(place)
+
+
+def writing(root: str, path: str | None = None):
+    """The lock on the graph file, as a context."""
+    return locked(graph_path(root, path))

@@ -13,6 +13,7 @@ from cairnlake import schemas
 from cairnlake.functions.predicates import STATE_DIR
 from cairnlake.operators import rollup
 from cairnlake.sources import store
+from cairnlake.sources.lock import locked
 
 OPT_OUT = "CAIRNLAKE_TELEMETRY"
 
@@ -25,6 +26,11 @@ def folder(root: str) -> str:
     return str(Path(root) / STATE_DIR / "metrics")
 
 
+def writing(root: str):
+    """The lock on the log, held while it is loaded, changed and saved."""
+    return locked(Path(folder(root)) / store.POINTER)
+
+
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame] | None:
     """Turns and rollups; None if telemetry is off."""
     if is_disabled():
@@ -45,10 +51,11 @@ def save(root: str, tables: dict[str, DataFrame]) -> None:
 def record_turn(spark: SparkSession, root: str, turn: dict) -> bool:
     """Appends a turn; failures are logged and swallowed."""
     try:
-        tables = load(spark, root)
-        if tables is None:
-            return False
-        save(root, tables | {"turns": tables["turns"].unionByName(spark.createDataFrame([turn], schemas.TURNS))})
+        with writing(root):
+            tables = load(spark, root)
+            if tables is None:
+                return False
+            save(root, tables | {"turns": tables["turns"].unionByName(spark.createDataFrame([turn], schemas.TURNS))})
         return True
     except Exception:
         logging.getLogger(__name__).warning("the turn was not recorded", exc_info=True)

@@ -10,7 +10,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-POINTER = "CURRENT"
+from cairnlake.sources.lock import locked
+
+#: The pointer, and the mark of a version that was current: others may still be being written.
+POINTER, DONE = "CURRENT", "_WHOLE"
 
 
 def write_tables(folder: str, tables: dict[str, DataFrame], meta: dict | None = None) -> None:
@@ -18,12 +21,14 @@ def write_tables(folder: str, tables: dict[str, DataFrame], meta: dict | None =
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{version}/{name}")
-    draft = Path(folder) / f"{POINTER}.{version}"
-    draft.write_text(json.dumps({"version": version, "meta": meta or {}}))
-    os.replace(draft, Path(folder) / POINTER)
-    for old in Path(folder).iterdir():
-        if old.is_dir() and old.name != version:
-            shutil.rmtree(old, ignore_errors=True)
+    with locked(Path(folder) / POINTER):
+        draft = Path(folder) / f"{POINTER}.{version}"
+        draft.write_text(json.dumps({"version": version, "meta": meta or {}}))
+        os.replace(draft, Path(folder) / POINTER)
+        for old in Path(folder).iterdir():
+            if old.is_dir() and old.name != version and (old / DONE).exists():
+                shutil.rmtree(old, ignore_errors=True)
+        (Path(folder) / version / DONE).touch()
 
 
 def read_tables(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict] | None:
@@ -33,7 +38,7 @@ def read_tables(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame],
         return None
     said = json.loads(pointer.read_text())
     place = Path(folder) / said["version"]
-    return {p.name: spark.read.parquet(str(p)) for p in sorted(place.iterdir())}, said["meta"]
+    return {p.name: spark.read.parquet(str(p)) for p in sorted(place.iterdir()) if p.is_dir()}, said["meta"]
 
 
 def drop_tables(folder: str) -> bool:
