@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnlake.functions import predicates, text
-from cairnlake.operators import changes, code, deps, rollup, staleness, writeback
+from cairnlake.operators import changes, deps, rollup, staleness, writeback
 from cairnlake.queries.model import DOCUMENTS_SQL, documents, rounded_sql, table, turn_names
 
 # --- activity log ------------------------------------------------------------------------
@@ -133,7 +133,7 @@ def likely_tests_stem_join(spark, sf_dir):
     return changes.likely_tests(changed, _paths(spark, sf_dir))
 
 
-TESTS_SQL = f"WITH {_PATHS_SQL} SELECT file_path, 'test filename resembles a changed or impacted file' AS reason FROM paths WHERE regexp_matches(file_path, '(^|/)(test|tests|__tests__)/|\\.(test|spec)\\.[cm]?[jt]sx?$') AND (contains(lower(file_path), 'red_ring') OR contains(lower(file_path), 'large_bolt')) ORDER BY file_path LIMIT 12"
+TESTS_SQL = f"WITH {_PATHS_SQL} SELECT file_path, 'name_matches' AS reason FROM paths WHERE regexp_matches(file_path, '(^|/)(test|tests|__tests__)/|\\.(test|spec)\\.[cm]?[jt]sx?$') AND (contains(lower(file_path), 'red_ring') OR contains(lower(file_path), 'large_bolt')) ORDER BY file_path LIMIT 12"
 
 
 def likely_docs(spark, sf_dir):
@@ -141,7 +141,7 @@ def likely_docs(spark, sf_dir):
     return changes.likely_docs(changed, _paths(spark, sf_dir))
 
 
-DOCS_SQL = f"WITH {_PATHS_SQL} SELECT file_path, 'documentation file changed or is directly impacted' AS reason FROM (VALUES ('docs/red_ring.md'), ('notes.txt')) v(file_path) UNION ALL SELECT file_path, 'top-level product documentation may need updates for behavior changes' FROM paths WHERE file_path IN ('README.md', 'TECH_SPEC.md', 'V1_SPEC.md', 'ROADMAP.md')"
+DOCS_SQL = f"WITH {_PATHS_SQL} SELECT file_path, 'changed_or_affected' AS reason FROM (VALUES ('docs/red_ring.md'), ('notes.txt')) v(file_path) UNION ALL SELECT file_path, 'top_level' FROM paths WHERE file_path IN ('README.md', 'CONTRIBUTING.md', 'CHANGELOG.md', 'ROADMAP.md')"
 
 
 def change_risk(spark, sf_dir):
@@ -223,39 +223,6 @@ def symbol_definitions(spark, sf_dir):
 
 DEFINITIONS_SQL = "SELECT file_path, line, CAST((line - 1) // 10 * 10 + 1 AS INTEGER) AS start_line, file_path || ':' || ((line - 1) // 10 * 10 + 1) AS content FROM (SELECT DISTINCT lower(p_type) AS file_path, p_size AS line FROM part WHERE p_name = 'red ring') ORDER BY file_path, line LIMIT 8"
 
-FIXTURE = [
-    ("src/auth.ts", "import { db } from './db';\nimport type { A } from \"../lib/a.js\"\n\nexport interface SessionUser { id: string }\nexport async function requireActiveUser() {\n  return db();\n}\n"),
-    ("src/db/index.ts", "// connection\nconst pool = require('pg');\nexport const db = async () => pool;\nexport { db as database, pool };\n"),
-    ("lib/a.ts", "export * from './missing'\nexport default class Alpha {}\nenum Level { Low }\nexport type Name = string\nlet make = x => x\n"),
-]
-
-
-def extract_exports_symbols(spark, sf_dir):
-    """Imports, exports, symbols and chunks of a fixed fixture of source files."""
-    rows = spark.createDataFrame([(p, "typescript", len(c), 0, c) for p, c in FIXTURE], "file_path string, language string, size_bytes long, mtime_ms long, content string")
-    parsed = code.parse_files(rows)
-    made = code.chunks(parsed).groupBy("file_path").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("-", F.lpad(F.col("start_line").cast("string"), 3, "0"), F.col("end_line").cast("string"), "chunk_type"))), ",").alias("chunks"))
-    said = parsed.select("file_path", F.array_join(F.transform("imports", lambda i: F.concat_ws("@", i["module"], i["line"].cast("string"))), ",").alias("imports"), F.array_join("exports", ",").alias("exports"), F.array_join(F.transform("symbols", lambda s: F.concat_ws("/", s["name"], s["kind"], s["line"].cast("string"), s["exported"].cast("string"))), ",").alias("symbols"))
-    return said.join(made, "file_path")
-
-
-EXTRACT_SQL = """SELECT * FROM (VALUES
-('src/auth.ts', './db@1,../lib/a.js@2', 'SessionUser,requireActiveUser', 'SessionUser/interface/4/true,requireActiveUser/function/5/true', '001-3-mixed,004-4-interface,005-8-function'),
-('src/db/index.ts', 'pg@2', 'db,pool', 'db/const/3/true', '001-2-mixed,003-5-const'),
-('lib/a.ts', './missing@1', 'Alpha,Name', 'Alpha/class/2/true,Level/enum/3/false,Name/type/4/true,make/const/5/false', '001-1-mixed,002-2-class,003-3-enum,004-4-type,005-6-const')) v(file_path, imports, exports, symbols, chunks)"""
-
-
-def impact_context(spark, sf_dir):
-    """Definitions, importers and references of ``db`` in the fixture."""
-    rows = spark.createDataFrame([(p, "typescript", len(c), 0, c) for p, c in FIXTURE], "file_path string, language string, size_bytes long, mtime_ms long, content string")
-    parsed = code.parse_files(rows)
-    chunk_rows = code.chunks(parsed)
-    found = deps.impact(parsed, chunk_rows, deps.import_edges(parsed), "src/db/index.ts", "db", 5)
-    return found["definitions"].select(F.lit("definition").alias("what"), "file_path").unionByName(found["imported_by"].select(F.lit("importer").alias("what"), "file_path")).unionByName(found["references"].select(F.lit("reference").alias("what"), "file_path")).unionByName(found["affected"].select(F.lit("affected").alias("what"), "file_path"))
-
-
-IMPACT_SQL = "SELECT * FROM (VALUES ('definition', 'src/db/index.ts'), ('importer', 'src/auth.ts'), ('reference', 'src/auth.ts'), ('reference', 'src/auth.ts'), ('affected', 'src/auth.ts')) v(what, file_path)"
-
 # --- writeback and predicates ----------------------------------------------------------------------
 
 
@@ -322,8 +289,6 @@ REGISTRY = {
     "link_extraction": (link_extraction, LINK_SQL),
     "target_symbol_score": (target_symbol_score, SYMBOL_SQL),
     "symbol_definitions": (symbol_definitions, DEFINITIONS_SQL),
-    "extract_exports_symbols": (extract_exports_symbols, EXTRACT_SQL),
-    "impact_context": (impact_context, IMPACT_SQL),
     "writeback_rules": (writeback_rules, WRITEBACK_SQL),
     "validate_timestamps": (validate_timestamps, TIMESTAMP_SQL),
     "safe_paths": (safe_paths, SAFE_SQL),

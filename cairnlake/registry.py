@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnlake.queries import changes, graph, retrieval
+from cairnlake.queries import changes, graph, repository, retrieval, sources
 
-_ALL = retrieval.REGISTRY | graph.REGISTRY | changes.REGISTRY
+_ALL = retrieval.REGISTRY | graph.REGISTRY | changes.REGISTRY | sources.REGISTRY | repository.REGISTRY
 
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
