@@ -90,12 +90,21 @@ def persist(df: DataFrame) -> DataFrame:
 
 
 def release(*tables: DataFrame | None) -> None:
-    """Deletes tables that ``persist`` wrote, after their last reader has run."""
+    """Deletes tables that ``persist`` wrote, after their last reader has run, and what Spark keeps for their plans.
+
+    Spark deletes the shuffle files of a plan once the driver has collected it as
+    garbage, which an operator of many small plans would put off for long; so the
+    driver collects garbage here, which also gives its memory back.
+    """
+    session = None
     for df in tables:
         if path := getattr(df, "_table_path", None):
             session = df.sparkSession
             place = session._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(session._jsc.hadoopConfiguration()).delete(place, True)
+    if session:
+        gc.collect()
+        session._jvm.System.gc()
 
 
 def checkpoint_folder(session: SparkSession) -> str:

@@ -22,10 +22,10 @@ and links are derived from the differences alone: sets with small differences
 link by arithmetic, and others only if they share differences, which an index of
 the rarest differences finds.
 
-Homes. A set may sit in several circles; its home is the one whose consensus it
-is closest to, in steps of a quarter of the room that a link leaves, then the
-largest one. Where many members of a circle are far from its consensus and share
-a difference, they are a family of their own: one of them becomes a further hub,
+Homes. A set may sit in several circles; its home is the largest of those whose
+consensus it is closest to, give or take half the room that a link leaves. Where
+many members of a circle are far from its consensus and share differences that
+make up half the room, they are a family of their own: one of them becomes a further hub,
 and its circle is derived from the old one by composing differences, without a
 look at any text. A home circle is made to hold all who share a circle with one
 of its sets, derived in the same way. A link by shared differences is looked for
@@ -253,10 +253,14 @@ def weighed(seats: DataFrame, centre: DataFrame, num: int, den: int) -> DataFram
 
 
 def homes(members: DataFrame) -> DataFrame:
-    """(set, hub, step) of each set's home: its steps of a quarter of the room from the consensus, the least one first."""
-    step = F.floor(4 * F.col("w") / F.greatest("room", F.lit(1))).cast("long")
-    best = members.groupBy("set").agg(F.min(F.struct(step.alias("step"), (-F.col("m")).alias("m"), "hub")).alias("best"))
-    return best.select("set", F.col("best.hub").alias("hub"), F.col("best.step").alias("step"))
+    """(set, hub, far) of each set's home: of the circles that are nearest, give or take half the room, the largest.
+
+    far: whether it is half the room or more from the consensus even there.
+    """
+    seats = F.collect_list(F.struct("m", (-F.col("hub")).alias("order"), "w", "room", "hub"))
+    rows = members.groupBy("set").agg(seats.alias("seats"), F.min("w").alias("least"))
+    best = F.array_max(F.filter(F.transform("seats", lambda x: F.when(2 * (x["w"] - F.col("least")) <= x["room"], x)), lambda x: x.isNotNull()))
+    return rows.select("set", best.alias("best")).select("set", F.col("best.hub").alias("hub"), (2 * F.col("best.w") >= F.col("best.room")).alias("far"))
 
 
 def derived(seats: DataFrame, to: DataFrame, least: Fraction) -> DataFrame:
@@ -270,13 +274,19 @@ def derived(seats: DataFrame, to: DataFrame, least: Fraction) -> DataFrame:
     return met.where(F.lit(least.denominator) * both >= F.lit(least.numerator) * every).dropDuplicates(["hub", "set"])
 
 
-def further_hubs(seats: DataFrame, members: DataFrame, home: DataFrame, known: DataFrame, dense: int) -> DataFrame:
-    """(hub, new, nk, gone_2, more_2): for each circle whose far members share a difference, one of these members, unless ``known`` (set) as a hub."""
-    far = members.join(home.where("step >= 2").select("set", "hub"), ["hub", "set"]).join(known, "set", "left_anti")
-    counts = far.groupBy("hub").agg(F.count(F.lit(1)).alias("u")).where(F.col("u") > dense)
-    shared = far.select("hub", "set", F.explode("own").alias("token")).groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c"), F.min("set").alias("new")).where(F.col("c") > dense)
-    top = shared.groupBy("hub").agg(F.max(F.struct("c", "token", "new")).alias("t")).join(counts, "hub").where(FAMILY_PART * F.col("t.c") >= F.col("u"))
-    named = top.select("hub", F.col("t.new").alias("set"))
+def further_hubs(seats: DataFrame, members: DataFrame, home: DataFrame, known: DataFrame, num: int, den: int, dense: int) -> DataFrame:
+    """(hub, new, nk, gone_2, more_2): for each circle with a family among its far members, one of the family, unless ``known`` (set) as a hub.
+
+    A family shares a difference, and most of it share differences that make up half the room.
+    """
+    far = members.join(home.where("far").select("set", "hub"), ["hub", "set"]).join(known, "set", "left_anti").select("hub", "set", "own", "room")
+    sizes = far.groupBy("hub").agg(F.count(F.lit(1)).alias("u"), F.first("room").alias("room")).where(F.col("u") > dense)
+    single = far.select("hub", "set", F.explode("own").alias("token"))
+    shared = single.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c"), F.min("set").alias("new")).where(F.col("c") > dense)
+    top = shared.groupBy("hub").agg(F.max(F.struct("c", "token", "new")).alias("t")).join(sizes, "hub").where(FAMILY_PART * F.col("t.c") >= F.col("u")).select("hub", "room", "t.*")
+    family = single.join(top.select("hub", "token"), ["hub", "token"]).select("hub", "set")
+    often = single.join(family, ["hub", "set"]).groupBy("hub", "token").agg(F.count(F.lit(1)).alias("held")).join(top.select("hub", "c"), "hub").where("2 * held > c")
+    named = often.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).join(top, "hub").where(F.col("n") * (num + den) >= F.col("room")).select("hub", F.col("new").alias("set"))
     own = seats.join(named, ["hub", "set"])
     return own.select("hub", F.col("set").alias("new"), (F.col("nh") - F.size("gone") + F.size("more")).cast("long").alias("nk"), F.col("gone").alias("gone_2"), F.col("more").alias("more_2"))
 
@@ -293,7 +303,7 @@ def home_circles(circles: DataFrame, num: int, den: int, dense: int) -> tuple[Da
     members = persist(weighed(seats, centre, num, den))
     home = persist(homes(members))
     for _ in range(ROUNDS):
-        new = persist(further_hubs(seats, members, home, centre.select(F.col("hub").alias("set")), dense))
+        new = persist(further_hubs(seats, members, home, centre.select(F.col("hub").alias("set")), num, den, dense))
         if not new.take(1):
             release(new)
             break
