@@ -40,8 +40,8 @@ from cairnlake.llm.common import as_text, map_batches, pick
 
 #: Numerals such as fractions and letter numbers, which \\w and not \\d have.
 _NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-#: Words: runs of letters.
-LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+#: Words: runs of letters. Runs of Latin-1 letters, told apart faster, come first.
+LETTERS = re.compile(rf"[a-zß-öø-ÿ]++(?![^\W\d_{_NUMERALS}])|[^\W\d_{_NUMERALS}]+")
 PENALTY = 1.0
 STEPS = 12
 UNKNOWN = "und"
