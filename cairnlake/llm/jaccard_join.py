@@ -7,10 +7,10 @@ Index. Each set's shingles are put in one global order (frequent ones last,
 then by hash) and only its prefix is indexed: sets that link share a prefix
 shingle. The frequent shingles are those that repeat within slices of the corpus,
 added up over all of it; their number is bounded by the order's threshold, so
-they can be broadcast. An index list is cut into blocks by set size, and a list
-longer than ``dense`` also by position in the set's order. Both are part of the
-join's key: a probe names the blocks whose sizes and positions leave room for a
-link and never meets the others. A pair survives only if its shared prefix
+they can be broadcast. An index list longer than ``BLOCKED`` is cut into blocks by
+set size and by position in the set's order. Both are part of the join's key: a
+probe names the blocks whose sizes and positions leave room for a link and never
+meets the others; in a short list it meets all and looks at sizes and positions. A pair survives only if its shared prefix
 shingles reach the least number that a link needs.
 
 Answers from answers. In a block longer than ``dense`` pairs aren't formed.
@@ -68,8 +68,10 @@ MOST_FREQUENT = 1 << 20
 LEAST_FREQUENT = 64
 #: Index lists longer than this are solved around a hub.
 DENSE = 16
-#: Size of the bit map of wanted texts: 2 MB.
-FILTER_BITS = 1 << 24
+#: Index lists longer than this are cut into blocks; the probes of others aren't multiplied.
+BLOCKED = 64
+#: Sizes of the bit maps of wanted texts and of shared shingles: 2 and 16 MB.
+FILTER_BITS, TOKEN_BITS = 1 << 24, 1 << 27
 #: The rows of one hub are dealt over this many keys where they meet what is known of the hub.
 SALTS = 32
 #: A further hub is sought where a difference is shared by this part of a circle's far members; at most so many rounds, pairs do the rest.
@@ -396,25 +398,62 @@ def counted(sets: DataFrame, shared: DataFrame, linked: DataFrame, home: DataFra
 
 
 def blocks_of(entries: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """The index by blocks (token, block, cell): (probes, targets).
+    """Long index lists by blocks (token, block, cell): (probes, targets).
 
-    ``block`` numbers sizes, ``cell`` positions in lists marked ``long`` (others
-    have one cell). A probe from a smaller set a at position pa meets a target b
-    at pb only if pa - pb <= na - need and pb - pa <= nb - need, where need, the
-    least overlap of a link, is num * (na + nb) / (num + den); it names just the
-    cells within these bounds for the sizes that a block holds.
+    ``block`` numbers sizes, ``cell`` positions. A probe from a smaller set a at
+    position pa meets a target b at pb only if pa - pb <= na - need and
+    pb - pa <= nb - need, where need, the least overlap of a link, is
+    num * (na + nb) / (num + den); it names just the cells within these bounds
+    for the sizes that a block holds.
     """
     ratio, slack = den / num, 1e-9
     largest = lambda block: F.pow(F.lit(step_of(num, den)), block + 1)
     width = lambda block: F.greatest(F.lit(1.0), F.ceil(largest(block) * F.lit((den - num) / (2 * den))))
     at = lambda pos, block: F.floor(pos / width(block)).cast("int")
-    right = entries.select("token", "block", F.when(F.col("long"), at(F.col("pos"), F.col("block"))).otherwise(0).alias("cell"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    left = entries.select("token", "long", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))
+    right = entries.select("token", "block", at(F.col("pos"), F.col("block")).alias("cell"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    left = entries.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))
     most = F.least(largest(F.col("block")), F.col("na") * F.lit(ratio))
     low = F.greatest(F.lit(0.0), F.col("pa") - F.floor(F.col("na") * F.lit((den - num) / (den + num)) + F.lit(slack)))
     high = F.greatest(low, F.col("pa") + F.floor((F.lit(float(den)) * most - F.lit(float(num)) * F.col("na")) / F.lit(float(num + den)) + F.lit(slack)))
-    cells = F.when(F.col("long"), F.sequence(at(low, F.col("block")), at(high, F.col("block")))).otherwise(F.array(F.lit(0)))
-    return left.withColumn("cell", F.explode(cells)).drop("long"), right
+    return left.withColumn("cell", F.explode(F.sequence(at(low, F.col("block")), at(high, F.col("block"))))), right
+
+
+def candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of entries that share enough prefix shingles, within the bounds of size and position."""
+    short = entries.where(F.col("m") <= BLOCKED)
+    one, other = (short.select("token", F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}")) for k in "ab")
+    left, right = blocks_of(entries.where(F.col("m") > BLOCKED), num, den)
+    met = one.join(other, "token").unionByName(left.join(right, ["token", "block", "cell"]).drop("block", "cell"))
+    need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
+    sizes = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
+    inside = (F.col("nb") - F.greatest(F.col("pb") - F.col("pa"), F.lit(0)) >= need) & (F.col("na") - F.greatest(F.col("pa") - F.col("pb"), F.lit(0)) >= need)
+    fits = sizes & (F.lit(den) * F.col("na") >= F.lit(num) * F.col("nb")) & inside
+    least = lambda n: F.ceil(F.lit(num) * F.col(n) / F.lit(den))
+    counted = met.where(fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    return counted.where(F.col("shared") + F.greatest(least("na"), least("nb")) - 1 >= need).select("a", "b")
+
+
+def shared_entries(first: DataFrame, num: int, den: int) -> DataFrame:
+    """The entries of shingles that several sets have, once each, with the length ``m`` of their list and their size block.
+
+    A broadcast bit map of these shingles, of fixed size, keeps most other entries out of the join.
+    """
+    lists = persist(first.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("token", "m"))
+    spot = F.col("token").bitwiseAND(F.lit(TOKEN_BITS - 1)).alias("bit")
+    shared = first.sparkSession.sparkContext.broadcast(bit_map(lists.select(spot), TOKEN_BITS))
+
+    def choose():
+        def work(batch):
+            keep = pa.array(has_bit(shared.value, batch.column(0).to_numpy() & (TOKEN_BITS - 1)))
+            return pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns], batch.schema.names)
+
+        return work
+
+    some = map_batches(first, choose, "token long, key long, n int, pos int")
+    block = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(step_of(num, den))) + F.lit(1e-9)).cast("int")
+    out = persist(some.join(lists, "token").select("token", "key", "n", "pos", "m", block.alias("block")).distinct())
+    release(lists)
+    return out
 
 
 def similar_sets(rows: DataFrame, profiles: DataFrame, size: int, num: int, den: int, dense: int, copies: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -424,15 +463,13 @@ def similar_sets(rows: DataFrame, profiles: DataFrame, size: int, num: int, den:
     other sets that link with the set; sets without such a link may be missing.
     """
     first = persist(index_entries(rows, size, num, den, *frequent(profiles)))
-    lists = first.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), (F.count(F.lit(1)) > dense).alias("long")).where("lo != hi").select("token", "long")
-    block = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(step_of(num, den))) + F.lit(1e-9)).cast("int")
-    entries = persist(first.join(lists, "token").select("token", "key", "n", "pos", "long", block.alias("block")).distinct())
+    entries = shared_entries(first, num, den)
     release(first)
 
     # Hubs of dense blocks, and who meets them from the same and the next blocks.
     far = 1 - Fraction(num, den)
-    hubs = persist(entries.where("long").groupBy("token", "block").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "n")).alias("h")).where(F.col("m") > dense).select("token", "block", F.col("h.key").alias("hub"), F.col("h.n").alias("nh")))
-    around = entries.where("long").select("token", "key", "n", F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)])).alias("block"))
+    hubs = persist(entries.where(F.col("m") > dense).groupBy("token", "block").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("key", "n")).alias("h")).where(F.col("held") > dense).select("token", "block", F.col("h.key").alias("hub"), F.col("h.n").alias("nh")))
+    around = entries.where(F.col("m") > dense).select("token", "key", "n", F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)])).alias("block"))
     wide = float(max(Fraction(0), 1 - 3 * far)) - 1e-9
     met = around.join(hubs, ["token", "block"]).where((F.col("key") != F.col("hub")) & (F.least("n", "nh") >= F.greatest("n", "nh") * F.lit(wide)))
     met = persist(met.select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct())
@@ -441,19 +478,11 @@ def similar_sets(rows: DataFrame, profiles: DataFrame, size: int, num: int, den:
     circles = persist(compared(met, texts, size, max(Fraction(0), 1 - 3 * far)))
     release(texts, met)
     near = circles.where(F.lit(den) * F.col("both") >= F.lit(max(0, 2 * num - den)) * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("a").alias("key"), F.col("b").alias("hub"))
-    covered = entries.where("long").select("token", "block", "key").join(hubs.select("token", "block", "hub"), ["token", "block"]).join(near, ["key", "hub"], "left_semi").select("token", "key")
+    covered = entries.where(F.col("m") > dense).select("token", "block", "key").join(hubs.select("token", "block", "hub"), ["token", "block"]).join(near, ["key", "hub"], "left_semi").select("token", "key")
     open_ = persist(entries.join(covered, ["token", "key"], "left_anti"))
     release(entries, hubs)
 
-    # All other pairs: blocks of sizes and positions that can't link are never met.
-    left, right = blocks_of(open_, num, den)
-    need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
-    sizes = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
-    inside = (F.col("nb") - F.greatest(F.col("pb") - F.col("pa"), F.lit(0)) >= need) & (F.col("na") - F.greatest(F.col("pa") - F.col("pb"), F.lit(0)) >= need)
-    fits = sizes & (F.lit(den) * F.col("na") >= F.lit(num) * F.col("nb")) & inside  # the exact bounds, for the edges of blocks
-    pairs = left.join(right, ["token", "block", "cell"]).where(fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("m"))
-    least = lambda n: F.ceil(F.lit(num) * F.col(n) / F.lit(den))
-    pairs = persist(pairs.where(F.col("m") + F.greatest(least("na"), least("nb")) - 1 >= need).select("a", "b"))
+    pairs = persist(candidates(open_, num, den))
     texts = wanted_texts(rows, names, pairs, size)
     linked = persist(compared(pairs, texts, size, Fraction(num, den)).select("a", "b"))
     release(open_, pairs, texts, names)

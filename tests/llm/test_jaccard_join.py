@@ -73,6 +73,17 @@ def test_families_of_near_copies_equal_brute_force(docs, dense, num, size):
     assert found(docs(rows), dense=dense, num=num, size=size) == brute(rows, size, num, 100)
 
 
+def test_blocks_by_size_and_position_lose_nothing(docs, monkeypatch):
+    """Every list is cut into blocks; texts of many sizes and families share a few words."""
+    monkeypatch.setattr(jaccard_join, "BLOCKED", 1)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    texts = [t for n in (20, 26, 33, 60, 120) for t in family(rng, rng.choices(words, k=n), 12, words, 2)]
+    rows = list(enumerate(texts))
+    for num, size in ((60, 1), (90, 3)):
+        assert found(docs(rows), dense=1000, num=num, size=size) == brute(rows, size, num, 100)
+
+
 @settings(max_examples=3, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcd"), max_size=14).map(" ".join), min_size=1, max_size=25), st.sampled_from([1, 3]))
 def test_small_alphabets_equal_brute_force(docs, texts, dense):
