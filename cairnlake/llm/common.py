@@ -11,6 +11,7 @@ import functools
 import gc
 import hashlib
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -89,6 +90,10 @@ def persist(df: DataFrame) -> DataFrame:
     return table
 
 
+#: Least seconds between two collections of garbage by the driver, and the time of the last.
+COLLECT_EVERY, _collected = 3.0, [0.0]
+
+
 def release(*tables: DataFrame | None) -> None:
     """Deletes tables that ``persist`` wrote, after their last reader has run, and what Spark keeps for their plans.
 
@@ -102,9 +107,10 @@ def release(*tables: DataFrame | None) -> None:
             session = df.sparkSession
             place = session._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(session._jsc.hadoopConfiguration()).delete(place, True)
-    if session:
+    if session and time.monotonic() - _collected[0] > COLLECT_EVERY:
         gc.collect()
         session._jvm.System.gc()
+        _collected[0] = time.monotonic()
 
 
 def checkpoint_folder(session: SparkSession) -> str:

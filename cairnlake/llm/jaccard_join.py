@@ -287,7 +287,8 @@ def further_hubs(seats: DataFrame, members: DataFrame, home: DataFrame, known: D
     shared = single.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c"), F.min("set").alias("new")).where(F.col("c") > dense)
     top = shared.groupBy("hub").agg(F.max(F.struct("c", "token", "new")).alias("t")).join(sizes, "hub").where(FAMILY_PART * F.col("t.c") >= F.col("u")).select("hub", "room", "t.*")
     family = single.join(top.select("hub", "token"), ["hub", "token"]).select("hub", "set")
-    often = single.join(family, ["hub", "set"]).groupBy("hub", "token").agg(F.count(F.lit(1)).alias("held")).join(top.select("hub", "c"), "hub").where("2 * held > c")
+    held = single.join(family, ["hub", "set"]).groupBy("hub", "token").agg(F.count(F.lit(1)).alias("held"))
+    often = dealt(held, top.select("hub", "c"), "token").where("2 * held > c")
     named = often.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).join(top, "hub").where(F.col("n") * (num + den) >= F.col("room")).select("hub", F.col("new").alias("set"))
     own = seats.join(named, ["hub", "set"])
     return own.select("hub", F.col("set").alias("new"), (F.col("nh") - F.size("gone") + F.size("more")).cast("long").alias("nk"), F.col("gone").alias("gone_2"), F.col("more").alias("more_2"))
@@ -326,7 +327,7 @@ def home_circles(circles: DataFrame, num: int, den: int, dense: int) -> tuple[Da
     to = persist(way.select("hub", "new", "nk", lacks.alias("gone_2"), beyond.alias("more_2")))
     asked = derived(seats, to, max(Fraction(0), 1 - 4 * far)).join(seats.select("hub", "set"), ["hub", "set"], "left_anti")
     at_home = home.select("hub").distinct()
-    full = seats.join(at_home, "hub", "left_semi").unionByName(asked)
+    full = dealt(seats, at_home, "set").select(*seats.columns).unionByName(asked)
     own = home.select("set", "hub", F.lit(True).alias("home"))
     out = persist(weighed(full, centre, num, den).drop("m").join(own, ["set", "hub"], "left").fillna(False, ["home"]))
     release(seats, centre, members, to)
