@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import decontamination, jaccard_join, language_id, mixing, pii, quality_rules, secret_scans, token_counts, toxicity, url_filters
+from cairnlake.llm import chat_format, decontamination, fill_in_middle, jaccard_join, language_id, mixing, pii, quality_rules, secret_scans, spelling, token_counts, toxicity, url_filters
 from cairnlake.llm.common import table
 
 
@@ -15,6 +15,10 @@ from cairnlake.llm.common import table
 PII_KEY = os.environ.get("PII_KEY", "key-of-the-query")
 
 
+#: Both turns of the conversation that op12 adds.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """The public vocabulary file; TOKENIZER_PATH names another."""
     if path := os.environ.get("TOKENIZER_PATH"):
@@ -69,7 +73,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_pii, op4_url_filters, op5_secret_scans, op6_decontamination, op7_mixing, op8_toxicity, op9_language_id, op10_quality_rules)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), with_output=False)
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, i, role, CONTROL_TEXT) for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.format_turns(rows.unionByName(own)))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_pii, op4_url_filters, op5_secret_scans, op6_decontamination, op7_mixing, op8_toxicity, op9_language_id, op10_quality_rules, op11_fill_in_middle, op12_chat_format, op13_spelling_variants)}
 
 _AZ = f"'{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}'"
 
@@ -164,4 +182,44 @@ m AS (
 )
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words_left >= 0.3::DOUBLE * n_words AS kept FROM m"""
 
-ORACLE_SQL = {"op10_quality_rules": _LINES_SQL, "op4_url_filters": _url_sql(), "op6_decontamination": _HIT_SQL, "op7_mixing": _MIX_SQL}
+_FIM_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS ends, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), counted AS (
+  SELECT *, ends + CASE WHEN t = '' OR ends_with(t, chr(10)) THEN 0 ELSE 1 END AS n, string_split(t, chr(10)) AS l FROM d
+), drawn AS (
+  SELECT doc_id, t, n, ends, l, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y,
+         CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') THEN 'plain' WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM counted
+), cut AS (
+  SELECT doc_id, t, n, form, length(array_to_string(l[1 : least(x, y)], chr(10))) + CASE WHEN least(x, y) BETWEEN 1 AND ends THEN 1 ELSE 0 END AS p,
+         length(array_to_string(l[1 : greatest(x, y)], chr(10))) + CASE WHEN greatest(x, y) BETWEEN 1 AND ends THEN 1 ELSE 0 END AS q
+  FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(p AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(q - p AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || left(t, p) || '<S>' || substr(t, q + 1) || '<M>' || substr(t, p + 1, q - p)
+                        WHEN 'spm' THEN '<S>' || substr(t, q + 1) || '<P>' || left(t, p) || '<M>' || substr(t, p + 1, q - p) ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM cut"""
+
+_MARKERS = "SYS\\]|/SYS\\]|INST\\]|/INST\\]|ROLE\\]|/ROLE\\]|TEXT\\]"
+_CHAT_SQL = f"""
+WITH rows_of AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, role, '{CONTROL_TEXT}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, role)
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS place, lag(role) OVER w AS before,
+         length(text) + len(regexp_extract_all(text, '(\\[\\\\*({_MARKERS})|<\\\\*(s>|/s>))')) AS chars,
+         length(role) + len(regexp_extract_all(role, '(\\[\\\\*({_MARKERS})|<\\\\*(s>|/s>))')) AS role_chars
+  FROM rows_of WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), judged AS (
+  SELECT *, CASE role WHEN 'system' THEN place = 0 WHEN 'user' THEN place = 0 OR before IN ('system', 'assistant') WHEN 'assistant' THEN place > 0 AND before = 'user' ELSE false END AS good FROM placed
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 + role_chars END) AS BIGINT) AS formatted_chars,
+       bool_and(good) AS valid, CAST(min(place) FILTER (NOT good) AS BIGINT) AS first_bad, arg_max(role, place) = 'assistant' AS complete
+FROM judged GROUP BY conv_id"""
+
+ORACLE_SQL = {"op11_fill_in_middle": _FIM_SQL, "op12_chat_format": _CHAT_SQL, "op10_quality_rules": _LINES_SQL, "op4_url_filters": _url_sql(), "op6_decontamination": _HIT_SQL, "op7_mixing": _MIX_SQL}
