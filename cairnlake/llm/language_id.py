@@ -9,8 +9,12 @@ raises the log-likelihood by more than ``PENALTY * log(words)``.
 
 Counts for training come from all grams of all rows with a language (of the
 training folds), added up on the executors. Grams are hashed to ``BUCKETS``
-places, so the model has a bounded size and no gram is left out. The languages
-are counted first; more than ``MOST_LANGS`` are an error.
+places. The model is a table of places by languages of at most ``ENTRIES`` numbers,
+whatever the number of languages: if there are more places than fit (from nine
+languages on), those stay whose share in any language is largest, and each
+language's mass in the others is spread over them evenly, as the likelihood of a
+place outside the table. So the driver and each broadcast have a proven bound
+(tens of MB). The languages are counted first; more than ``MOST_LANGS`` are an error.
 
 The prediction is the language of the largest share in the chosen set; the score
 is how sure the words are of it: the mean over the words of its posterior among
@@ -20,7 +24,8 @@ A letter is a character of Unicode category L. A null text, or one without a
 letter, gives ``und`` with score 0. With no labelled rows every text gives
 ``und``. Ties go to the language first in code point order. Repeated rows are
 judged each; very long texts are judged whole; an empty table gives an empty
-result.
+result. Words are judged in groups whose rows times languages are bounded, but a
+document's distinct words together.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import as_text, map_batches, pick
+from cairnlake.llm.common import as_text, map_batches, persist, pick, release
 
 #: Numerals such as fractions and letter numbers, which \\w and not \\d have.
 _NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
@@ -46,6 +51,8 @@ PENALTY = 1.0
 STEPS = 12
 UNKNOWN = "und"
 BUCKETS, MOST_LANGS = 1 << 20, 1000
+#: Numbers in the model's table, and in a worker's cache of word likelihoods.
+ENTRIES, CACHED = 8 << 20, 1_600_000
 
 
 def grams(word: str) -> list[int]:
@@ -87,23 +94,27 @@ class Model(NamedTuple):
     logs: np.ndarray
 
 
-def build_model(langs: np.ndarray, places: np.ndarray, counts: np.ndarray) -> Model:
-    """From the counts of each (language, place)."""
-    names, lang_at = np.unique(langs.astype(str), return_inverse=True) if len(langs) else (np.zeros(0, str), np.zeros(0, np.int64))
+def build_model(names: list[str], langs: np.ndarray, places: np.ndarray, counts: np.ndarray, totals: np.ndarray, outside: int = 0) -> Model:
+    """From the counts of each (number of a language, place) in the table, the count of all grams of each language, and how many used places aren't in the table."""
     used, at = np.unique(places, return_inverse=True)
-    table = np.zeros((len(used) + 1, len(names)))
-    table[at, lang_at] = counts
-    totals = table.sum(axis=0) + 0.5 * len(table)
+    table = np.zeros((len(used) + 1, len(names)), np.float32)
+    table[at, langs] = counts
+    table += 0.5
+    if outside:  # each of the others has an even part of the mass that isn't in the table
+        table[-1] += (totals - np.bincount(langs, counts, len(names))) / outside
     row_of = np.full(BUCKETS, len(used), np.int32)
     row_of[used] = np.arange(len(used))
-    return Model(names.tolist(), row_of, np.log((table + 0.5) / totals).astype(np.float32))
+    every = totals + 0.5 * (len(used) + 1 + outside)
+    np.log(table, out=table)
+    table -= np.log(every).astype(np.float32)
+    return Model(names, row_of, table)
 
 
 class WordLikelihoods:
     """Rows of log P(word | language); a bounded cache that is filled for many words at once."""
 
-    def __init__(self, model: Model, limit: int = 200_000):
-        self.model, self.limit = model, limit
+    def __init__(self, model: Model, limit: int = CACHED):
+        self.model, self.limit = model, limit // max(1, model.logs.shape[1])
         self.clear()
 
     def clear(self) -> None:
@@ -175,10 +186,23 @@ def mixtures(logs: np.ndarray, times: np.ndarray, starts: np.ndarray) -> tuple[n
 
 def train(training: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model:
     learned = pick(training, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    if (n := learned.select("lang").distinct().count()) > MOST_LANGS:
-        raise ValueError(f"{n} languages are more than {MOST_LANGS}")
-    counts = gram_counts(learned).toArrow()  # at most BUCKETS rows a language
-    return build_model(*(counts.column(c).to_numpy() for c in ("lang", "gram", "n")))
+    counts = persist(gram_counts(learned))
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(totals) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    names = sorted(totals)
+    known = F.broadcast(training.sparkSession.createDataFrame([(k, i, totals[k]) for i, k in enumerate(names)], "lang string, number int, total long"))
+    used = counts.select("gram").distinct().count()
+    rows = ENTRIES // max(1, len(names))
+    kept = counts
+    if used > rows:
+        share = F.max(F.col("n") / F.col("total"))
+        best = counts.join(known, "lang").groupBy("gram").agg(share.alias("share")).orderBy(F.desc("share"), "gram").limit(rows).select("gram")
+        kept = counts.join(F.broadcast(best), "gram", "left_semi")  # at most BUCKETS numbers
+    table = kept.join(known, "lang").select(F.col("number").cast("short").alias("number"), F.col("gram").cast("int").alias("gram"), F.col("n").cast("double").alias("n")).toArrow()  # at most ENTRIES rows
+    model = build_model(names, *(table.column(c).to_numpy() for c in ("number", "gram", "n")), np.array([totals[k] for k in names], np.float64), max(0, used - rows))
+    release(counts)
+    return model
 
 
 def language_id(documents: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", words_at_once: int = 60_000) -> DataFrame:
@@ -189,6 +213,7 @@ def language_id(documents: DataFrame, training: DataFrame, *, id_col: str = "doc
     def make():
         model = shared.value
         langs, cache = model.langs, WordLikelihoods(model)
+        at_once = max(1, min(words_at_once, words_at_once * 8 // max(1, len(langs))))  # a row of words has a number for each language
 
         def judge(docs: list[Counter], out: list, at: list[int]) -> None:
             starts = np.cumsum([0, *[len(d) for d in docs[:-1]]])
@@ -208,7 +233,7 @@ def language_id(documents: DataFrame, training: DataFrame, *, id_col: str = "doc
                     docs.append(words)
                     at.append(i)
                     n += len(words)
-                    if n > words_at_once:
+                    if n > at_once:
                         judge(docs, out, at)
                         docs, at, n = [], [], 0
             if docs:

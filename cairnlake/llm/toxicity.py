@@ -8,7 +8,8 @@ outside the held-out fold that the fit didn't see, scored on the executors; the
 score itself never sees language, source or id.
 
 The fit uses at most ``per_class`` labelled rows of each class, picked by a hash
-of the id, and of these the first in hash order up to ``sample_chars`` characters
+of the id, and of these in hash order those that fit into ``sample_chars`` characters:
+a text that doesn't fit any more is left out, and the ones after it are tried
 (documented bounds). It runs in one task on an executor; only weights and
 thresholds reach the driver, never a text. Scoring covers every row and whole
 texts. Applying a filter is a sum of rows of
@@ -17,7 +18,8 @@ it meets, in a bounded cache.
 
 Null and empty texts are scored as the empty text. Rows without a label, or with
 a null one, train nothing; with no labelled rows of both classes every score is
-0. Repeated rows are scored each; ties in the fit's sample are broken by id. An
+0. Labelled texts of both classes of which one has no text within the bound are an
+error, never a silent lack of a model. Repeated rows are scored each; ties in the fit's sample are broken by id. An
 empty table of documents gives an empty result and 0 for all scores.
 """
 
@@ -222,25 +224,34 @@ def calibrate(documents: DataFrame, marks: DataFrame, model: Model) -> dict[str,
         return work
 
     scored = map_batches(documents.select("id", "text", F.coalesce("lang", F.lit("")).alias("lang"), bit), make, f"id {dict(documents.dtypes)['id']}, lang string, bin int")
-    counts: dict[str, np.ndarray] = {}
-    for r in scored.join(marks, "id").groupBy("lang", "bin", "y").count().toLocalIterator():
-        counts.setdefault(r.lang, np.zeros((2, BINS), np.int64))[r.y, r.bin] += r["count"]
-    return {lang: best_threshold(c) for lang, c in sorted(counts.items()) if c.sum() >= LEAST_ROWS and c.sum(axis=1).all()}
+    counted = scored.join(marks, "id").groupBy("lang", "bin", "y").agg(F.count(F.lit(1)).alias("n"))  # at most 2 * BINS rows a language
+    rows_of = counted.groupBy("lang").agg(F.sum("n").alias("n"), F.count_distinct("y").alias("ys")).where((F.col("n") >= LEAST_ROWS) & (F.col("ys") == 2)).select("lang")
 
+    def threshold(part):
+        counts = np.zeros((2, BINS), np.int64)
+        np.add.at(counts, (part.y.to_numpy(), part.bin.to_numpy()), part.n.to_numpy())
+        return part.head(1)[["lang"]].assign(threshold=best_threshold(counts))
 
-def fitted(rows: DataFrame, sample_chars: int) -> Model | None:
-    """The model of ``rows`` (id, text, y), at most ``sample_chars`` characters of them, fitted in one task on an executor."""
+    # histograms stay on the executors; the driver gets one number for each language with enough labelled rows
+    found = counted.join(rows_of, "lang").groupBy("lang").applyInPandas(threshold, "lang string, threshold double")
+    return {r.lang: r.threshold for r in found.orderBy("lang").toLocalIterator()}
+
+
+def fitted(rows: DataFrame, sample_chars: int) -> tuple[Model | None, int]:
+    """The model of those ``rows`` (id, text, y) that fit into ``sample_chars`` characters, fitted in one task on an executor, and the number of classes among all rows."""
 
     def run(batches):
         cache: dict = {}
-        docs, labels, left = [], [], sample_chars
+        docs, labels, left, seen = [], [], sample_chars, set()
         for batch in batches:
             for text, y in zip(as_text(batch.column(0)), batch.column(1).to_pylist()):
-                left -= len(text)
-                if left >= 0:
+                seen.add(y)
+                if len(text) <= left:
+                    left -= len(text)
                     docs.append(encoded(text, cache))
                     labels.append(y)
         state = fit(docs, labels).state() if len(set(labels)) == 2 else {}
+        state["classes seen"] = np.zeros(len(seen), np.float32)
         yield pa.RecordBatch.from_arrays(
             [pa.array(state, pa.string()), pa.array([list(v.shape) for v in state.values()], pa.list_(pa.int32())), pa.array([v.tobytes() for v in state.values()], pa.binary())],
             ["name", "shape", "data"],
@@ -250,7 +261,8 @@ def fitted(rows: DataFrame, sample_chars: int) -> Model | None:
 
     in_order = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "y").select("text", "y")
     state = {r.name: np.frombuffer(r.data, np.float32).reshape(r["shape"]) for r in in_order.mapInArrow(run, "name string, shape array<int>, data binary").collect()}
-    return Model.of(state) if state else None
+    seen = len(state.pop("classes seen", ()))
+    return Model.of(state) if state else None, seen
 
 
 def in_fit(id_col: Column) -> Column:
@@ -270,10 +282,15 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     if len(counts) < 2:
         return None, {}
     draws = [marks.where(F.col("y") == y).where(F.pmod(F.xxhash64("id"), F.lit(1000)) < int(np.ceil(1200 * per_class / max(per_class, counts[y])))).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
-    drawn = draws[0].union(draws[1]).where(in_fit(F.col("id")))  # at most 2 * per_class rows
+    every = draws[0].union(draws[1])  # at most 2 * per_class rows
     rows = pick(documents, id=id_col, text=text_col, lang=lang_col)
-    model = fitted(rows.join(F.broadcast(drawn), "id").select("id", "text", "y"), sample_chars)
+    for drawn in (every.where(in_fit(F.col("id"))), every):  # few labels of a class may all be among those left to the thresholds
+        model, seen = fitted(rows.join(F.broadcast(drawn), "id").select("id", "text", "y"), sample_chars)
+        if model:
+            break
     if model is None:
+        if seen == 2:
+            raise ValueError(f"no labelled text of one of the classes fits into sample_chars = {sample_chars}")
         return None, {}
     return model, calibrate(rows, marks.join(F.broadcast(drawn.select("id")), "id", "left_anti"), model)
 

@@ -432,4 +432,6 @@ def test_toxicity_of_an_empty_table_and_a_bound_of_characters(docs, spark):
     empty = docs([])
     assert toxicity.train(empty, labels) == (None, {}) and toxicity.toxicity(empty, None, {}).count() == 0 == toxicity.remove_toxic(empty, None, {}).count()
     rows = docs([(i, "gronkish words" if i % 2 else "plain words") for i in range(40)])
-    assert toxicity.train(rows, labels, sample_chars=5) == (None, {}) and toxicity.train(rows, labels, sample_chars=300)[0] is not None
+    assert toxicity.train(rows, labels, sample_chars=300)[0] is not None
+    with pytest.raises(ValueError, match="sample_chars"):
+        toxicity.train(rows, labels, sample_chars=5)
