@@ -1,48 +1,105 @@
 """Duplicate detection: incoming nodes that look like existing ones.
 
 The score is half the better of name and alias similarity and a quarter each for
-sources and tags. So a pair that shares neither a path nor a tag reaches the
-threshold only by a name similarity of twice the threshold, and any other pair
-needs what sources and tags can't give. Candidates come from joins on what a pair
-must share: names from a prefix index of bigrams (rare ones first) with bounds on
-their number, and, where names alone don't decide, paths and tags. Only these
-pairs meet the score's set operations. At a threshold of 0 or less every existing
-node scores enough; those without anything in common score 0 and rank by their
-place in the document, so the first few of them stand for all.
+sources and tags. A pair without a common path has at most the tags' quarter
+beside its name, so it reaches the threshold only by a name similarity that can
+be named in advance; a pair with one meets in a join on paths. Where the
+threshold is so low that tags alone reach it, pairs with a common tag are added.
+Only these candidates meet the score's set operations. At a threshold of 0 or
+less every existing node scores enough; those without anything in common score 0
+and rank by their place in the document, so the first few of them stand for all.
+
+Names are joined on combinations of bigrams. There are only some hundreds of
+bigrams, so that many names share any one of them, even a rare one; but few names
+that aren't similar share three or four of their rarest.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cairnlake.functions import similarity
 from cairnlake.functions.text import bigrams
+from cairnlake.session import written
 
+#: Bigrams that a combination has at most, and combinations of a string at most where it has more than one bigram in each.
+DEEPEST, COMBINATIONS = 6, 512
+
+
+def _shared_at_least(n: int, part: float) -> int:
+    """What a string of n bigrams must share with any partner."""
+    return max(1, math.ceil(n * part - 1e-9))
 
-def similar_strings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, dice) of distinct strings (column s) with Dice >= least > 0, equal ones included.
 
-    Strings of x and y bigrams with 2c / (x + y) >= least have a smaller side of
-    at least least / (2 - least) of the larger one, and share one of the first
-    x - o + 1 bigrams of each, where o = x * least / (2 - least) is the least that
-    a string must share with any other; rare bigrams come first.
+def _depth(n: int, part: float) -> int:
+    """How many bigrams the combinations of a string of n bigrams have: as many as it must share and its number of combinations allows."""
+    must = _shared_at_least(n, part)
+    return max([1, *[k for k in range(2, DEEPEST + 1) if k <= must and math.comb(n - must + k, k) <= COMBINATIONS]])
+
+
+def _ways(n: int, part: float) -> list[tuple[int, np.ndarray]]:
+    """(depth, places of each combination) for a string of n bigrams.
+
+    A pair's depth is the lesser of its two strings', so a string has combinations of
+    every depth that a partner of a size within bounds brings about.
+    """
+    sizes = range(_shared_at_least(n, part), math.floor(n / part + 1e-9) + 1)
+    depths = sorted({min(_depth(n, part), _depth(m, part)) for m in sizes})
+    return [(k, np.array(list(itertools.combinations(range(n - _shared_at_least(n, part) + k), k)))) for k in depths]
+
+
+def _signed(strings: DataFrame, common: DataFrame, part: float) -> DataFrame:
+    """(s, n, sign): the combinations by which distinct strings (columns s and g, its bigrams) are found."""
+
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ways: dict[int, list] = {}
+        for batch in batches:
+            found = []
+            for g in map(np.array, batch.column(1).to_pylist()):
+                if len(g) not in ways:
+                    ways[len(g)] = _ways(len(g), part)
+                # A combination is the sum of its bigrams' hashes, and its depth; equal sums of others only add a pair that fails the exact check.
+                found.append(np.concatenate([g[at].sum(axis=1) + k for k, at in ways[len(g)]]))
+            sizes = np.array([len(g) for g in batch.column(1).to_pylist()], np.int32)
+            of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(sizes).take(of), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["s", "n", "sign"])
+
+    single = strings.select("s", F.explode("g").alias("g"))
+    listed = single.join(common, "g").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("x"))
+    return listed.select("s", F.transform("x", lambda x: F.xxhash64(x["g"])).alias("g")).mapInArrow(signs, "s string, n int, sign long")
+
+
+def candidate_strings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b) of unequal strings (column s) that may have Dice >= least > 0, once for each combination that they share; no similar pair is missing.
+
+    Strings of x and y bigrams with 2c / (x + y) >= least have a smaller side of at
+    least least / (2 - least) of the larger one, and each shares at least o = that
+    part of its own bigrams. In one order of all bigrams (rare ones first) the first
+    k common ones, k <= o, lie within the first n - o + k of either; so the strings
+    share a combination of k of these.
     """
     part = least / (2 - least)
-    side = lambda df, i: df.select("s").distinct().select("s", bigrams("s").alias("g"), F.lit(i).alias("side"))
-    both = side(left, 0).union(side(right, 1))
-    single = both.select("s", "side", F.size("g").alias("n"), F.explode("g").alias("g"))
-    common = single.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    listed = single.join(common, "g").groupBy("s", "side", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("x"))
-    head = F.slice("x", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(part) - F.lit(1e-9)) + 1).cast("int"))
-    index = listed.select("s", "side", "n", F.transform("x", lambda x: x["g"]).alias("all"), F.explode(F.transform(head, lambda x: x["g"])).alias("g"))
-    of = lambda i, name: index.where(F.col("side") == i).select("g", F.col("s").alias(name), F.col("n").alias(f"n_{name}"), F.col("all").alias(f"all_{name}"))
+    sides = [df.select("s").distinct().select("s", bigrams("s").alias("g")) for df in (left, right)]
+    common = sides[0].union(sides[1]).select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    a, b = (_signed(side, common, part).toDF(name, f"n_{name}", "sign") for side, name in zip(sides, "ab"))
     sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(part) - F.lit(1e-9)
-    met = of(0, "a").join(of(1, "b"), "g").where(sized).drop("g").dropDuplicates(["a", "b"])
-    dice = F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0 * F.size(F.array_intersect("all_a", "all_b")) / (F.col("n_a") + F.col("n_b")))
-    short = left.select(F.col("s").alias("a")).where(F.length("a") < 2).distinct().join(right.select(F.col("s").alias("b")).distinct(), F.col("a") == F.col("b")).select("a", "b", F.lit(1.0).alias("dice"))
-    return met.select("a", "b", dice.alias("dice")).where(F.col("dice") >= least).unionByName(short)
+    return a.join(b, "sign").where(sized & (F.col("a") != F.col("b"))).select("a", "b")
+
+
+def similar_strings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b, dice) of distinct strings (column s) with Dice >= least > 0, equal ones included."""
+    met = written(candidate_strings(left, right, least).distinct())  # else the exact check would become part of the join's condition
+    met = met.select("a", "b", similarity.dice(F.col("a"), F.col("b")).alias("dice")).where(F.col("dice") >= least)
+    equal = left.select(F.col("s").alias("a")).distinct().join(right.select(F.col("s").alias("b")).distinct(), F.col("a") == F.col("b"))
+    return met.unionByName(equal.select("a", "b", F.lit(1.0).alias("dice")))
 
 
 def find_collisions(incoming: DataFrame, nodes: DataFrame, *, threshold: float | None = None, top: int = similarity.TOP) -> DataFrame:
@@ -53,11 +110,11 @@ def find_collisions(incoming: DataFrame, nodes: DataFrame, *, threshold: float |
     threshold = similarity.threshold() if threshold is None else threshold
     new = incoming.select("id", "name", "sources", "tags")
     old = nodes.select(F.col("id").alias("candidate"), F.col("name").alias("c_name"), F.col("sources").alias("c_sources"), F.col("tags").alias("c_tags"), "aliases", "map_pos")
-    aside = (threshold - similarity.SOURCE_WEIGHT - similarity.TAG_WEIGHT) / similarity.NAME_WEIGHT  # what the name must give beside sources and tags
-    alone = threshold / similarity.NAME_WEIGHT  # and without them
-    pairs = _by_name(new, old, max((aside if aside > 0 else alone) - 1e-9, 1e-9))
-    if aside <= 0:
-        pairs = pairs.union(_by_part(new, old, "sources", lambda s: s["file_path"])).union(_by_part(new, old, "tags", lambda t: t))
+    tagged = (threshold - similarity.TAG_WEIGHT) / similarity.NAME_WEIGHT  # what the name must give without a common path
+    alone = threshold / similarity.NAME_WEIGHT  # and without a common tag as well
+    pairs = _by_name(new, old, max((tagged if tagged > 0 else alone) - 1e-9, 1e-9)).union(_by_part(new, old, "sources", lambda s: s["file_path"]))
+    if tagged <= 0:
+        pairs = pairs.union(_by_part(new, old, "tags", lambda t: t))
         if threshold <= 0:
             first = old.orderBy("map_pos").limit(top + 1).select("candidate")
             pairs = pairs.union(new.select("id").join(F.broadcast(first), how="cross"))

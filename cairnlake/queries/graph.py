@@ -297,6 +297,12 @@ _GRAMS = "list_distinct([substr(lower({0}), i, 2) for i in range(1, length({0}))
 DICE_SQL = f"WITH n AS (SELECT DISTINCT p_name AS s, {_GRAMS.format('p_name')} AS g FROM part), p AS (SELECT x.s AS a, y.s AS b, 2.0::DOUBLE * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) AS d FROM n x, n y WHERE x.s < y.s) SELECT a, b, {rounded_sql('d')} AS dice FROM p WHERE d >= 0.3"
 
 
+def similar_words(spark, sf_dir):
+    """Pairs of different tokens of documents, of twelve characters or more, with Dice of 0.8 or more."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(text.tokens("text"))).alias("s")).where(F.length("s") >= 12).distinct()
+    return collision.similar_strings(words, words, 0.8).where("a < b").select("a", "b", text.rounded("dice").alias("dice"))
+
+
 def tag_jaccard(spark, sf_dir):
     """Of the tags of consecutive parts."""
     w = W.partitionBy("kind").orderBy("map_pos")
@@ -451,6 +457,7 @@ REGISTRY = {
     "dice_pairs": (dice_pairs, DICE_SQL),
     "tag_jaccard": (tag_jaccard, TAG_SQL),
     "source_overlap": (source_overlap, OVERLAP_SQL),
+    "similar_words": (similar_words, None),
     "collisions_topk": (collisions_topk, COLLISION_SQL),
     "upsert_merge": (upsert_merge, UPSERT_SQL),
     "edge_upsert": (edge_upsert, EDGE_UPSERT_SQL),

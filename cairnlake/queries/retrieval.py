@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnlake.functions import scoring, text
-from cairnlake.operators import code, deps, retrieval
+from cairnlake.operators import code, deps, inverted, retrieval
 from cairnlake.queries.model import CHUNKS_SQL, DOCUMENTS_SQL, TOKENS_SQL, chunks, documents, related_labels, rounded_sql, table
+from cairnlake.session import scratch_folder
 
 QUERY = "the and thion"
 FIELD_QUERY = "src1 the en quality"
@@ -56,6 +57,14 @@ def bm25_topk(spark, sf_dir):
 BM25_TOPK_SQL = f"WITH base AS (SELECT doc_id, {_T} AS t FROM documents), {_bm25_sql(_W, 'base')} SELECT doc_id, {rounded_sql('bm25')} AS score FROM scored WHERE bm25 > 0 ORDER BY score DESC, doc_id LIMIT {LIMIT}"
 
 
+def bm25_indexed_topk(spark, sf_dir):
+    """The same ranking from a stored index, which is built first."""
+    folder = scratch_folder(spark, "postings")
+    inverted.build(table(spark, sf_dir, "documents"), folder, id_col="doc_id", text=F.col("text"))
+    best = inverted.Index(spark, folder).top_k(QUERY, LIMIT, slack=1e-4)  # of equal rounded scores the lesser ids are shown
+    return best.where("bm25 > 0").select(F.col("doc").alias("doc_id"), text.rounded("bm25").alias("score")).orderBy(F.desc("score"), "doc_id").limit(LIMIT)
+
+
 BATCH = [(1, "the and thion"), (2, "elle avec dans"), (3, "der und thion"), (4, "nothing matches zzzz")]
 
 
@@ -225,6 +234,7 @@ REGISTRY = {
     "bm25_df": (bm25_df, BM25_DF_SQL),
     "bm25_corpus_stats": (bm25_corpus_stats, BM25_STATS_SQL),
     "bm25_topk": (bm25_topk, BM25_TOPK_SQL),
+    "bm25_indexed_topk": (bm25_indexed_topk, BM25_TOPK_SQL),
     "bm25_batch": (bm25_batch, _batch_sql()),
     "field_score_topk": (field_score_topk, FIELD_SQL),
     "match_reasons_top8": (match_reasons_top8, REASONS_SQL),

@@ -20,20 +20,28 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="cairnlake-")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the folder of ``spark.checkpoint.dir``, for narrow rows that several branches read.
+def scratch_folder(session: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; what lies there goes when the driver's JVM ends.
 
     Where the session names no folder a local master gets a temporary one, and any
-    other is an error, as executors share none. The table goes when the driver's JVM ends.
+    other is an error, as executors share none.
     """
-    session = df.sparkSession
     folder = session.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not session.sparkContext.master.startswith("local") or session.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = _own_folder()
-    path = f"{folder}/narrow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     place = session._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(session._jsc.hadoopConfiguration()).deleteOnExit(place)
+    files = place.getFileSystem(session._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in a scratch folder, for narrow rows that several branches read."""
+    session = df.sparkSession
+    path = f"{scratch_folder(session, 'narrow')}/table"
+    df.write.parquet(path)
     return session.read.schema(df.schema).parquet(path)
