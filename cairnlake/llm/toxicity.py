@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import as_text, bit_map, give_back, has_bit, map_batches, pick
+from cairnlake.llm.common import as_text, bit_map, give_back, has_bit, map_batches, persist, pick, release
 
 LETTERS = re.compile(r"[^\W\d_]+")
 WIDTHS, FILTERS, DIM, BUCKETS = (1, 2, 3), 8, 16, 1 << 16
@@ -224,7 +224,7 @@ def calibrate(documents: DataFrame, marks: DataFrame, model: Model) -> dict[str,
         return work
 
     scored = map_batches(documents.select("id", "text", F.coalesce("lang", F.lit("")).alias("lang"), bit), make, f"id {dict(documents.dtypes)['id']}, lang string, bin int")
-    counted = scored.join(marks, "id").groupBy("lang", "bin", "y").agg(F.count(F.lit(1)).alias("n"))  # at most 2 * BINS rows a language
+    counted = persist(scored.join(marks, "id").groupBy("lang", "bin", "y").agg(F.count(F.lit(1)).alias("n")))  # at most 2 * BINS rows a language
     rows_of = counted.groupBy("lang").agg(F.sum("n").alias("n"), F.count_distinct("y").alias("ys")).where((F.col("n") >= LEAST_ROWS) & (F.col("ys") == 2)).select("lang")
 
     def threshold(part):
@@ -234,7 +234,9 @@ def calibrate(documents: DataFrame, marks: DataFrame, model: Model) -> dict[str,
 
     # histograms stay on the executors; the driver gets one number for each language with enough labelled rows
     found = counted.join(rows_of, "lang").groupBy("lang").applyInPandas(threshold, "lang string, threshold double")
-    return {r.lang: r.threshold for r in found.orderBy("lang").toLocalIterator()}
+    thresholds = {r.lang: r.threshold for r in found.collect()}
+    release(counted)
+    return dict(sorted(thresholds.items()))
 
 
 def fitted(rows: DataFrame, sample_chars: int) -> tuple[Model | None, int]:
