@@ -51,9 +51,12 @@ def _ways(n: int, part: float) -> list[tuple[int, np.ndarray]]:
     A pair's depth is the lesser of its two strings', so a string has combinations of
     every depth that a partner of a size within bounds brings about.
     """
-    sizes = range(_shared_at_least(n, part), math.floor(n / part + 1e-9) + 1)
-    depths = sorted({min(_depth(n, part), _depth(m, part)) for m in sizes})
-    return [(k, np.array(list(itertools.combinations(range(n - _shared_at_least(n, part) + k), k)))) for k in depths]
+    depths, own = set(), _depth(n, part)
+    for m in range(_shared_at_least(n, part), math.floor(n / part + 1e-9) + 1):
+        if len(depths) == own:  # all there are
+            break
+        depths.add(1 if own == 1 else min(own, _depth(m, part)))
+    return [(k, np.array(list(itertools.combinations(range(n - _shared_at_least(n, part) + k), k)))) for k in sorted(depths)]
 
 
 def _signed(strings: DataFrame, common: DataFrame, part: float) -> DataFrame:
