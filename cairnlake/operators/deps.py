@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from cairnlake.functions.scoring import symbol_score
 from cairnlake.functions.text import dirname, normalized, preview, trim_all
 from cairnlake.operators.code import exported_symbols
+from cairnlake.operators.substrings import containing
 
 # Fixed value: extensions in the order in which they are tried.
 EXTENSIONS = (".cjs", ".cts", ".js", ".jsx", ".mjs", ".mts", ".ts", ".tsx")
@@ -110,31 +111,9 @@ def approximate_references(chunk_rows: DataFrame, name: str, defining_path: str,
     return found.select("file_path", "start_line", "end_line", "content").orderBy("file_path", "start_line").limit(limit)
 
 
-#: Values that are looked for in one pass over the texts.
-VALUES_AT_ONCE = 2_000
-
-
-def mentioned(values: DataFrame, texts: DataFrame, *, text: Column) -> DataFrame:
-    """``texts`` with each ``value`` (of the column of that name) that they contain in lower case, a row each.
-
-    The values are counted, never collected: one row with up to VALUES_AT_ONCE of
-    them is broadcast at a time, and each such block is one pass over the texts.
-    """
-    distinct = values.select("value").where("value is not null").distinct()
-    blocks = max(1, -(-distinct.count() // VALUES_AT_ONCE))
-    rows, out = texts.withColumn("__low", F.lower(text)), None
-    for i in range(blocks):
-        own = distinct if blocks == 1 else distinct.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == i)
-        block = own.agg(F.array_sort(F.collect_list("value")).alias("__values"))
-        held = rows.join(F.broadcast(block), how="cross").withColumn("__held", F.filter("__values", lambda v: F.col("__low").contains(F.lower(v))))
-        found = held.select(*[texts[c] for c in texts.columns], F.explode("__held").alias("value"))
-        out = found if out is None else out.union(found)
-    return out
-
-
 def symbol_mentions(symbols: DataFrame, texts: DataFrame, *, id_col: str, text: Column) -> DataFrame:
     """(name, id) of texts that mention a symbol as a substring; ``symbols`` (name) is the query side."""
-    found = mentioned(symbols.select(F.col("name").alias("value")), texts.select(F.col(id_col).alias("__id"), text.alias("__text")), text=F.col("__text"))
+    found = containing(symbols.select(F.col("name").alias("value")), texts.select(F.col(id_col).alias("__id"), text.alias("__text")), text=F.col("__text"), key="__id")
     return found.select(F.col("value").alias("name"), F.col("__id").alias("id"))
 
 

@@ -229,12 +229,22 @@ def approx_references(spark, sf_dir):
 
 REFERENCES_SQL = "SELECT name, doc_id FROM (VALUES ('Thion'), ('elle'), ('Und')) v(name), documents WHERE contains(lower(text), lower(name))"
 
+def first_word_mentions(spark, sf_dir):
+    """Texts that mention the first word of another text, five characters or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select(F.regexp_extract("text", "^[A-Za-z]{5,}", 0).alias("name")).where("name <> ''").distinct()
+    return deps.symbol_mentions(words, docs, id_col="doc_id", text=F.col("text")).select("name", F.col("id").alias("doc_id"))
+
+
+FIRST_WORD_SQL = "WITH v AS (SELECT DISTINCT regexp_extract(text, '^[A-Za-z]{5,}') AS name FROM documents) SELECT name, doc_id FROM v, documents WHERE name <> '' AND contains(lower(text), lower(name))"
+
 REGISTRY = {
     "tokenize_counts": (tokenize_counts, TOKENIZE_SQL),
     "bm25_df": (bm25_df, BM25_DF_SQL),
     "bm25_corpus_stats": (bm25_corpus_stats, BM25_STATS_SQL),
     "bm25_topk": (bm25_topk, BM25_TOPK_SQL),
     "bm25_indexed_topk": (bm25_indexed_topk, BM25_TOPK_SQL),
+    "first_word_mentions": (first_word_mentions, FIRST_WORD_SQL),
     "bm25_batch": (bm25_batch, _batch_sql()),
     "field_score_topk": (field_score_topk, FIELD_SQL),
     "match_reasons_top8": (match_reasons_top8, REASONS_SQL),

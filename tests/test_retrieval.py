@@ -183,18 +183,6 @@ def test_similar_strings_and_collisions_equal_all_pairs(spark):
         assert got == want, threshold
 
 
-def test_mentions_in_blocks(spark, monkeypatch):
-    from cairnlake.operators import deps
-
-    texts = spark.createDataFrame([(1, "The RED ring"), (2, "a blue box"), (3, None)], "id int, name string")
-    names = spark.createDataFrame([("Red",), ("box",), ("b",), (None,), ("Red",)], "name string")
-    want = [("Red", 1), ("b", 2), ("box", 2)]
-    for at_once in (1, 2, 100):
-        monkeypatch.setattr(deps, "VALUES_AT_ONCE", at_once)
-        assert sorted((r.name, r.id) for r in deps.symbol_mentions(names, texts, id_col="id", text=F.col("name")).collect()) == want
-    assert deps.symbol_mentions(names.limit(0), texts, id_col="id", text=F.col("name")).count() == 0
-
-
 def test_batch_of_many_tokens_equals_a_batch_of_few(spark, monkeypatch):
     rng = random.Random(2)
     docs = spark.createDataFrame([(i, " ".join(rng.choices(["aa", "bb", "cc", "dd"], k=9))) for i in range(30)], "id int, text string")
