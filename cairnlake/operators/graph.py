@@ -108,19 +108,60 @@ def merge_once(nodes: DataFrame, incoming: DataFrame, active_topic: str | None =
 
 
 def upsert_nodes(nodes: DataFrame, incoming: DataFrame, *, active_topic: str | None = None, order_col: str | None = None) -> DataFrame:
-    """Upsert of a batch; rows for one target are folded in by ``order_col``, a join for each round of them.
+    """Upsert of a batch; rows for one target are folded in by ``order_col``, as if they came one by one."""
+    return merge_once(nodes, incoming, active_topic) if order_col is None else fold_in(nodes, incoming, order_col, active_topic)
 
-    Whether a summary is replaced depends on all that came before, so the rounds
-    can't be merged; a batch with one row for each target takes one round.
+
+def fold_in(nodes: DataFrame, incoming: DataFrame, order_col: str, active_topic: str | None = None) -> DataFrame:
+    """``merge_once`` of any number of rows for each target, in one aggregation.
+
+    Each field of the outcome is an aggregate that combines in any grouping: the
+    confidence is the largest, the summary is that of its last row, what is refreshed
+    is the last row's, and tags and aliases come in the order of their first row and
+    place. So rows are combined before the shuffle, and no task holds all rows of one
+    target. A confidence that is null never yields, and a null one replaces nothing.
+    Rows of one target and order count in the order of a hash of them; null arrays
+    are empty.
     """
-    if order_col is None:
-        return merge_once(nodes, incoming, active_topic)
     target = F.coalesce("target", "id") if "target" in incoming.columns else F.col("id")
-    numbered = incoming.withColumn("__round", F.row_number().over(W.partitionBy(target).orderBy(order_col)))
-    rounds = numbered.agg(F.max("__round")).first()[0] or 0
-    for i in range(1, rounds + 1):
-        nodes = merge_once(nodes, numbered.where(F.col("__round") == i), active_topic)
-    return nodes
+    fields = ["kind", "name", "summary", "sources", "tags", "aliases", "status", "confidence", "last_verified_at"]
+    none = F.array().cast("array<string>")
+    rows = incoming.withColumns({c: F.coalesce(c, none) for c in ("tags", "aliases")})
+    rows = rows.select(target.alias("id"), F.struct(F.col(order_col).alias("o"), F.xxhash64(*fields).alias("h")).alias("at"), *fields)
+    best = F.max(F.when(F.col("confidence").isNotNull(), F.struct("confidence", "at", "summary")))
+    scalars = rows.groupBy("id").agg(
+        F.min_by(F.struct("kind", "name", "summary", "tags", "aliases", "confidence"), "at").alias("first"),
+        F.max_by(F.struct("sources", "status", "last_verified_at"), "at").alias("last"),
+        best.alias("best"),
+        (F.count(F.lit(1)) > 1).alias("several"),
+    )
+    placed = lambda name: F.transform(name, lambda x, i: F.struct(F.lit(name).alias("list"), x.alias("x"), i.alias("i")))
+    elements = rows.select("id", "at", F.explode(F.concat(placed("tags"), placed("aliases"))).alias("e")).groupBy("id", "e.list", "e.x").agg(F.min(F.struct("at", "e.i")).alias("at"))
+    lists = elements.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "list", "x"))).alias("all"))
+    of = lambda name: F.coalesce(F.transform(F.filter("all", lambda e: e["list"] == name), lambda e: e["x"]), none)
+    new = scalars.join(lists, "id", "left").select("id", "first", "last", "best", "several", of("tags").alias("tags"), of("aliases").alias("aliases"))
+    old = nodes.select("id", F.struct(*fields).alias("old"), "map_pos")
+    both = old.join(new.select("id", F.struct("first", "last", "best", "several", "tags", "aliases").alias("new")), "id", "full_outer")
+    o, n = F.col("old"), F.col("new")
+    there, base = o.isNotNull(), lambda field: F.when(o.isNotNull(), o[field]).otherwise(n["first"][field])
+    better = base("confidence").isNotNull() & n["best"].isNotNull() & (n["best"]["confidence"] >= base("confidence"))
+    start = _with_topic(F.when(there, F.array_union(o["tags"], n["first"]["tags"])).otherwise(n["first"]["tags"]), active_topic)
+    united = F.when(there | n["several"], F.array_union(start, n["tags"])).otherwise(start)
+    also = F.when(there, F.array_union(o["aliases"], n["aliases"])).when(n["several"], F.array_union(n["first"]["aliases"], n["aliases"])).otherwise(n["first"]["aliases"])
+    kept = lambda field, merged: F.when(n.isNull(), o[field]).otherwise(merged).alias(field)
+    return both.select(
+        "id",
+        base("kind").alias("kind"),
+        base("name").alias("name"),
+        kept("summary", F.when(better, n["best"]["summary"]).otherwise(base("summary"))),
+        kept("sources", n["last"]["sources"]),
+        kept("tags", united),
+        kept("aliases", also),
+        kept("status", n["last"]["status"]),
+        kept("confidence", F.when(better, n["best"]["confidence"]).otherwise(base("confidence"))),
+        kept("last_verified_at", n["last"]["last_verified_at"]),
+        "map_pos",
+    )
 
 
 def ensure_edges(edges: DataFrame, incoming: DataFrame) -> DataFrame:

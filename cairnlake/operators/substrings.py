@@ -19,6 +19,9 @@ several; each is checked and matches by itself, also those of a null key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +31,12 @@ from cairnlake.session import written
 #: A gram of more than so many texts is hot, and its places.
 HOT, SALTS = 100_000, 64
 FEW, SIZE = 200_000, 3
+#: Grams that a task hands on at once.
+AT_ONCE = 500_000
 
 
 def _grams(low: Column, size: int) -> Column:
-    """Distinct runs of ``size`` characters."""
+    """Distinct runs of ``size`` characters of a value."""
 
     def made(s: Column) -> Column:
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (size - 1), F.lit(1))), lambda i: F.substr(s, i, F.lit(size))))
@@ -39,6 +44,30 @@ def _grams(low: Column, size: int) -> Column:
     return F.when(F.length(low) >= size, with_values(made, low)).otherwise(F.array().cast("array<string>"))
 
 
+def _grams_of(texts: DataFrame, sizes: list[int], few) -> DataFrame:
+    """(__key, gram): the distinct runs of the ``sizes`` of each text (__key, __low), or those among a broadcast few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, out = [], []
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(out, pa.string())], ["__key", "gram"])  # noqa: B023
+
+            for i in range(batch.num_rows):
+                low = batch.column(1)[i].as_py()
+                own = {low[at : at + n] for n in sizes for at in range(len(low) - n + 1)}
+                own = own & few.value if few else own
+                of += [i] * len(own)
+                out += own
+                if len(out) > AT_ONCE:
+                    yield made()
+                    of, out = [], []
+            yield made()
+
+    return texts.mapInArrow(run, f"__key {dict(texts.dtypes)['__key']}, gram string")
+
+
 def containing(values: DataFrame, texts: DataFrame, *, text: Column, key: str) -> DataFrame:
     """``texts`` with each ``value`` (of the column of that name) that they contain in lower case, a row each; ``key`` is a column that tells texts apart."""
     asked = values.select("value").where("value IS NOT NULL").distinct().withColumn("low", F.lower("value")).withColumn("size", F.least(F.length("low"), F.lit(SIZE)))
@@ -49,11 +78,11 @@ def containing(values: DataFrame, texts: DataFrame, *, text: Column, key: str) -
     if not sizes:
         return found
     wanted = asked.where("size > 0").select(F.explode("grams").alias("gram")).distinct()
+    low, few = F.lower(text), None
     if wanted.count() <= FEW:
-        wanted = F.broadcast(wanted)
-    low = F.lower(text)
-    every = texts.select(F.col(key).alias("__key"), F.explode(F.flatten(F.array(*[_grams(low, n) for n in sizes]))).alias("gram"))
-    held = written(every.join(wanted, "gram", "left_semi").distinct())
+        few = texts.sparkSession.sparkContext.broadcast(frozenset(r.gram for r in wanted.collect()))
+    every = _grams_of(texts.select(F.col(key).alias("__key"), low.alias("__low")).where("__low IS NOT NULL"), sizes, few)
+    held = written((every if few else every.join(wanted, "gram", "left_semi")).distinct())
     counted = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     each = asked.where("size > 0").select("value", F.explode("grams").alias("gram")).join(counted, "gram", "left")
     rarest = each.groupBy("value").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnlake.functions import predicates, text
-from cairnlake.operators import changes, deps, rollup, staleness, writeback
+from cairnlake.operators import changes, deps, intervals, rollup, staleness, writeback
 from cairnlake.queries.model import DOCUMENTS_SQL, documents, rounded_sql, table, turn_names
 
 # --- activity log ------------------------------------------------------------------------
@@ -99,7 +99,19 @@ def changed_symbols_interval(spark, sf_dir):
     """Line numbers of items as symbols, the changed range of an order from its key figures."""
     points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     ranges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "F", 2).otherwise(4).alias("start_line"), F.when(F.col("o_orderpriority").startswith("1"), 7).otherwise(4).alias("end_line"))
-    return changes.point_in_range(points, ranges, key="l_orderkey", point="l_linenumber")
+    return intervals.points_in_ranges(points, ranges, key="l_orderkey", point="l_linenumber")
+
+
+def last_click(spark, sf_dir):
+    """Each purchase with the user's last click at or before it."""
+    e = table(spark, sf_dir, "events")
+    clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"), F.col("value").alias("click_value"))
+    return intervals.as_of(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, key="user_id", time="ts", values=["click_id", "click_value"])
+
+
+LAST_CLICK_SQL = """
+WITH c AS (SELECT user_id, ts, max(struct_pack(click_id := event_id, click_value := value)) AS s FROM events WHERE event_type = 'click' GROUP BY user_id, ts)
+SELECT e.event_id, e.user_id, e.ts, s.click_id, s.click_value FROM events e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts >= c.ts WHERE e.event_type = 'purchase'"""
 
 
 INTERVAL_SQL = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem l WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND l_linenumber BETWEEN CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 4 END AND CASE WHEN starts_with(o_orderpriority, '1') THEN 7 ELSE 4 END)"
@@ -279,6 +291,7 @@ REGISTRY = {
     "rollup_upsert": (rollup_upsert, ROLLUP_UPSERT_SQL),
     "index_status_diff": (index_status_diff, STATUS_SQL),
     "changed_symbols_interval": (changed_symbols_interval, INTERVAL_SQL),
+    "last_click": (last_click, LAST_CLICK_SQL),
     "stale_nodes_for_changes": (stale_nodes_for_changes, STALE_SQL),
     "likely_tests_stem_join": (likely_tests_stem_join, TESTS_SQL),
     "likely_docs": (likely_docs, DOCS_SQL),

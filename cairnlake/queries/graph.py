@@ -365,6 +365,23 @@ def upsert_merge(spark, sf_dir):
     return merged.select("id", "kind", "name", "summary", F.array_join("tags", ",").alias("tags"), F.array_join("aliases", ",").alias("aliases"), "status", "confidence")
 
 
+def upsert_in_order(spark, sf_dir):
+    """Parts by size and key folded into one node for each brand; the smallest parts are there already, by brand."""
+    every = nodes(spark, sf_dir).withColumn("sources", F.array().cast("array<struct<file_path:string,start_line:int,end_line:int,content_hash:string,range_hash:string>>")).withColumn("last_verified_at", _now())
+    rows = every.withColumn("target", F.regexp_extract("summary", "Brand#[0-9]+", 0))
+    old = rows.groupBy("target").agg(F.min_by(F.struct(*every.columns), "map_pos").alias("n")).select("n.*", F.col("target").alias("t")).drop("id").withColumnRenamed("t", "id")
+    merged = graph.upsert_nodes(old.select(*every.columns), rows, active_topic="merge", order_col="map_pos")
+    return merged.select("id", "kind", "name", "summary", F.array_join("tags", ",").alias("tags"), F.size("aliases").alias("n_aliases"), "status", "confidence")
+
+
+IN_ORDER_SQL = f"""
+WITH {NODES_SQL}, r AS (SELECT *, regexp_extract(summary, 'Brand#[0-9]+') AS t FROM nodes),
+e AS (SELECT t, x, min(struct_pack(p := map_pos, i := i)) AS spot FROM (SELECT t, map_pos, tags[i] AS x, i FROM r, range(1, 3) q(i)) GROUP BY t, x),
+tagged AS (SELECT t, x, spot FROM e UNION ALL SELECT t, 'merge', struct_pack(p := min(map_pos), i := 9::BIGINT) AS spot FROM r GROUP BY t)
+SELECT t AS id, arg_min(kind, map_pos) AS kind, arg_min(name, map_pos) AS name, arg_max(summary, struct_pack(c := confidence, p := map_pos)) AS summary,
+ (SELECT string_agg(x, ',' ORDER BY spot) FROM tagged WHERE tagged.t = r.t) AS tags, CAST(count(DISTINCT aliases[1]) AS INTEGER) AS n_aliases, arg_max(status, map_pos) AS status, max(confidence) AS confidence
+FROM r GROUP BY t"""
+
 UPSERT_SQL = f"""
 WITH {NODES_SQL}, sized AS (SELECT nodes.*, p_size, p_partkey FROM nodes JOIN part ON id = 'part/' || p_partkey),
 o AS (SELECT * FROM sized WHERE p_size <= 30), n AS (SELECT *, 'part/' || (p_partkey - 1) AS target FROM sized WHERE p_size > 10)
@@ -459,6 +476,7 @@ REGISTRY = {
     "source_overlap": (source_overlap, OVERLAP_SQL),
     "similar_words": (similar_words, None),
     "collisions_topk": (collisions_topk, COLLISION_SQL),
+    "upsert_in_order": (upsert_in_order, IN_ORDER_SQL),
     "upsert_merge": (upsert_merge, UPSERT_SQL),
     "edge_upsert": (edge_upsert, EDGE_UPSERT_SQL),
     "topic_upsert": (topic_upsert, TOPIC_SQL),
