@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnlake.functions import scoring, text
-from cairnlake.operators import code, deps, inverted, retrieval
+from cairnlake.operators import code, deps, inverted, retrieval, vectors
 from cairnlake.queries.model import CHUNKS_SQL, DOCUMENTS_SQL, TOKENS_SQL, chunks, documents, related_labels, rounded_sql, table
 from cairnlake.session import scratch_folder
 
@@ -238,6 +238,19 @@ def first_word_mentions(spark, sf_dir):
 
 FIRST_WORD_SQL = "WITH v AS (SELECT DISTINCT regexp_extract(text, '^[A-Za-z]{5,}') AS name FROM documents) SELECT name, doc_id FROM v, documents WHERE name <> '' AND contains(lower(text), lower(name))"
 
+def nearest_vectors(spark, sf_dir):
+    """The ten nearest of all vectors for every vector whose id is divisible by 20, exactly."""
+    rows = table(spark, sf_dir, "embeddings")
+    cells = vectors.Cells(rows, id_col="vec_id", vector_col="embedding")
+    found = cells.nearest(rows.where("vec_id % 20 = 0"), 10, id_col="vec_id", vector_col="embedding", exact=True)
+    return found.select("query", "id", text.rounded("similarity").alias("similarity"), "rank")
+
+
+NEAREST_SQL = f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(q.v, e.v), 9) AS s FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query, id, {rounded_sql("s")} AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS INTEGER) AS rank FROM p QUALIFY rank <= 10"""
+
 REGISTRY = {
     "tokenize_counts": (tokenize_counts, TOKENIZE_SQL),
     "bm25_df": (bm25_df, BM25_DF_SQL),
@@ -245,6 +258,7 @@ REGISTRY = {
     "bm25_topk": (bm25_topk, BM25_TOPK_SQL),
     "bm25_indexed_topk": (bm25_indexed_topk, BM25_TOPK_SQL),
     "first_word_mentions": (first_word_mentions, FIRST_WORD_SQL),
+    "nearest_vectors": (nearest_vectors, NEAREST_SQL),
     "bm25_batch": (bm25_batch, _batch_sql()),
     "field_score_topk": (field_score_topk, FIELD_SQL),
     "match_reasons_top8": (match_reasons_top8, REASONS_SQL),
