@@ -88,3 +88,18 @@ def as_of(left: DataFrame, right: DataFrame, *, key: str, time: str, values: lis
     met = found.join(carried, F.col("__k").eqNullSafe(F.col("__ck")) & F.col("__p").eqNullSafe(F.col("__cp")), "left")
     seen = F.when(F.col("__k").isNotNull() & F.col("__t").isNotNull(), F.coalesce("__in", "__c"))
     return met.select("__l", seen.alias("__s")).select("__l.*", *[F.col("__s")[v].alias(v) for v in values])
+
+
+def carried(rows: DataFrame, order: str, value: Column, *, own: bool = True, size: int = 100_000) -> DataFrame:
+    """``rows`` with ``carried``: the last ``value`` that isn't null at a row, or only before it, in the order of an integer column without nulls.
+
+    Rows are dealt by pieces of ``size`` of the order; what a piece ends with is an
+    aggregate, and the one window over all pieces has a row for each of them.
+    """
+    placed = rows.withColumns({"__value": value, "__piece": F.floor(F.col(order) / F.lit(size))})
+    ends = placed.groupBy("__piece").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(order))).alias("__end"))
+    before = W.orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
+    earlier = ends.select(F.col("__piece").alias("__at"), F.last("__end", ignorenulls=True).over(before).alias("__earlier"))
+    within = W.partitionBy("__piece").orderBy(order).rowsBetween(W.unboundedPreceding, 0 if own else -1)
+    met = placed.withColumn("__in", F.last("__value", ignorenulls=True).over(within)).join(earlier, F.col("__piece") == F.col("__at"))
+    return met.select(*[rows[c] for c in rows.columns], F.coalesce("__in", "__earlier").alias("carried"))

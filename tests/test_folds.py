@@ -67,3 +67,17 @@ def test_as_of_equals_a_look_back(spark, seconds):
         seen = [(u, v, w) for j, u, v, w in right if k is not None and t is not None and u is not None and j == k and u <= t]
         want.append((k, t, i, *(max(seen)[1:] if seen else (None, None))))
     assert sorted(map(str, map(tuple, intervals.as_of(l, r, key="k", time="t", values=["v", "w"], seconds=seconds).collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_carried_values_equal_one_window(spark, own):
+    dice = random.Random(6)
+    rows = [(1000 * i + dice.randint(0, 9), dice.choice([None, None, f"v{i}"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "ord long, x string")
+    want, last = [], None
+    for o, x in sorted(rows):
+        before, last = last, x if x is not None else last
+        want.append((o, x, last if own else before))
+    for size in (1, 5000, 10**9):
+        assert sorted(map(str, map(tuple, intervals.carried(df, "ord", intervals.F.col("x"), own=own, size=size).collect()))) == sorted(map(str, want))
+    assert intervals.carried(df.limit(0), "ord", intervals.F.col("x")).collect() == []
