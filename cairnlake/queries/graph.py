@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from cairnlake.functions import keys, quality, scoring, similarity, text
 from cairnlake.operators import collision, graph, retrieval, rollup, staleness, validate
-from cairnlake.queries.model import ANCHORS_SQL, NODES_SQL, NOW, anchors, nodes, rounded_sql, table
+from cairnlake.queries.model import ANCHORS_SQL, NODES_SQL, NOW, TOKENS_SQL, anchors, nodes, rounded_sql, table
 
 QUESTION = "red Widget economy red"
 _TOKENS = text.graph_tokens(QUESTION)
@@ -303,6 +303,9 @@ def similar_words(spark, sf_dir):
     return collision.similar_strings(words, words, 0.8).where("a < b").select("a", "b", text.rounded("dice").alias("dice"))
 
 
+WORDS_SQL = f"WITH n AS (SELECT s, {_GRAMS.format('s')} AS g FROM (SELECT DISTINCT unnest({TOKENS_SQL.format('text')}) AS s FROM documents) WHERE length(s) >= 12), p AS (SELECT x.s AS a, y.s AS b, 2.0::DOUBLE * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) AS d FROM n x JOIN n y ON x.s < y.s AND 3 * least(len(x.g), len(y.g)) >= 2 * greatest(len(x.g), len(y.g))) SELECT a, b, {rounded_sql('d')} AS dice FROM p WHERE d >= 0.8::DOUBLE"
+
+
 def tag_jaccard(spark, sf_dir):
     """Of the tags of consecutive parts."""
     w = W.partitionBy("kind").orderBy("map_pos")
@@ -474,7 +477,7 @@ REGISTRY = {
     "dice_pairs": (dice_pairs, DICE_SQL),
     "tag_jaccard": (tag_jaccard, TAG_SQL),
     "source_overlap": (source_overlap, OVERLAP_SQL),
-    "similar_words": (similar_words, None),
+    "similar_words": (similar_words, WORDS_SQL),
     "collisions_topk": (collisions_topk, COLLISION_SQL),
     "upsert_in_order": (upsert_in_order, IN_ORDER_SQL),
     "upsert_merge": (upsert_merge, UPSERT_SQL),

@@ -38,7 +38,7 @@ def text(dice):
 def test_refreshes_equal_whole_builds(spark, tmp_path):
     dice, folder = random.Random(6), f"file://{tmp_path}/index"
     files = {f"src/f{i}.ts": (text(dice), 1) for i in range(30)}
-    for round_ in range(4):
+    for round_ in range(3):
         listing, contents, df, asked = listed(spark, files)
         after = incremental.refresh(spark, folder, listing, contents, buckets=8)
         assert sorted(asked) == sorted(files if round_ == 0 else fresh)  # noqa: F821

@@ -26,8 +26,7 @@ def made(spark, tmp_path_factory):
     return docs, rows, inverted.Index(spark, folder)
 
 
-@pytest.mark.parametrize("query", ["rare", "w0 w1 rare w0", "w199 w198 w197 w0 nowhere"])
-@pytest.mark.parametrize("heads,spans", [(256, 4096), (2, 7)])
+@pytest.mark.parametrize("query,heads,spans", [("rare", 256, 4096), ("w0 w1 rare w0", 2, 7), ("w199 w198 w197 w0 nowhere", 2, 7)])
 def test_ranking_equals_a_full_scan(made, monkeypatch, query, heads, spans):
     monkeypatch.setattr(inverted, "HEADS", heads)
     monkeypatch.setattr(inverted, "SPANS", spans)
