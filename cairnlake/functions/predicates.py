@@ -62,16 +62,21 @@ def asks_for_code_col(question: Column | str) -> Column:
     return F.exists(F.split(col(question), r"\s+"), lambda word: F.greatest(*[word.rlike(s) for s in CODE_SHAPES]))
 
 
+def _bounded(pattern: str) -> str:
+    r"""A pattern in ``\b`` with bounds of what ``\w`` is: before release 19 Java's ``\b`` counts the letters of all alphabets as well."""
+    return r"(?<!\w)" + pattern.removeprefix(r"\b").removesuffix(r"\b") + r"(?!\w)"
+
+
 def mentions_decision(text: Column | str) -> Column:
-    return F.lower(col(text)).rlike(DECISION_WORDS)
+    return F.lower(col(text)).rlike(_bounded(DECISION_WORDS))
 
 
 def mentions_invariant(text: Column | str) -> Column:
-    return F.lower(col(text)).rlike(INVARIANT_WORDS)
+    return F.lower(col(text)).rlike(_bounded(INVARIANT_WORDS))
 
 
 def mentions_gotcha(text: Column | str) -> Column:
-    return F.lower(col(text)).rlike(GOTCHA_WORDS)
+    return F.lower(col(text)).rlike(_bounded(GOTCHA_WORDS))
 
 
 def is_valid_timestamp(text: Column | str, now: Column) -> Column:

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from cairnlake.functions.text import lines, sha256, trim_all, trim_end, with_values
 from cairnlake.schemas import SYMBOL
 
-# What counts as an import, an export, a symbol.
+# What counts as an import, an export, a symbol. Words end where \w does; Java's \b depends on its release.
 IMPORT_PATTERNS = (
-    r"""\bimport\s+(?:type\s+)?(?:[^'"]+\s+from\s+)?["']([^"']+)["']""",
-    r"""\bexport\s+[^'"]+\s+from\s+["']([^"']+)["']""",
-    r"""\brequire\(["']([^"']+)["']\)""",
+    r"""(?<!\w)import\s+(?:type\s+)?(?:[^'"]+\s+from\s+)?["']([^"']+)["']""",
+    r"""(?<!\w)export\s+[^'"]+\s+from\s+["']([^"']+)["']""",
+    r"""(?<!\w)require\(["']([^"']+)["']\)""",
 )
 EXPORT_DIRECT = r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:class|function|interface|type|enum|const|let|var)\s+([A-Za-z_$][\w$]*)"
 EXPORT_NAMED = r"^\s*export\s*\{([^}]+)\}"
@@ -57,7 +57,7 @@ def symbols(text_lines: Column) -> Column:
         for k, pattern in SYMBOL_PATTERNS.items():
             kind = F.when(line.rlike(pattern), k) if kind is None else kind.when(line.rlike(pattern), k)
             name.append(_first(line, pattern))
-        return F.struct(F.coalesce(*name).alias("name"), kind.alias("kind"), (i + 1).alias("line"), line.rlike(r"\bexport\b").alias("exported"))
+        return F.struct(F.coalesce(*name).alias("name"), kind.alias("kind"), (i + 1).alias("line"), line.rlike(r"(?<!\w)export(?!\w)").alias("exported"))
 
     return F.filter(F.transform(text_lines, one), lambda s: s["name"].isNotNull())
 
