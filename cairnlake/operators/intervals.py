@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cairnlake.session import written
+
 #: A block of a level is 16 of the level below; eight levels span 32 bits.
 BITS, LEVELS = 4, 8
 
@@ -103,3 +105,17 @@ def carried(rows: DataFrame, order: str, value: Column, *, own: bool = True, siz
     within = W.partitionBy("__piece").orderBy(order).rowsBetween(W.unboundedPreceding, 0 if own else -1)
     met = placed.withColumn("__in", F.last("__value", ignorenulls=True).over(within)).join(earlier, F.col("__piece") == F.col("__at"))
     return met.select(*[rows[c] for c in rows.columns], F.coalesce("__in", "__earlier").alias("carried"))
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``rows`` with their place from 1 in the order of a column, nulls first; of equal values any may come first.
+
+    Range partitions are sorted apart and written, so places stay as they are; what
+    lies before a partition comes from one row for each of them.
+    """
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order)
+    placed = written(ranged.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return placed.join(F.broadcast(starts), "__part").select(*rows.columns, (F.col("__start") + F.col("__row") + 1).alias(name))

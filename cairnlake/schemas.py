@@ -28,10 +28,10 @@ TURNS = ("topic string, ts timestamp, queries int, results_returned int, nodes_e
 ROLLUPS = ("week_of date, total_nodes long, verified_pct_7d double, knowledge_kind_ratio double, total_emissions long, total_collisions long, cap_hits long")
 LISTING = ("file_path string, language string, size_bytes long, mtime_ms long, content string")
 
-#: The graph file; ids are keys of maps, so the schema is never inferred.
-GRAPH_FILE = (
-    "version int, created_at string,"
-    " topics map<string, struct<created_at:string,auto_created:boolean>>,"
-    " nodes map<string, struct<kind:string,name:string,summary:string,sources:array<struct<file_path:string,line_range:array<int>,content_hash:string,range_hash:string>>,tags:array<string>,aliases:array<string>,status:string,confidence:double,last_verified_at:string>>,"
-    " edges map<string, struct<note:string>>"
-)
+#: The maps of the graph file; ids are keys of maps, so the schema is never inferred.
+MEMBERS = {
+    "topics": "map<string, struct<created_at:string,auto_created:boolean>>",
+    "nodes": "map<string, struct<kind:string,name:string,summary:string,sources:array<struct<file_path:string,line_range:array<int>,content_hash:string,range_hash:string>>,tags:array<string>,aliases:array<string>,status:string,confidence:double,last_verified_at:string>>",
+    "edges": "map<string, struct<note:string>>",
+}
+GRAPH_FILE = "version int, created_at string, " + ", ".join(f"{k} {v}" for k, v in MEMBERS.items())

@@ -16,9 +16,11 @@ from cairnlake.functions.keys import parse_edge_key
 from cairnlake.functions.predicates import STATE_DIR, is_valid_node
 from cairnlake.functions.text import iso_timestamp
 from cairnlake.operators import validate
+from cairnlake.operators.intervals import numbered
 from cairnlake.sources.lock import locked
 
 GRAPH_PATH_VARIABLE = "CAIRNLAKE_GRAPH_PATH"
+SECTIONS = ("nodes", "edges", "topics")
 
 
 class GraphError(ValueError):
@@ -47,30 +49,78 @@ def _anchor(s):
 
 
 def parse_graph(text: DataFrame) -> Graph:
-    """A graph from a DataFrame with the document in its one row (column value); raises GraphError on any violation of the schema."""
+    """A graph from a DataFrame with the document in its one row (column value); raises GraphError on any violation of the schema.
+
+    A row is as large as the document. ``write_lines`` and ``read_lines`` are for graphs beyond one row.
+    """
     doc = text.select(F.from_json("value", schemas.GRAPH_FILE, {"mode": "PERMISSIVE"}).alias("g")).select("g.*")
-    nodes = doc.select(F.explode("nodes").alias("id", "n"))
-    edges = doc.select(F.explode("edges").alias("key", "e")).withColumn("k", parse_edge_key(F.col("key")))
-    topics = doc.select(F.explode("topics").alias("name", "t"))
+    nodes, edges, topics = (doc.select(F.explode(c).alias("key", "value")) for c in SECTIONS)
     found = doc.agg(F.first("version").alias("v"), F.first("created_at").alias("c")).first()
+    return _checked(found, nodes, edges, topics)
+
+
+def _checked(found, nodes: DataFrame, edges: DataFrame, topics: DataFrame) -> Graph:
+    """The graph of (key, value) of each map, nodes in the order of their ids."""
     if found is None or found.v != schemas.GRAPH_VERSION or found.c is None:
         raise GraphError(f"graph version {found.v if found else None} is not {schemas.GRAPH_VERSION}")
-    bad = nodes.where(~is_valid_node(F.col("n"), F.col("id"))).select(F.concat(F.lit("node "), "id").alias("what"))
-    bad = bad.union(edges.where("k is null").select(F.concat(F.lit("edge "), "key"))).union(topics.where(iso_timestamp("t.created_at").isNull()).select(F.concat(F.lit("topic "), "name")))
+    nodes = numbered(nodes.select(F.col("key").alias("id"), F.col("value").alias("n")), "id", "map_pos")
+    edges = edges.select("key", F.col("value").alias("e")).withColumn("k", parse_edge_key(F.col("key")))
+    topics = topics.select(F.col("key").alias("name"), F.col("value").alias("t"))
+    said = lambda what, c: F.concat(F.lit(f"{what} "), F.coalesce(c, F.lit("(not read)"))).alias("what")
+    bad = nodes.where(~is_valid_node(F.col("n"), F.col("id"))).select(said("node", F.col("id")))
+    bad = bad.union(edges.where("k is null").select(said("edge", F.col("key")))).union(topics.where(F.col("name").isNull() | iso_timestamp("t.created_at").isNull()).select(said("topic", F.col("name"))))
     if faults := [r.what for r in bad.limit(10).collect()]:
         raise GraphError("; ".join(faults))
-    position = F.row_number().over(_by("id")).cast("int").alias("map_pos")
     node_rows = nodes.select(
         "id", "n.kind", "n.name", "n.summary", F.transform("n.sources", _anchor).alias("sources"), "n.tags", F.coalesce("n.aliases", F.array().cast("array<string>")).alias("aliases"),
-        F.coalesce("n.status", F.lit("active")).alias("status"), "n.confidence", iso_timestamp("n.last_verified_at").alias("last_verified_at"), position,
+        F.coalesce("n.status", F.lit("active")).alias("status"), "n.confidence", iso_timestamp("n.last_verified_at").alias("last_verified_at"), F.col("map_pos").cast("int").alias("map_pos"),
     )
     return Graph(node_rows, edges.select("k.from", "k.to", "k.kind", "e.note"), topics.select("name", iso_timestamp("t.created_at").alias("created_at"), "t.auto_created"))
 
 
-def _by(column: str):
-    from pyspark.sql import Window as W
+def write_lines(nodes: DataFrame, edges: DataFrame, topics: DataFrame, folder: str, *, created_at: str) -> None:
+    """Writes (key, value) of each map as one JSON document with a member a line, cut into the files of a folder.
 
-    return W.orderBy(column)
+    The files in the order of their names are the document's text, so none of them,
+    and no task, has more than its part. Keys are unique and not null.
+    """
+    session = nodes.sparkSession
+    fixed = lambda *lines: session.createDataFrame([(x,) for x in lines], "value string").coalesce(1)
+    out = fixed(json.dumps({"version": schemas.GRAPH_VERSION, "created_at": created_at})[:-1] + ",")
+    for name, members in zip(SECTIONS, (nodes, edges, topics)):
+        last = members.agg(F.max("key")).first()[0]
+        # to_json of a map quotes the key as well
+        line = F.expr("substring(j, 2, length(j) - 2)")
+        rows = members.select("key", F.to_json(F.create_map("key", "value")).alias("j"))
+        out = out.union(fixed(f'"{name}":{{')).union(rows.where(F.col("key") != F.lit(last)).select(F.concat(line, F.lit(","))))
+        out = out.union(rows.where(F.col("key") == F.lit(last)).select(line).coalesce(1)).union(fixed("}" if name == SECTIONS[-1] else "},"))
+    out.union(fixed("}")).write.text(folder)
+
+
+def read_lines(spark: SparkSession, folder: str) -> Graph:
+    """The graph of a document as ``write_lines`` lays it out; raises GraphError as ``parse_graph`` does, on other layouts as well.
+
+    Lines are placed by file, split and row; only the three lines that open a map
+    are known to the driver, and what a line belongs to follows from their places.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(folder).select("value", place.alias("at"))
+    opens = lines.select(F.regexp_extract("value", r'^"(\w+)":\{$', 1).alias("name"), "at").where(F.col("name").isin(*SECTIONS)).groupBy("name").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")).collect()
+    if sorted(r.name for r in opens) != sorted(SECTIONS) or any(r.n > 1 for r in opens):
+        raise GraphError("a graph in lines opens each of its maps in one line")
+    opens = {r.name: r.at for r in sorted(opens, key=lambda r: r["at"])}
+    at = {name: F.struct(F.lit(x.file).alias("file"), F.lit(x.start).alias("start"), F.lit(x.row).alias("row")) for name, x in opens.items()}
+    of = F.lit("head")
+    for name, x in at.items():
+        of = F.when(F.col("at") == x, F.lit("open")).when(F.col("at") > x, F.lit(name)).otherwise(of)
+    text = lines.select("value", of.alias("of")).where(F.col("of").isin("head", *SECTIONS) & ~F.col("value").isin("}", "},"))
+    found = text.where("of = 'head'").select(F.from_json(F.regexp_replace("value", ",$", "}"), "version int, created_at string").alias("g")).agg(F.first("g.version").alias("v"), F.first("g.created_at").alias("c")).first()
+
+    def members(name: str) -> DataFrame:
+        whole = F.concat(F.lit("{"), F.regexp_replace("value", ",$", ""), F.lit("}"))
+        return text.where(F.col("of") == name).select(F.explode_outer(F.from_json(whole, schemas.MEMBERS[name])))
+
+    return _checked(found, *map(members, SECTIONS))
 
 
 def load_graph(spark: SparkSession, root: str, *, path: str | None = None, repair: bool = True) -> Graph:
