@@ -60,27 +60,33 @@ def _ways(n: int, part: float) -> list[tuple[int, np.ndarray]]:
 
 
 def _signed(strings: DataFrame, common: DataFrame, part: float) -> DataFrame:
-    """(s, n, sign): the combinations by which distinct strings (columns s and g, its bigrams) are found."""
+    """(s, n, x, y, spare, sign): the combinations by which distinct strings (columns s and g, its bigrams) are found.
+
+    x and y are a bit map of 128 places of the bigrams' hashes, ``spare`` is how many bits fewer it has than bigrams.
+    """
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ways: dict[int, list] = {}
         for batch in batches:
-            found = []
-            for g in map(np.array, batch.column(1).to_pylist()):
+            found, maps = [], np.zeros((batch.num_rows, 2), np.uint64)
+            for i, g in enumerate(map(np.array, batch.column(1).to_pylist())):
                 if len(g) not in ways:
                     ways[len(g)] = _ways(len(g), part)
                 # A combination is the sum of its bigrams' hashes, and its depth; equal sums of others only add a pair that fails the exact check.
                 found.append(np.concatenate([g[at].sum(axis=1) + k for k, at in ways[len(g)]]))
+                np.bitwise_or.at(maps[i], (g >> 6) & 1, np.uint64(1) << (g & 63).astype(np.uint64))
             sizes = np.array([len(g) for g in batch.column(1).to_pylist()], np.int32)
+            spare = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int32)
             of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(sizes).take(of), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["s", "n", "sign"])
+            whole = [batch.column(0), pa.array(sizes), *map(pa.array, maps.view(np.int64).T), pa.array(spare)]
+            yield pa.RecordBatch.from_arrays([*[c.take(of) for c in whole], pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["s", "n", "x", "y", "spare", "sign"])
 
     single = strings.select("s", F.explode("g").alias("g"))
     listed = single.join(common, "g").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("x"))
-    return listed.select("s", F.transform("x", lambda x: F.xxhash64(x["g"])).alias("g")).mapInArrow(signs, "s string, n int, sign long")
+    return listed.select("s", F.transform("x", lambda x: F.xxhash64(x["g"])).alias("g")).mapInArrow(signs, "s string, n int, x long, y long, spare int, sign long")
 
 
-def candidate_strings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+def candidate_strings(left: DataFrame, right: DataFrame, least: float, *, ordered: bool = False) -> DataFrame:
     """(a, b) of unequal strings (column s) that may have Dice >= least > 0, once for each combination that they share; no similar pair is missing.
 
     Strings of x and y bigrams with 2c / (x + y) >= least have a smaller side of at
@@ -92,15 +98,19 @@ def candidate_strings(left: DataFrame, right: DataFrame, least: float) -> DataFr
     part = least / (2 - least)
     sides = [df.select("s").distinct().select("s", bigrams("s").alias("g")) for df in (left, right)]
     common = sides[0].union(sides[1]).select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    a, b = (_signed(side, common, part).toDF(name, f"n_{name}", "sign") for side, name in zip(sides, "ab"))
+    a, b = (_signed(side, common, part).toDF(name, *[f"{c}_{name}" for c in ("n", "x", "y", "spare")], "sign") for side, name in zip(sides, "ab"))
     sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(part) - F.lit(1e-9)
-    return a.join(b, "sign").where(sized & (F.col("a") != F.col("b"))).select("a", "b")
+    bits = sum(F.bit_count(F.col(f"{c}_a").bitwiseAND(F.col(f"{c}_b"))) for c in "xy") + F.least("spare_a", "spare_b")
+    shared = 2 * bits >= F.lit(least) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)
+    return a.join(b, "sign").where(sized & shared & (F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b"))).select("a", "b")
 
 
-def similar_strings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, dice) of distinct strings (column s) with Dice >= least > 0, equal ones included."""
-    met = written(candidate_strings(left, right, least).distinct())  # else the exact check would become part of the join's condition
+def similar_strings(left: DataFrame, right: DataFrame, least: float, *, ordered: bool = False) -> DataFrame:
+    """(a, b, dice) of distinct strings (column s) with Dice >= least > 0: equal ones included, or only those with a < b."""
+    met = written(candidate_strings(left, right, least, ordered=ordered).distinct())  # else the exact check would become part of the join's condition
     met = met.select("a", "b", similarity.dice(F.col("a"), F.col("b")).alias("dice")).where(F.col("dice") >= least)
+    if ordered:
+        return met
     equal = left.select(F.col("s").alias("a")).distinct().join(right.select(F.col("s").alias("b")).distinct(), F.col("a") == F.col("b"))
     return met.unionByName(equal.select("a", "b", F.lit(1.0).alias("dice")))
 

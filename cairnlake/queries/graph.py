@@ -290,7 +290,7 @@ RERANK_SQL = f"WITH {_QUALITY_SQL}, parts AS (SELECT *, {_points({'alias': 's_al
 
 def dice_pairs(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("s")).distinct()
-    return collision.similar_strings(names, names, 0.3).where("a < b").select("a", "b", text.rounded("dice").alias("dice"))
+    return collision.similar_strings(names, names, 0.3, ordered=True).select("a", "b", text.rounded("dice").alias("dice"))
 
 
 _GRAMS = "list_distinct([substr(lower({0}), i, 2) for i in range(1, length({0}))])"
@@ -300,7 +300,7 @@ DICE_SQL = f"WITH n AS (SELECT DISTINCT p_name AS s, {_GRAMS.format('p_name')} A
 def similar_words(spark, sf_dir):
     """Pairs of different tokens of documents, of twelve characters or more, with Dice of 0.8 or more."""
     words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(text.tokens("text"))).alias("s")).where(F.length("s") >= 12).distinct()
-    return collision.similar_strings(words, words, 0.8).where("a < b").select("a", "b", text.rounded("dice").alias("dice"))
+    return collision.similar_strings(words, words, 0.8, ordered=True).select("a", "b", text.rounded("dice").alias("dice"))
 
 
 WORDS_SQL = f"WITH n AS (SELECT s, {_GRAMS.format('s')} AS g FROM (SELECT DISTINCT unnest({TOKENS_SQL.format('text')}) AS s FROM documents) WHERE length(s) >= 12), p AS (SELECT x.s AS a, y.s AS b, 2.0::DOUBLE * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) AS d FROM n x JOIN n y ON x.s < y.s AND 3 * least(len(x.g), len(y.g)) >= 2 * greatest(len(x.g), len(y.g))) SELECT a, b, {rounded_sql('d')} AS dice FROM p WHERE d >= 0.8::DOUBLE"

@@ -67,3 +67,15 @@ def test_candidates_are_names_without_and_paths_with_a_common_path(spark):
     assert ("a", "b") in found and ("b", "a") in found
     near = {(f"n{i}", f"n{j}") for i in range(60) for j in range(60) if i != j and 0.5 * dice_of(rows[i + 2][1], rows[j + 2][1]) + 0.25 >= 0.65}
     assert {p for p in found if p[0][0] == "n"} == near
+
+
+def test_few_candidates_of_words_of_syllables_are_not_similar(spark):
+    """Words made of the same syllables share combinations of bigrams without being similar."""
+    dice = random.Random(5)
+    syllables = ["heit", "keit", "ung", "ver", "ein", "lich", "sch", "der", "ber", "tion", "ment", "elle"]
+    words = sorted({"".join(dice.choice(syllables) for _ in range(4)) for _ in range(700)})
+    rows = frame(spark, words)
+    found = collision.candidate_strings(rows, rows, 0.8, ordered=True).distinct().count()
+    want = {(a, b): d for i, a in enumerate(words) for b in words[i + 1 :] if (d := dice_of(a, b)) >= 0.8 - 1e-12}
+    got = collision.similar_strings(rows, rows, 0.8, ordered=True).collect()
+    assert {(r.a, r.b): r.dice for r in got} == pytest.approx(want) and found < 2 * len(want), (found, len(want))
