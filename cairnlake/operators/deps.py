@@ -113,7 +113,7 @@ def approximate_references(chunk_rows: DataFrame, name: str, defining_path: str,
 
 def symbol_mentions(symbols: DataFrame, texts: DataFrame, *, id_col: str, text: Column) -> DataFrame:
     """(name, id) of texts that mention a symbol as a substring; ``symbols`` (name) is the query side."""
-    found = containing(symbols.select(F.col("name").alias("value")), texts.select(F.col(id_col).alias("__id"), text.alias("__text")), text=F.col("__text"), key="__id")
+    found = containing(symbols.select(F.col("name").alias("value")), texts.select(F.col(id_col).alias("__id"), text.alias("__text")), text=F.col("__text"), key="__id", keep=["__id"])
     return found.select(F.col("value").alias("name"), F.col("__id").alias("id"))
 
 

@@ -1,4 +1,9 @@
-"""Substring join: which texts contain which values, in lower case, by trigrams.
+"""Substring join: which texts contain which values, in lower case, by pieces of the values.
+
+Up to ``FEW`` values are broadcast, each under one piece of ``WIDE`` characters: of
+its pieces that which the fewest values have (shorter values are their own piece). A
+task cuts each of its texts into pieces once, and looks only for values whose piece
+is there; nothing but the matches leaves it. More values go by trigrams:
 
 A value of three characters or more can only occur in a text that holds all its
 trigrams, and above all its rarest one. One pass over the texts gives an index of
@@ -30,7 +35,9 @@ from cairnlake.session import written
 
 #: A gram of more than so many texts is hot, and its places.
 HOT, SALTS = 100_000, 64
-FEW, SIZE = 200_000, 3
+FEW, SIZE = 400_000, 3
+#: Characters of the pieces of a broadcast value, and of all broadcast values at most.
+WIDE, CHARACTERS = 6, 32_000_000
 #: Grams that a task hands on at once.
 AT_ONCE = 500_000
 
@@ -68,15 +75,59 @@ def _grams_of(texts: DataFrame, sizes: list[int], few) -> DataFrame:
     return texts.mapInArrow(run, f"__key {dict(texts.dtypes)['__key']}, gram string")
 
 
-def containing(values: DataFrame, texts: DataFrame, *, text: Column, key: str) -> DataFrame:
-    """``texts`` with each ``value`` (of the column of that name) that they contain in lower case, a row each; ``key`` is a column that tells texts apart."""
+def _scanned(asked: DataFrame, texts: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of texts with each of a bounded number of values (value, low), none of them empty."""
+    piece = asked.select("value", "low", F.explode(F.when(F.length("low") >= WIDE, _grams(F.col("low"), WIDE)).otherwise(F.array("low"))).alias("gram"))
+    shared = piece.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    chosen = piece.join(shared, "gram").groupBy("value").agg(F.min(F.struct("n", "gram", "low")).alias("g")).select("value", "g.gram", "g.low")
+    held = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in chosen.collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, lows = pa.array([v for v, _, _ in held.value], pa.string()), [x for _, _, x in held.value]
+        by_size: dict[int, dict[str, list[int]]] = {}
+        for i, (_, gram, _) in enumerate(held.value):
+            by_size.setdefault(len(gram), {}).setdefault(gram, []).append(i)
+        wanted = {n: frozenset(x) for n, x in by_size.items()}
+        for batch in batches:
+            of, out = [], []
+
+            def made() -> pa.RecordBatch:
+                at = pa.array(of, pa.int64())  # noqa: B023
+                return pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in range(len(keep))], names.take(pa.array(out, pa.int64()))], [*keep, "value"])  # noqa: B023
+
+            for i in range(batch.num_rows):
+                low = batch.column(len(keep))[i].as_py()
+                for n, of_gram in by_size.items():
+                    for gram in {low[at : at + n] for at in range(len(low) - n + 1)} & wanted[n]:
+                        own = of_gram[gram] if n < WIDE else [v for v in of_gram[gram] if lows[v] in low]
+                        of += [i] * len(own)
+                        out += own
+                if len(out) > AT_ONCE:
+                    yield made()
+                    of, out = [], []
+            yield made()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keep).schema)
+    return texts.select(*keep, F.lower(text).alias("__low")).where("__low IS NOT NULL").mapInArrow(run, f"{schema}, value string")
+
+
+def containing(values: DataFrame, texts: DataFrame, *, text: Column, key: str, keep: list[str] | None = None) -> DataFrame:
+    """``texts`` with each ``value`` (of the column of that name) that they contain in lower case, a row each.
+
+    ``key`` is a column that tells texts apart; ``keep`` names the columns that are wanted, all by default.
+    """
+    keep = keep or texts.columns
     asked = values.select("value").where("value IS NOT NULL").distinct().withColumn("low", F.lower("value")).withColumn("size", F.least(F.length("low"), F.lit(SIZE)))
     own = F.when(F.col("size") >= SIZE, _grams(F.col("low"), SIZE)).otherwise(F.array("low"))
     asked = written(asked.select("value", "low", "size", own.alias("grams")))
-    found = texts.where(text.isNotNull()).join(F.broadcast(asked.where("size = 0").select("value").limit(1)), how="cross")  # at most one row a text
-    sizes = sorted(r.size for r in asked.where("size > 0").select("size").distinct().collect())
+    found = texts.where(text.isNotNull()).select(*keep).join(F.broadcast(asked.where("size = 0").select("value").limit(1)), how="cross")  # at most one row a text
+    counts = {r.size: (r.n, r.characters) for r in asked.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("low")).alias("characters")).collect()}
+    sizes = sorted(n for n in counts if n > 0)
     if not sizes:
         return found
+    if sum(n for n, _ in counts.values()) <= FEW and sum(c for _, c in counts.values()) <= CHARACTERS:
+        met = _scanned(asked.where("size > 0").select("value", "low"), texts, text, keep)
+        return met.union(found) if 0 in counts else met
     wanted = asked.where("size > 0").select(F.explode("grams").alias("gram")).distinct()
     low, few = F.lower(text), None
     if wanted.count() <= FEW:
@@ -92,4 +143,4 @@ def containing(values: DataFrame, texts: DataFrame, *, text: Column, key: str) -
     dealt = held.join(grams, "gram").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int")).otherwise(0))
     pairs = dealt.join(places, ["gram", "salt"]).select("__key", "value")
     met = texts.join(pairs, texts[key].eqNullSafe(F.col("__key")))
-    return met.where(low.contains(F.lower("value"))).select(*[texts[c] for c in texts.columns], "value").union(found)
+    return met.where(low.contains(F.lower("value"))).select(*[texts[c] for c in keep], "value").union(found)

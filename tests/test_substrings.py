@@ -28,3 +28,20 @@ def test_without_values_or_texts(spark):
     assert [tuple(r) for r in deps.symbol_mentions(names, texts, id_col="id", text=F.col("name")).collect()] == [("Red", 1)]
     assert deps.symbol_mentions(names.limit(0), texts, id_col="id", text=F.col("name")).count() == 0
     assert deps.symbol_mentions(names, texts.limit(0), id_col="id", text=F.col("name")).count() == 0
+
+
+def test_texts_leave_no_pieces_behind(spark, tmp_path):
+    """What is written while texts are searched follows the values, not the texts' pieces."""
+    from pathlib import Path
+
+    from cairnlake.session import scratch_folder
+
+    dice = random.Random(3)
+    docs = [(i, "".join(dice.choice("abcdefghijklmnop ") for _ in range(4000))) for i in range(60)]
+    values = spark.createDataFrame([(t[k : k + 9],) for _, t in docs for k in range(0, 3900, 300)], "value string")
+    place = Path(scratch_folder(spark, "probe")).parent
+    before = {p for p in place.rglob("*.parquet") if p.is_file()}
+    df = spark.createDataFrame(docs, "id long, text string").repartition(3)
+    got = sorted(map(tuple, substrings.containing(values, df, text=F.col("text"), key="id", keep=["id"]).collect()))
+    assert got == sorted((i, v) for i, t in docs for v in {r.value for r in values.collect()} if v in t)
+    assert sum(p.stat().st_size for p in place.rglob("*.parquet") if p.is_file() and p not in before) < 300_000
