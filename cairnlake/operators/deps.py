@@ -20,7 +20,13 @@ def import_base(from_path: Column, module: Column) -> Column:
     folder = dirname(from_path)
     base = normalized(F.concat_ws("/", F.when(folder != "", folder), module))
     base = F.when(module.endswith("/"), F.concat(base, F.lit("/"))).otherwise(base)
-    return F.when(module.startswith("."), base)
+    # Nearly all specifiers climb some folders of a plain path and then name one: no steps to be folded.
+    climbs, rest = F.regexp_extract(module, r"^(?:\./)*((?:\.\./)*)", 1), F.regexp_extract(module, r"^(?:\./)*(?:\.\./)*(?:\./)*((?s).*)$", 1)
+    up, depth = F.length(climbs) / 3, F.length(folder) - F.length(F.replace(folder, F.lit("/"), F.lit(""))) + 1
+    odd = r"(^|/)\.{0,2}(/|$)"
+    plain = module.startswith(".") & ~folder.rlike(odd) & ~rest.rlike(odd) & (up < depth)
+    climbed = F.concat(F.call_function("substring_index", folder, F.lit("/"), (depth - up).cast("int")), F.lit("/"), rest)
+    return F.when(plain, climbed).when(module.startswith("."), base)
 
 
 def file_keys(files: DataFrame) -> DataFrame:
@@ -40,16 +46,19 @@ def import_edges(files: DataFrame) -> DataFrame:
 
     Tried in order: the path as it is, with each extension, with each extension
     in place of its own, as a folder with an index, and so without its extension.
-    Both sides meet on at most five keys an import and three a file, not on every
-    path that might be meant. ``files`` has file_path and imports (module, line).
+    Both sides meet on at most two keys an import and three a file, not on every
+    path that might be meant; what was tried follows from the keys that met. ``files``
+    has file_path and imports (module, line).
     """
     rows = files.select(F.col("file_path").alias("from_path"), F.posexplode("imports").alias("ord", "i")).select("from_path", "ord", "i.module", "i.line")
-    rows = rows.withColumn("base", import_base(F.col("from_path"), F.col("module"))).where("base is not null and not startswith(base, '../') and not startswith(base, '/')")
-    rows = rows.withColumn("own", F.regexp_extract("base", r"[^/](\.[^./]*)$", 1)).withColumn("bare", F.when(F.col("own") != "", F.substr("base", F.lit(1), F.length("base") - F.length("own"))))
-    tries = [("base", "path"), ("base", "stem"), ("bare", "stem"), ("base", "folder"), ("bare", "folder")]
-    keys = F.array(*[F.struct(F.col(c).alias("key"), F.lit(how).alias("how"), F.lit(i).alias("step")) for i, (c, how) in enumerate(tries)])
+    # exploded, the path is made once and not in each condition on it
+    rows = rows.select("*", F.explode(F.array(import_base(F.col("from_path"), F.col("module")))).alias("base")).where("base is not null and not startswith(base, '../') and not startswith(base, '/')")
+    rows = rows.withColumn("own", F.regexp_extract("base", r"[^/](\.[^./]*)$", 1))
+    keys = F.array(F.struct(F.col("base").alias("key"), F.lit(False).alias("bare")), F.when(F.col("own") != "", F.struct(F.substr("base", F.lit(1), F.length("base") - F.length("own")).alias("key"), F.lit(True).alias("bare"))))
     tried = rows.select("from_path", "ord", "module", "line", F.explode(keys).alias("t")).select("from_path", "ord", "module", "line", "t.*").where("key is not null")
-    met = tried.join(file_keys(files), ["key", "how"])
+    steps = {("path", False): 0, ("stem", False): 1, ("stem", True): 2, ("folder", False): 3, ("folder", True): 4}
+    step = F.coalesce(*[F.when((F.col("how") == how) & (F.col("bare") == bare), i) for (how, bare), i in steps.items()])
+    met = tried.join(file_keys(files), "key").withColumn("step", step).where("step is not null")
     return met.groupBy("from_path", "ord", "module", "line").agg(F.min_by("to_path", F.struct("step", "ext")).alias("to_path"))
 
 
