@@ -45,12 +45,15 @@ def points_in_ranges(points: DataFrame, ranges: DataFrame, *, key: str, point: s
     A range is a few aligned blocks, those of overlapping ranges are the same ones and
     count once; a point lies in one block of each level. So the join is on equal
     (key, level, block), each point meets at most one row a level, and rows of one key
-    are dealt by their places. A range of any length has at most 15 blocks a side of
+    are dealt by their places. Points are laid out for levels that some range has. A range of any length has at most 15 blocks a side of
     each level. Nulls lie nowhere, ranges whose end is before the start are empty.
     """
     block = ranges.select(F.col(key).alias("__key"), F.explode(_blocks(F.col(start).cast("long"), F.col(end).cast("long"))).alias("b")).where(F.col("__key").isNotNull())
-    block = block.select("__key", F.col("b.level").alias("__level"), F.col("b.block").alias("__block")).distinct()
-    levels = lambda at: F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright(at.cast("long"), BITS * i).alias("block")) for i in range(LEVELS)])
+    block = written(block.select("__key", F.col("b.level").alias("__level"), F.col("b.block").alias("__block")).distinct())
+    there = sorted(r[0] for r in block.select("__level").distinct().collect())
+    if not there:
+        return points.where("false")
+    levels = lambda at: F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright(at.cast("long"), BITS * i).alias("block")) for i in there])
     places = points.select(F.col(key).alias("__k"), F.col(point).alias("__p")).where("__k IS NOT NULL AND __p IS NOT NULL").distinct().withColumn("__place", F.explode(levels(F.col("__p"))))
     met = places.join(block, (F.col("__k") == F.col("__key")) & (F.col("__place.level") == F.col("__level")) & (F.col("__place.block") == F.col("__block")), "left_semi").select("__k", "__p")
     return points.join(met, (points[key] == met["__k"]) & (points[point] == met["__p"]), "left_semi")  # a place may have met blocks of several levels

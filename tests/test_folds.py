@@ -81,3 +81,13 @@ def test_carried_values_equal_one_window(spark, own):
     for size in (1, 5000, 10**9):
         assert sorted(map(str, map(tuple, intervals.carried(df, "ord", intervals.F.col("x"), own=own, size=size).collect()))) == sorted(map(str, want))
     assert intervals.carried(df.limit(0), "ord", intervals.F.col("x")).collect() == []
+
+
+def test_points_are_laid_out_for_levels_that_ranges_have(spark):
+    """Ranges of a few lines have blocks of the lowest level only, so no point is joined on eight rows."""
+    points = spark.createDataFrame([(i % 7, i) for i in range(200)], "k int, p int")
+    ranges = spark.createDataFrame([(k, 10 * k, 10 * k + 5) for k in range(7)], "k int, start_line int, end_line int")
+    found = intervals.points_in_ranges(points, ranges, key="k", point="p")
+    assert {tuple(r) for r in found.collect()} == {(i % 7, i) for i in range(200) if 10 * (i % 7) <= i <= 10 * (i % 7) + 5}
+    assert ", 28)" not in found._jdf.queryExecution().analyzed().toString()  # the shift of the highest level
+    assert intervals.points_in_ranges(points, ranges.limit(0), key="k", point="p").count() == 0
