@@ -54,8 +54,10 @@ def held_out(id_col: Column) -> Column:
 
 
 def word_hashes(word: str) -> tuple[int, int, int, int]:
-    h = lambda s: 1 + zlib.crc32(s.encode("utf-8", "surrogatepass")) % (BUCKETS - 1)
-    return h(word), h("3" + word[:3]), h("4" + word[:4]), h("5" + word[:5])
+    crc, most = zlib.crc32, BUCKETS - 1
+    b = word.encode("utf-8", "surrogatepass")
+    three, four, five = (b[:3], b[:4], b[:5]) if len(b) == len(word) else (word[:n].encode("utf-8", "surrogatepass") for n in (3, 4, 5))
+    return 1 + crc(b) % most, 1 + crc(b"3" + three) % most, 1 + crc(b"4" + four) % most, 1 + crc(b"5" + five) % most
 
 
 class Model:
@@ -162,31 +164,48 @@ def fit(docs: list[np.ndarray], labels: list[int], *, epochs: int = EPOCHS) -> M
 
 
 class Scorer:
-    """Scores texts; keeps for each word its product with all filter slices."""
+    """Scores texts; keeps for each word its product with all filter slices.
+
+    A word's product is the sum of those of its hashes, which are made once for
+    all buckets, so a word that isn't kept costs four rows of a table; the new
+    words of a text are looked up together.
+    """
 
     def __init__(self, model: Model, limit: int = 100_000):
         self.model, self.limit = model, limit
-        self.filters = model.slices.transpose(1, 0, 2).reshape(DIM, -1)
+        self.of_hash = model.embed @ model.slices.transpose(1, 0, 2).reshape(DIM, -1)
         self.reset()
 
     def reset(self) -> None:
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((4096, self.filters.shape[1]), np.float32)
+        self.new: list[str] = []
+        self.rows = np.zeros((4096, self.of_hash.shape[1]), np.float32)
 
     def find(self, word: str) -> int:
         i = self.place[word] = len(self.place) + 1  # row 0 is the padding
-        if i == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[i] = self.model.embed[list(word_hashes(word))].sum(axis=0) @ self.filters
+        self.new.append(word)
         return i
 
+    def fill(self) -> None:
+        """Rows of the new words."""
+        stop = len(self.place) + 1
+        while stop > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        first = stop - len(self.new)
+        for at in range(0, len(self.new), 4096):
+            own = [self.of_hash[h] for h in np.array([word_hashes(w) for w in self.new[at : at + 4096]]).T]
+            self.rows[first + at : first + at + len(own[0])] = own[0] + own[1] + own[2] + own[3]
+        self.new = []
+
     def __call__(self, text: str) -> float:
         if len(self.place) > self.limit:
             self.reset()
         get, find = self.place.get, self.find
         ids = [get(w) or find(w) for w in LETTERS.findall(text.lower())]
+        if self.new:
+            self.fill()
         ids += [0] * (max(WIDTHS) - len(ids))
-        return self.model.score(self.model.pooled(self.rows[ids].reshape(len(ids), -1, FILTERS))[0])
+        return self.model.score(self.model.pooled(self.rows.take(ids, axis=0).reshape(len(ids), -1, FILTERS))[0])
 
 
 def best_threshold(counts: np.ndarray) -> float:
