@@ -6,12 +6,15 @@ word shingles. The join works on distinct sets, so copies of a text cost nothing
 Index. Each set's shingles are put in one global order (frequent ones last,
 then by hash) and only its prefix is indexed: sets that link share a prefix
 shingle. The frequent shingles are those that repeat within slices of the corpus,
-added up over all of it; their number is bounded by the order's threshold, so
-they can be broadcast. An index list longer than ``BLOCKED`` is cut into blocks by
+added up over all of it, and, among the lowest hashes, which prefixes are made of,
+those that an eighth of the sets has often; their number is bounded by the order's
+thresholds, so they can be broadcast, and they decide only the order. An index list longer than ``BLOCKED`` is cut into blocks by
 set size and by position in the set's order. Both are part of the join's key: a
 probe names the blocks whose sizes and positions leave room for a link and never
 meets the others; in a short list it meets all and looks at sizes and positions. A pair survives only if its shared prefix
-shingles reach the least number that a link needs.
+shingles reach the least number that a link needs, and if small sketches of its
+sets, which never tell sets further apart than they are, leave room for a link;
+only texts of such pairs are shuffled.
 
 Answers from answers. In a block longer than ``dense`` pairs aren't formed.
 One member is the block's hub; all members are compared with it. By the triangle
@@ -59,11 +62,13 @@ from pyspark.sql import Window as W
 
 from cairnlake.llm.common import as_bytes, bit_map, give_back, has_bit, map_batches, persist, pick, release
 from cairnlake.llm.components import components
-from cairnlake.llm.shingles import WordHashes, set_key, shingle_set
+from cairnlake.llm.shingles import WordHashes, least_apart, parity_sketch, set_key, shingle_set
 
 #: Shingles in this many texts of a slice or more are counted for the order.
 LOCAL_REPEATS = 3
-#: Bound on the frequent shingles that are broadcast (16 bytes each).
+#: One in so many sets tells how many sets have its shingles of the lowest hashes (below LOW).
+COUNTED, LOW = 8, 1 << 62
+#: Bound for each way of counting on the frequent shingles that are broadcast (16 bytes each).
 MOST_FREQUENT = 1 << 20
 LEAST_FREQUENT = 64
 #: Index lists longer than this are solved around a hub.
@@ -79,7 +84,7 @@ FAMILY_PART, ROUNDS = 8, 6
 
 
 def profile(rows: DataFrame, size: int) -> DataFrame:
-    """kind 0: (id, n, key, at) of each text; kind 1: (token key, n) of shingles that repeat in a slice."""
+    """kind 0: (id, n, key, at, sketch) of each text; kind 1: (token key, n) of shingles that repeat in a slice; kind 2: those below LOW of one in COUNTED sets."""
     kind = dict(rows.dtypes)["id"]
 
     def make():
@@ -89,29 +94,35 @@ def profile(rows: DataFrame, size: int) -> DataFrame:
             sets = [shingle_set(t, size, hashes) for t in as_bytes(batch.column(1))]
             tokens, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
             often = counts >= LOCAL_REPEATS
-            extra = int(often.sum())
-            keys = [set_key(s) for s in sets] + tokens[often].view(np.int64).tolist()
+            own = [set_key(s) for s in sets]
+            low, held = np.unique(np.concatenate([*(s[: np.searchsorted(s, np.uint64(LOW))] for s, k in zip(sets, own) if k % COUNTED == 0), np.zeros(0, np.uint64)]), return_counts=True)
+            extra = int(often.sum()) + len(low)
+            keys = own + tokens[often].view(np.int64).tolist() + low.view(np.int64).tolist()
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([0] * len(sets) + [1] * extra, pa.int32()),
+                    pa.array([0] * len(sets) + [1] * (extra - len(low)) + [2] * len(low), pa.int32()),
                     pa.concat_arrays([batch.column(0), pa.nulls(extra, batch.column(0).type)]),
-                    pa.array([len(s) for s in sets] + counts[often].tolist(), pa.int64()),
+                    pa.array([len(s) for s in sets] + counts[often].tolist() + held.tolist(), pa.int64()),
                     pa.array(keys, pa.int64()),
                     pa.concat_arrays([batch.column(2), pa.nulls(extra, pa.string())]),
+                    pa.array([parity_sketch(s) for s in sets] + [None] * extra, pa.binary()),
                 ],
-                ["kind", "id", "n", "key", "at"],
+                ["kind", "id", "n", "key", "at", "sketch"],
             )
 
         return work
 
-    return map_batches(rows, make, f"kind int, id {kind}, n long, key long, at string")
+    return map_batches(rows, make, f"kind int, id {kind}, n long, key long, at string, sketch binary")
 
 
 def frequent(profiles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted shingles, log2 of their counts); at most MOST_FREQUENT, since their counts add up to at most all shingles."""
-    total = profiles.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_FREQUENT, -(-total // MOST_FREQUENT))
-    found = profiles.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    """(sorted shingles, log2 of their counts); at most MOST_FREQUENT of each kind, since their counts add up to at most all that were counted."""
+    totals = {r.kind: r.n for r in profiles.where("kind != 1").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    least = max(LEAST_FREQUENT, -(-totals.get(0, 0) // MOST_FREQUENT))
+    least_low = max(LEAST_FREQUENT // COUNTED, -(-totals.get(2, 0) // MOST_FREQUENT))
+    of_kind = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    counts = profiles.where("kind > 0").groupBy("key").agg(of_kind(1).alias("n"), of_kind(2).alias("low"))
+    found = counts.where((F.col("n") >= least) | (F.col("low") >= least_low)).select("key", F.greatest("n", F.col("low") * COUNTED).alias("n")).toArrow()
     tokens, counts = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(tokens)
     del found
@@ -164,6 +175,28 @@ def index_entries(rows: DataFrame, size: int, num: int, den: int, often: np.ndar
     return map_batches(rows.select("text"), make, "token long, key long, n int, pos int")
 
 
+def plausible(pairs: DataFrame, names: DataFrame, least: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(those of ``pairs`` whose sketches leave room for a similarity of ``least``, (key, at) of their sets); none that has it is lost."""
+    keys_of = lambda df: df.select(F.col("a").alias("key")).union(df.select(F.col("b").alias("key"))).distinct()
+    known = persist(keys_of(pairs).join(names, "key"))
+    own = lambda side: known.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"sketch_{side}"))
+    num, den = least.numerator, least.denominator
+
+    def make():
+        def work(batch):
+            na, nb, one, other = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = [(num + den) * least_apart(x, y) <= (den - num) * (n + m) for n, m, x, y in zip(na, nb, one, other)]
+            return pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+        return work
+
+    rows = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", "sketch_a", "sketch_b")
+    left = persist(map_batches(rows, make, "a long, b long"))
+    keys = persist(keys_of(left).join(known.select("key", "at"), "key"))
+    release(known)
+    return left, keys
+
+
 def compared(pairs: DataFrame, texts: DataFrame, size: int, least: Fraction) -> DataFrame:
     """(a, b, na, nb, both, gone, more) of the pairs (a, b) whose similarity is at least ``least``.
 
@@ -349,6 +382,7 @@ def sharing_pairs(sets: DataFrame, num: int, den: int, *, stars_too: bool) -> Da
     single = single.join(common, ["hub", "token"], "left").fillna(1, ["c"])
     rare = W.partitionBy("hub", "set").orderBy("c", "token")
     probe = single.withColumn("r", F.row_number().over(rare)).where((F.col("r") <= F.col("k") - F.col("q") + 1) & (F.col("c") > 1))
+    probe = persist(probe.select("hub", "token", "set", "w", "k", "r", "room", "home", "star", "times"))
     side = lambda s: probe.select("hub", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "w", "k", "r", "home", "star", "times")], F.col("room").alias(f"room_{s}"))
     # Sets that share ``must`` differences share one among the first k - must + 1 of each, rare ones first.
     must = F.greatest(F.lit(1), F.ceil((F.col("w_a") + F.col("w_b") - F.col("room_a")) / F.lit(num + den)))
@@ -356,7 +390,9 @@ def sharing_pairs(sets: DataFrame, num: int, den: int, *, stars_too: bool) -> Da
     once = (F.col("set_a") != F.col("set_b")) & (~F.col("home_b") | (F.col("set_a") < F.col("set_b")))
     wanted = (F.col("w_a") + F.col("w_b") > F.col("room_a")) if stars_too else ~(F.col("star_a") & F.col("star_b"))
     met = side("a").where("home_a").join(side("b"), ["hub", "token"]).where(once & wanted & reach)
-    return met.select("hub", "set_a", "set_b", "w_a", "w_b", F.col("room_a").alias("room"), "home_b", "times_a", "times_b").distinct()
+    out = persist(met.select("hub", "set_a", "set_b", "w_a", "w_b", F.col("room_a").alias("room"), "home_b", "times_a", "times_b").distinct())
+    release(probe)
+    return out
 
 
 def sharing_links(sets: DataFrame, num: int, den: int, *, stars_too: bool) -> DataFrame:
@@ -474,39 +510,46 @@ def similar_sets(rows: DataFrame, profiles: DataFrame, size: int, num: int, den:
     wide = float(max(Fraction(0), 1 - 3 * far)) - 1e-9
     met = around.join(hubs, ["token", "block"]).where((F.col("key") != F.col("hub")) & (F.least("n", "nh") >= F.greatest("n", "nh") * F.lit(wide)))
     met = persist(met.select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct())
-    names = persist(profiles.where("kind = 0 and n > 0").groupBy("key").agg(F.min("at").alias("at")))
-    texts = wanted_texts(rows, names, met, size)
-    circles = persist(compared(met, texts, size, max(Fraction(0), 1 - 3 * far)))
-    release(texts, met)
+    names = persist(profiles.where("kind = 0 and n > 0").groupBy("key").agg(F.min(F.struct("at", "n", "sketch")).alias("x")).select("key", "x.*"))
+    circles = verified(met, names, rows, size, max(Fraction(0), 1 - 3 * far))
     near = circles.where(F.lit(den) * F.col("both") >= F.lit(max(0, 2 * num - den)) * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("a").alias("key"), F.col("b").alias("hub"))
     covered = entries.where(F.col("m") > dense).select("token", "block", "key").join(hubs.select("token", "block", "hub"), ["token", "block"]).join(near, ["key", "hub"], "left_semi").select("token", "key")
     open_ = persist(entries.join(covered, ["token", "key"], "left_anti"))
     release(entries, hubs)
 
     pairs = persist(candidates(open_, num, den))
-    texts = wanted_texts(rows, names, pairs, size)
-    linked = persist(compared(pairs, texts, size, Fraction(num, den)).select("a", "b"))
-    release(open_, pairs, texts, names)
+    release(open_)
+    linked = verified(pairs, names, rows, size, Fraction(num, den))
+    release(names)
 
     home, members = home_circles(circles, num, den, dense)
     release(circles)
     sets, stars, shared = circle_links(members, copies, num, den)
-    links = persist(linked.union(stars).union(shared.select("set_a", "set_b")))
+    linked_ab = linked.select("a", "b")
+    links = persist(linked_ab.union(stars).union(shared.select("set_a", "set_b")))
     counts = None
     if copies is not None:
-        counts = persist(counted(sets, shared, linked, home, copies).groupBy("key").agg(F.sum("n").alias("n")))
+        counts = persist(counted(sets, shared, linked_ab, home, copies).groupBy("key").agg(F.sum("n").alias("n")))
     release(linked, home, members, sets, shared)
     return links, counts
 
 
-def wanted_texts(rows: DataFrame, names: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """(key, text) of one document for each set in ``pairs``.
+def verified(pairs: DataFrame, names: DataFrame, rows: DataFrame, size: int, least: Fraction) -> DataFrame:
+    """``compared`` for the ``pairs``, which are released, with a look at the texts of plausible ones only."""
+    left, keys = plausible(pairs, names, least)
+    release(pairs)
+    texts = wanted_texts(rows, keys, size)
+    out = persist(compared(left, texts, size, least))
+    release(left, keys, texts)
+    return out
+
+
+def wanted_texts(rows: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """(key, text) of one document for each set of ``keys`` (key, at).
 
     A broadcast bit map of fixed size keeps most other texts out of the shuffle;
     when it fills up, more texts take part in the join, and none is missed.
     """
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    keys = persist(keys.join(names, "key"))
     bit = F.pmod(F.xxhash64("at"), F.lit(FILTER_BITS)).alias("bit")
 
     bits = bit_map(keys.select(bit), FILTER_BITS)
@@ -531,9 +574,7 @@ def wanted_texts(rows: DataFrame, names: DataFrame, pairs: DataFrame, size: int)
 
         return work
 
-    out = persist(map_batches(found.select("key", "text"), check, "key long, text string").dropDuplicates(["key"]))
-    release(keys)
-    return out
+    return persist(map_batches(found.select("key", "text"), check, "key long, text string").dropDuplicates(["key"]))
 
 
 def place(id_col: Column, text_col: Column) -> Column:

@@ -55,3 +55,19 @@ def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
 def set_key(tokens: np.ndarray) -> int:
     """A signed 64-bit key of the set."""
     return xxh3_64_intdigest(tokens.tobytes()) - 2**63
+
+
+def parity_sketch(tokens: np.ndarray) -> bytes:
+    """For each value of the shingles' low bits whether an odd number of them has it; a power of two of bits, the set's size at least."""
+    bits = 64
+    while bits < len(tokens):
+        bits *= 2
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1 == 1).tobytes()
+
+
+def least_apart(one: bytes, other: bytes) -> int:
+    """Two sets differ by as many shingles at least as their sketches, the longer folded to the shorter, differ in bits."""
+    x, y = sorted((np.frombuffer(b, np.uint64) for b in (one, other)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
