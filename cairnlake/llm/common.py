@@ -91,7 +91,7 @@ def persist(df: DataFrame) -> DataFrame:
 
 
 #: Least seconds between two collections of garbage by the driver, and the time of the last.
-COLLECT_EVERY, _collected = 3.0, [0.0]
+COLLECT_EVERY, _collected = 1.0, [0.0]
 
 
 def release(*tables: DataFrame | None) -> None:
