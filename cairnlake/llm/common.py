@@ -26,6 +26,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of an Arrow batch that are worked on at once.
 SLICE = 8 << 20
+#: Spark's bound on the bytes of a batch on its way to Python, and what it is set to: a batch and its last row make one slice.
+BATCH_BYTES, SENT = "spark.sql.execution.arrow.maxBytesPerBatch", SLICE * 7 // 8
 #: Bits of a part of a bit map.
 PART = 1 << 17
 
@@ -44,10 +46,16 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     """mapInArrow with a function built once for each task, over batches of about ``SLICE`` bytes.
 
     ``make`` runs on the executor, so that tokenizers and automata are built
-    there and never shipped. Larger Arrow batches are worked on slice by slice,
-    and a worker that has ended its task gives its memory back, as idle workers
-    stay alive beside busy ones. No setting of the session is read or changed.
+    there and never shipped. Arrow batches larger than ``SLICE`` are worked on
+    slice by slice, and a worker that has ended its task gives its memory back, as
+    idle workers stay alive beside busy ones. A session that names no bound for
+    the bytes of a batch gets ``SENT``: Spark's own bounds let a task's whole
+    partition into one batch, which the JVM and the worker then hold at once. No
+    other setting is read or changed.
     """
+    session = df.sparkSession
+    if session.conf.get(BATCH_BYTES, None) is None:
+        session.conf.set(BATCH_BYTES, str(SENT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
