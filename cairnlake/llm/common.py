@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,7 @@ def persist(df: DataFrame) -> DataFrame:
     session = df.sparkSession
     path = f"{checkpoint_folder(session)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    trimmed(session)
     place = session._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(session._jsc.hadoopConfiguration()).deleteOnExit(place)
     table = session.read.schema(df.schema).parquet(path)
@@ -118,9 +120,27 @@ def release(*tables: DataFrame | None) -> None:
     if session and time.monotonic() - _collected[0] > COLLECT_EVERY:
         gc.collect()
         session._jvm.System.gc()
+        trimmed(session)
         _collected[0] = time.monotonic()
 
 
+def trimmed(session: SparkSession) -> str | None:
+    """Has the driver's JVM return freed native memory to the system; what it says, or None where it can't (no HotSpot, no glibc).
+
+    Plans with many exchanges come with threads, compiled code and buffers outside
+    the heap; the C library keeps what they free, and over many plans that adds up.
+    """
+    jvm = session._jvm
+    try:
+        server, name = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = session.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = name, "systemTrimNativeHeap"
+        return invoke.invoke(server, args)
+    except Py4JError:
+        return None
+
+
 def checkpoint_folder(session: SparkSession) -> str:
     if folder := session.conf.get("spark.checkpoint.dir", None):
         return folder
