@@ -1,9 +1,15 @@
 """Substring join: which texts contain which values, in lower case, by pieces of the values.
 
-Up to ``FEW`` values are broadcast, each under one piece of ``WIDE`` characters: of
-its pieces that which the fewest values have (shorter values are their own piece). A
-task cuts each of its texts into pieces once, and looks only for values whose piece
-is there; nothing but the matches leaves it. More values go by trigrams:
+Up to ``FEW`` values are broadcast, and nothing but the matches leaves a task. A value
+of word characters only, ``LONGEST`` at most, can only occur inside a word (a run of
+such characters), so a task looks into each word that it meets once: places where a
+value begins, then the lengths of values that begin so. Texts share most of their words,
+so a text costs its words and its matches, not its length times the values in question.
+Other values go under one piece of ``WIDE`` characters each: of its pieces that which
+the fewest values have (shorter values are their own piece). A task cuts each of its
+texts into pieces once, and looks only for values whose piece is there.
+
+More than ``FEW`` values go by trigrams:
 
 A value of three characters or more can only occur in a text that holds all its
 trigrams, and above all its rarest one. One pass over the texts gives an index of
@@ -24,7 +30,8 @@ several; each is checked and matches by itself, also those of a null key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,6 +45,10 @@ HOT, SALTS = 100_000, 64
 FEW, SIZE = 400_000, 3
 #: Characters of the pieces of a broadcast value, and of all broadcast values at most.
 WIDE, CHARACTERS = 6, 32_000_000
+#: A character of a word (in lower case: all but ASCII's signs, ``$`` and ``_`` apart), and the longest value that is looked for by words.
+WORDLY, LONGEST = r"[^\x00-\x23\x25-\x2F\x3A-\x5E\x60\x7B-\x7F]", 32
+#: First characters by which such a value is found; words that a task remembers, and the longest of them.
+HEAD, REMEMBERED, MEMORABLE = 5, 500_000, 64
 #: Grams that a task hands on at once.
 AT_ONCE = 500_000
 
@@ -75,18 +86,57 @@ def _grams_of(texts: DataFrame, sizes: list[int], few) -> DataFrame:
     return texts.mapInArrow(run, f"__key {dict(texts.dtypes)['__key']}, gram string")
 
 
+def _in_words(lows: list[tuple[int, str]]) -> Callable[[str], set[int]]:
+    """A function from a text to the numbers of the values (number, value in lower case, of word characters) in it."""
+    numbers: dict[str, list[int]] = {}
+    for i, low in lows:
+        numbers.setdefault(low, []).append(i)
+    begun: dict[int, dict[str, set[int]]] = {}
+    for low in numbers:
+        begun.setdefault(min(len(low), HEAD), {}).setdefault(low[:HEAD], set()).add(len(low))
+    words, seen = re.compile(f"{WORDLY}{{{min(map(len, numbers), default=1)},}}"), {}  # shorter words hold no value
+
+    def look(word: str) -> tuple[int, ...]:
+        found = set()
+        for n, lengths in begun.items():
+            for at in range(len(word) - n + 1):
+                for size in lengths.get(word[at : at + n], ()):
+                    found.update(numbers.get(word[at : at + size], ()))
+        return tuple(found)
+
+    def values(low: str) -> set[int]:
+        own = set()
+        for word in set(words.findall(low)) if numbers else ():
+            found = seen.get(word)
+            if found is None:
+                found = look(word)
+                if len(word) <= MEMORABLE:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen[word] = found
+            if found:
+                own.update(found)
+        return own
+
+    return values
+
+
 def _scanned(asked: DataFrame, texts: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of texts with each of a bounded number of values (value, low), none of them empty."""
-    piece = asked.select("value", "low", F.explode(F.when(F.length("low") >= WIDE, _grams(F.col("low"), WIDE)).otherwise(F.array("low"))).alias("gram"))
+    wordly = F.col("low").rlike(f"\\A{WORDLY}{{1,{LONGEST}}}\\z")
+    piece = asked.where(~wordly).select("value", "low", F.explode(F.when(F.length("low") >= WIDE, _grams(F.col("low"), WIDE)).otherwise(F.array("low"))).alias("gram"))
     shared = piece.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     chosen = piece.join(shared, "gram").groupBy("value").agg(F.min(F.struct("n", "gram", "low")).alias("g")).select("value", "g.gram", "g.low")
-    held = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in chosen.collect()])
+    every = chosen.union(asked.where(wordly).select("value", F.lit(None).cast("string"), "low"))
+    held = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in every.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, lows = pa.array([v for v, _, _ in held.value], pa.string()), [x for _, _, x in held.value]
+        in_words = _in_words([(i, low) for i, (_, gram, low) in enumerate(held.value) if gram is None])
         by_size: dict[int, dict[str, list[int]]] = {}
         for i, (_, gram, _) in enumerate(held.value):
-            by_size.setdefault(len(gram), {}).setdefault(gram, []).append(i)
+            if gram is not None:
+                by_size.setdefault(len(gram), {}).setdefault(gram, []).append(i)
         wanted = {n: frozenset(x) for n, x in by_size.items()}
         for batch in batches:
             of, out = [], []
@@ -97,11 +147,12 @@ def _scanned(asked: DataFrame, texts: DataFrame, text: Column, keep: list[str])
 
             for i in range(batch.num_rows):
                 low = batch.column(len(keep))[i].as_py()
+                own = list(in_words(low))
                 for n, of_gram in by_size.items():
                     for gram in {low[at : at + n] for at in range(len(low) - n + 1)} & wanted[n]:
-                        own = of_gram[gram] if n < WIDE else [v for v in of_gram[gram] if lows[v] in low]
-                        of += [i] * len(own)
-                        out += own
+                        own += of_gram[gram] if n < WIDE else [v for v in of_gram[gram] if lows[v] in low]
+                of += [i] * len(own)
+                out += own
                 if len(out) > AT_ONCE:
                     yield made()
                     of, out = [], []

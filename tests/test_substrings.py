@@ -45,3 +45,34 @@ def test_texts_leave_no_pieces_behind(spark, tmp_path):
     got = sorted(map(tuple, substrings.containing(values, df, text=F.col("text"), key="id", keep=["id"]).collect()))
     assert got == sorted((i, v) for i, t in docs for v in {r.value for r in values.collect()} if v in t)
     assert sum(p.stat().st_size for p in place.rglob("*.parquet") if p.is_file() and p not in before) < 300_000
+
+
+def test_words_are_looked_into_once():
+    """What a text costs doesn't follow the values that its pieces call into question: a word met before is known."""
+    dice = random.Random(4)
+    syllables = ["tion", "heit", "keit", "ung", "ein", "re", "th", "au"]
+    word = lambda most: "".join(dice.choice(syllables) for _ in range(dice.randint(2, most)))
+    values = sorted({word(5) for _ in range(800)} | {"a$_1", "stra\xdfe", "e"})
+    words = [word(7) for _ in range(300)]
+    find = substrings._in_words(list(enumerate(values)))
+    look = find.__closure__[[*find.__code__.co_freevars].index("look")].cell_contents
+    looked = []
+    find.__closure__[[*find.__code__.co_freevars].index("look")].cell_contents = lambda w: looked.append(w) or look(w)
+    for _ in range(40):
+        low = " ".join(dice.choice(words) + dice.choice(["", ",", ".a$_1", "\nstra\xdfe"]) for _ in range(200))
+        assert find(low) == {i for i, v in enumerate(values) if v in low}
+    assert len(looked) == len(set(looked)) <= len(words) + 2
+
+
+def test_values_of_signs_capitals_and_any_length(spark):
+    """Values of word characters, with other signs and beyond the bound for words meet the same texts as a look at every pair."""
+    dice = random.Random(6)
+    piece = lambda n: "".join(dice.choice("abAB1_$ .\u00c9\u0130\U0001f600") for _ in range(n))
+    values = {piece(dice.randint(1, 6)) for _ in range(80)} | {"ab" * 16, "ab" * 17, "AB\n", "ab"}
+    texts = [piece(dice.randint(0, 60)) for _ in range(60)] + ["ab" * 40, "Ab\n", "x" + "ab" * 16]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    of_text = {r.id: r.l for r in df.select("id", F.lower("text").alias("l")).collect()}
+    asked = spark.createDataFrame([(v,) for v in values], "value string")
+    of_value = {r.value: r.l for r in asked.select("value", F.lower("value").alias("l")).collect()}
+    got = sorted((r.id, r.value) for r in substrings.containing(asked, df, text=F.col("text"), key="id", keep=["id"]).collect())
+    assert got == sorted((i, v) for i, t in of_text.items() for v, l in of_value.items() if l in t)
