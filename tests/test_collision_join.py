@@ -79,3 +79,36 @@ def test_few_candidates_of_words_of_syllables_are_not_similar(spark):
     want = {(a, b): d for i, a in enumerate(words) for b in words[i + 1 :] if (d := dice_of(a, b)) >= 0.8 - 1e-12}
     got = collision.similar_strings(rows, rows, 0.8, ordered=True).collect()
     assert {(r.a, r.b): r.dice for r in got} == pytest.approx(want) and found < 2 * len(want), (found, len(want))
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+@pytest.mark.parametrize("least", [0.3, 0.8])
+def test_cut_groups_and_unranked_bigrams_equal_all_pairs(spark, monkeypatch, ordered, least):
+    """Groups cut into blocks, bigrams without a rank, runs instead of one grid, long strings: each pair comes once, the same ones."""
+    for name, value in {"BLOCK": 7, "RANKED": 3, "CELLS": 64, "AT_ONCE": 50}.items():
+        monkeypatch.setattr(collision, name, value)
+    dice = random.Random(11)
+    rows = names(90, dice, "abcdefgh", (3, 18)) + ["\0\0", "\0\0a", "\0\0aA", "ab", "AB", "a", ""]
+    long = ["".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(150)) for _ in range(4)]
+    rows = sorted({*rows, *long, *[x[:70] + "q" + x[71:] for x in long]})
+    right = rows if ordered else rows[::2] + ["other", "abcdefg"]
+    left = frame(spark, rows)
+    got = collision.similar_strings(left, left if ordered else frame(spark, right), least, ordered=ordered).collect()
+    want = {(a, b): d for a in rows for b in right if (a < b or not ordered) and (d := dice_of(a, b)) >= least - 1e-12}
+    assert {(r.a, r.b): r.dice for r in got} == pytest.approx(want) and len(got) == len(want)
+
+
+def test_pairs_are_not_written(spark):
+    """What the join writes follows the names, not the pairs."""
+    from pathlib import Path
+
+    from cairnlake.session import scratch_folder
+
+    dice = random.Random(12)
+    rows = sorted({"abcdefghijklmnop"[:at] + dice.choice("qrstuvwxyz") + dice.choice("qrstuvwxyz") + "abcdefghijklmnop"[at:] for at in range(17) for _ in range(25)})
+    place = Path(scratch_folder(spark, "probe")).parent
+    before = {p for p in place.rglob("*.parquet") if p.is_file()}
+    df = frame(spark, rows)
+    found = collision.similar_strings(df, df, 0.8, ordered=True).count()
+    assert found == sum(dice_of(a, b) >= 0.8 - 1e-12 for i, a in enumerate(rows) for b in rows[i + 1 :]) and found > 50 * len(rows)
+    assert sum(p.stat().st_size for p in place.rglob("*.parquet") if p.is_file() and p not in before) < 50_000
