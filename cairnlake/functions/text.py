@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRUNCATED = "\n// ... truncated"
@@ -34,6 +34,17 @@ def tokens(c: Column | str) -> Column:
     return F.filter(parts, lambda t: F.length(t) > 1)
 
 
+def long_tokens(texts: DataFrame, c: Column | str, least: int) -> DataFrame:
+    """(s): the distinct tokens of ``least`` characters or more, two at least, of a column of texts.
+
+    Such a token lies inside a run of as many characters that a token's come from
+    (U+0130 and U+212A have ASCII letters in their lower case), so only these runs
+    are tokenised, each distinct one once.
+    """
+    runs = texts.select(F.explode(F.regexp_extract_all(col(c), F.lit(f"[A-Za-z0-9_$\\x{{130}}\\x{{212A}}]{{{least},}}"), F.lit(0))).alias("run")).distinct()
+    return runs.select(F.explode(tokens("run")).alias("s")).where(F.length("s") >= least).distinct()
+
+
 def query_tokens(query: str) -> list[str]:
     """The same tokens of a query, as constants."""
     spread = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", query).lower()

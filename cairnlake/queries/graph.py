@@ -299,7 +299,7 @@ DICE_SQL = f"WITH n AS (SELECT DISTINCT p_name AS s, {_GRAMS.format('p_name')} A
 
 def similar_words(spark, sf_dir):
     """Pairs of different tokens of documents, of twelve characters or more, with Dice of 0.8 or more."""
-    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(text.tokens("text"))).alias("s")).where(F.length("s") >= 12).distinct()
+    words = text.long_tokens(table(spark, sf_dir, "documents"), "text", 12)
     return collision.similar_strings(words, words, 0.8, ordered=True).select("a", "b", text.rounded("dice").alias("dice"))
 
 

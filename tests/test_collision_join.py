@@ -4,7 +4,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from cairnlake.functions import text
 from cairnlake.operators import collision
 from cairnlake.queries import graph
 
@@ -112,3 +114,14 @@ def test_pairs_are_not_written(spark):
     found = collision.similar_strings(df, df, 0.8, ordered=True).count()
     assert found == sum(dice_of(a, b) >= 0.8 - 1e-12 for i, a in enumerate(rows) for b in rows[i + 1 :]) and found > 50 * len(rows)
     assert sum(p.stat().st_size for p in place.rglob("*.parquet") if p.is_file() and p not in before) < 50_000
+
+
+def test_long_tokens_are_those_of_all_tokens(spark):
+    dice = random.Random(13)
+    rows = ["".join(dice.choice("abcXYZ019_$ .\u0130\u212a\u00e9\U0001f600\n") for _ in range(dice.randint(0, 90))) for _ in range(300)]
+    rows += [None, "", "abcdefghijkl", "abcdefghijk", "ABCDEFGHIJKL" * 2, "aB" * 20, "k\u212aabcdefghij", "abcdefghijk\u0130x"]
+    df = spark.createDataFrame([(x,) for x in rows], "text string")
+    for least in (2, 5, 12):
+        want = df.select(F.explode(text.tokens("text")).alias("s")).where(F.length("s") >= least).distinct()
+        got = [r.s for r in text.long_tokens(df, "text", least).collect()]
+        assert sorted(got) == sorted(r.s for r in want.collect()) and got
